@@ -1,3 +1,10 @@
 """Spherical population analytics expressed as Spark DataFrame plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Workers get the functions of this package by value, so executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
