@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarion.llm import bradley_terry, mixing, pii, quality_rules, secret_scan, warc
+from tessarion.llm import bradley_terry, decontam, mixing, pii, quality_rules, secret_scan, warc
 
 
 OP6 = """
@@ -32,6 +32,10 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bradley_terry.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_personal_data, op5_quality_scores, op6_warc, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_personal_data, op4_decontamination, op5_quality_scores, op6_warc, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
