@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import struct
 import tempfile
 import uuid
 
 import numpy as np
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,42 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def word_codes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
+    """64-bit codes of words; ``cache`` keeps the codes of words seen before (and is emptied when large)."""
+    get = cache.get
+    out = []
+    for w in words:
+        c = get(w)
+        if c is None:
+            c = cache[w] = xxhash.xxh3_64_intdigest(w)
+            if len(cache) > 200_000:
+                cache.clear()
+        out.append(c)
+    return np.array(out, np.uint64)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: each one's byte planes, compressed."""
+    press, out = zstandard.ZstdCompressor(level=1), []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        planes = press.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes()) if len(a) else b""
+        out.append(struct.pack("<3sqq", a.dtype.str[1:].encode().ljust(3), len(a), len(planes)) + planes)
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    press, out, at = zstandard.ZstdDecompressor(), [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<3sqq", data, at)
+        at += struct.calcsize("<3sqq")
+        kind = np.dtype("<" + kind.decode().strip())
+        raw = press.decompress(data[at : at + size], max_output_size=n * kind.itemsize) if n else b""
+        out.append(np.frombuffer(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T.tobytes(), kind) if n else np.zeros(0, kind))
+        at += size
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the finaliser constants are fixed values)."""
     x = np.asarray(x, np.uint64)

@@ -29,11 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarion.llm.common import lower_words
+from tessarion.llm.common import lower_words, word_codes
 
 
 @dataclass(frozen=True)
@@ -71,19 +70,6 @@ def rung(bound: int, growth: float) -> int:
     return k
 
 
-def word_codes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    get = cache.get
-    out = []
-    for w in words:
-        c = get(w)
-        if c is None:
-            c = cache[w] = xxhash.xxh3_64_intdigest(w)
-            if len(cache) > 2_000_000:
-                cache.clear()
-        out.append(c)
-    return np.array(out, np.uint64)
-
-
 def lanes(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Prefix sums, over words, of the 64 signed bit votes (modulo 2^16, which window differences undo)."""
     bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)

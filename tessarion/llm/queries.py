@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarion.llm import bradley_terry, decontam, mixing, pii, quality_rules, secret_scan, warc
+from tessarion.llm import bradley_terry, decontam, mixing, ngram_lm, pii, quality_rules, secret_scan, warc
 
 
 OP6 = """
@@ -24,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_personal_data, op4_decontamination, op5_quality_scores, op6_warc, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_secret_scan, op3_personal_data, op4_decontamination, op5_quality_scores, op6_warc, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
