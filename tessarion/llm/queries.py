@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarion.llm import bradley_terry, decontam, mixing, ngram_lm, pii, quality_rules, secret_scan, warc
+from tessarion.llm import bradley_terry, decontam, mixing, ngram_lm, parity_join, pii, quality_rules, secret_scan, warc
 
 
 OP6 = """
@@ -52,12 +52,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.near_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op9(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scores, op2_secret_scan, op3_personal_data, op4_decontamination, op5_quality_scores, op6_warc, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_secret_scan, op3_personal_data, op4_decontamination, op5_quality_scores, op6_warc, op8_ngram_jaccard, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
