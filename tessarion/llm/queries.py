@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessarion.llm import bradley_terry, decontam, mixing, ngram_lm, parity_join, pii, quality_rules, secret_scan, warc
+from tessarion.llm import bradley_terry, decontam, line_dedup, mixing, ngram_lm, parity_join, pii, quality_rules, secret_scan, warc
 
 
 OP6 = """
@@ -20,6 +20,26 @@ FROM d
 """
 
 
+OP7 = """
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM s WHERE parts IS NOT NULL),
+b AS (SELECT * FROM l WHERE length(line) >= 30),
+f AS (SELECT line, min((doc_id, pos)) AS first, length(line) AS n FROM b GROUP BY line),
+c AS (
+  SELECT x.line AS a, y.line AS b, x.first AS fa, y.first AS fb, x.n FROM f x JOIN f y ON x.n = y.n AND left(x.line, x.n // 2) = left(y.line, y.n // 2) AND x.line < y.line
+  UNION SELECT x.line, y.line, x.first, y.first, x.n FROM f x JOIN f y ON x.n = y.n AND right(x.line, x.n - x.n // 2) = right(y.line, y.n - y.n // 2) AND x.line < y.line
+  UNION SELECT x.line, y.line, x.first, y.first, x.n FROM f x JOIN f y ON x.n + 1 = y.n AND left(x.line, x.n // 2) = left(y.line, x.n // 2)
+  UNION SELECT x.line, y.line, x.first, y.first, x.n FROM f x JOIN f y ON x.n + 1 = y.n AND right(x.line, x.n - x.n // 2) = right(y.line, x.n - x.n // 2)),
+p AS (SELECT *, coalesce(list_position(list_transform(range(1, n + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)), true) - 1, n) AS same FROM c),
+near AS (SELECT DISTINCT CASE WHEN fa > fb THEN a ELSE b END AS line FROM p
+  WHERE substr(a, same + CASE WHEN length(b) > n THEN 1 ELSE 2 END) = substr(b, same + 2)),
+gone AS (SELECT b.doc_id, b.pos FROM b JOIN f USING (line) LEFT JOIN near USING (line) WHERE near.line IS NOT NULL OR (b.doc_id, b.pos) <> f.first),
+g AS (SELECT doc_id, count(DISTINCT pos) AS n, list_sort(list_distinct(list(pos))) AS ps FROM gone GROUP BY doc_id)
+SELECT s.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_dropped, coalesce(array_to_string(ps, ','), '') AS dropped
+FROM s LEFT JOIN g USING (doc_id)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +72,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_components(_table(spark, sf_dir, "documents"))
 
@@ -61,8 +85,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scores, op2_secret_scan, op3_personal_data, op4_decontamination, op5_quality_scores, op6_warc, op8_ngram_jaccard, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_secret_scan, op3_personal_data, op4_decontamination, op5_quality_scores, op6_warc, op7_line_dedup, op8_ngram_jaccard, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": OP6}
+    return {"op6_warc": OP6, "op7_line_dedup": OP7}
