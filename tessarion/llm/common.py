@@ -99,8 +99,9 @@ def unpack(data: bytes) -> list[np.ndarray]:
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the finaliser constants are fixed values)."""
     x = np.asarray(x, np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 

@@ -17,7 +17,7 @@ Scale: the texts are read once and nothing is dealt out but the hits; the items'
 about ``slice_items`` items or ``slice_chars`` characters (its bound), each slice being matched against all documents.
 
 Defined results: null or empty texts and items match nothing; an item of fewer words than ``shingle`` is one shingle, all of its words; words
-compare with A-Z lower-cased; one row for each (document row, item) that matches, repeated rows included.
+compare in lower case and without punctuation round them; one row for each (document row, item) that matches, repeated rows included.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarion.llm.common import lower_words, word_codes
+from tessarion.llm.common import word_codes
+
+_OUTER = b".,;:!?\"'()[]{}"
 
 
 @dataclass(frozen=True)
@@ -99,12 +101,17 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """Words in lower case, without the punctuation round them (unless there is nothing else)."""
+    return [w.strip(_OUTER) or w for w in text.lower().encode("utf-8", "surrogatepass").split()] if text else []
+
+
 class Index:
     """The items' fingerprints, by band, with one lookup table for each block of bits."""
 
     def __init__(self, items: list[tuple[int, str]], how: Radar) -> None:
         self.how = how
-        self.items = [(i, lower_words(t)) for i, t in items]
+        self.items = [(i, plain_words(t)) for i, t in items]
         self.items = [(i, w) for i, w in self.items if w]
         self.counts = [shingles(w, how.shingle) for _, w in self.items]
         k = how.radius + 1
@@ -212,7 +219,7 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Radar = Radar()) -> Dat
                 while at < batch.num_rows:  # as many documents as hold about a quarter million words
                     docs_, n, first = [], 0, at
                     while at < batch.num_rows and n < 250_000:
-                        docs_.append(lower_words(texts[at].as_py()))
+                        docs_.append(plain_words(texts[at].as_py()))
                         n += len(docs_[-1])
                         at += 1
                     rows = [(first + i, *m) for i, found in enumerate(index.search(docs_, cache)) for m in found]

@@ -33,7 +33,6 @@ class Mix:
     weights: tuple[float, ...] = (1.0, 2.0, 3.0)
     most: float = 3.0
     rounds: int = 8
-    rows_per_bucket: int = 20_000
     seed: int = 17
 
 
@@ -117,7 +116,7 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     used = slots.groupBy("si", "block").agg(F.count("*").alias("times"))
 
     rows = sum(r[2] for r in per_source)
-    buckets = max(1, rows // how.rows_per_bucket)
+    buckets = max(1, math.isqrt(rows))  # level: as many buckets as rows in one
     rich = sized.join(F.broadcast(plan) if len(sizes) <= 10_000 else plan, sized["source"].eqNullSafe(plan["source"])).drop("source")
     rich = rich.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
     ahead = rich.groupBy("si", "bucket").agg(F.sum("size").alias("s"))
