@@ -125,8 +125,8 @@ def run(o: argparse.Namespace, spark) -> dict | None:  # noqa: ANN001
         grid = registry.grid_of(dataset)
         grid.decimated(o.decimate)
         spec = geotiff.RasterSpec.of(grid, dataset["epsg"], dataset["nodata"])
-        cells = geotiff.cells(spark(), f"{o.root}/{dataset['path']}", spec)
-        return documents.table_build(table.publish(cells, grid, o.cache, o.decimate, dataset["nodata"]), o.dataset)
+        rows = geotiff.read(spark(), f"{o.root}/{dataset['path']}", spec)
+        return documents.table_build(table.publish(rows, grid, o.cache, o.decimate, dataset["nodata"]), o.dataset)
 
     if o.dataset is not None and o.registry:
         registry.raster(registry.load(o.registry), o.dataset)

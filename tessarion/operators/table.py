@@ -12,6 +12,8 @@ import math
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,11 +129,72 @@ def fnv_digest(clean: DataFrame) -> str:
     return hexadecimal(state)
 
 
-def parallel_digest(cells: DataFrame) -> str:
-    """An order-free digest of (row, col, value): sums and exclusive ors of row hashes, in one pass without a sort."""
-    h = F.xxhash64("row", "col", "value")
-    x, s, n = cells.agg(F.bit_xor(h), F.sum(h.cast("decimal(38,0)")), F.count("*")).first()
-    return "0x" + hashlib.sha256(f"{x}:{s}:{n}".encode()).hexdigest()[:16]
+def pack_rows(cells: DataFrame) -> DataFrame:
+    """(row, values array<float>) of raw cells."""
+    return cells.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]).alias("values"))
+
+
+_TALLIES = ("nodata", "unexpected_negative", "zero", "populated")
+_SUMMED = "row int, prefix array<double>, nodata long, unexpected_negative long, zero long, populated long, hx long, hs long"
+
+
+def prefix_rows(rows: DataFrame, grid: Grid, factor: int = 1, nodata: float | None = None) -> DataFrame:
+    """One pass over packed raster rows: the row prefixes of the (decimated) grid, with the tallies of the raw cells and two order-free
+    combinations of the raw rows' hashes. Rows stand alone, so undecimated ones are never shuffled; a decimated row gathers ``factor``."""
+    from tessarion.sources import raster
+
+    nodata = raster.NODATA if nodata is None else nodata
+    coarse = grid.decimated(factor)
+
+    def batch(rows: list, sums: list, counts: list, hashes: list) -> pa.RecordBatch:
+        cols = [pa.array(rows, pa.int32()), pa.array(sums, pa.list_(pa.float64())), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), *(pa.array([h[k] for h in hashes], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _SUMMED.split(", ")])
+
+    def scan(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                at, sums, counts, hashes = [], [], [], []
+                for row, v in zip(b.column("row").slice(k, 64).to_pylist(), b.column("values").slice(k, 64)):
+                    x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float32)
+                    if len(x) != grid.width or not 0 <= row < grid.height:
+                        raise ValueError(f"row {row} holds {len(x)} cells of {grid.width}")
+                    none = np.isnan(x) if math.isnan(nodata) else x == np.float32(nodata)
+                    good = ~none & (x > 0)
+                    below = ~none & (x < 0)
+                    clean = np.where(good, x, 0).astype(np.float64)
+                    counts.append((int(none.sum()), int(below.sum()), int(grid.width - none.sum() - below.sum() - good.sum()), int(good.sum())))
+                    h = int.from_bytes(hashlib.blake2b(clean.astype("<f4").tobytes(), digest_size=8, key=row.to_bytes(8, "little")).digest(), "little", signed=True)
+                    hashes.append((h, h))
+                    at.append(row)
+                    sums.append(clean.reshape(-1, factor).sum(axis=1) if factor > 1 else np.concatenate([[0.0], np.cumsum(clean)]))
+                yield batch(at, sums, counts, hashes)
+
+    scanned = rows.select("row", "values").mapInArrow(scan, _SUMMED)
+    if factor == 1:
+        return scanned
+
+    def gather(key, t):  # noqa: ANN001, ANN202
+        if t.num_rows != factor:
+            raise ValueError(f"{t.num_rows} raster rows of {factor} for row {key[0]}")
+        order = np.argsort(t.column("row").to_numpy())
+        total = np.zeros(coarse.width)
+        for i in order:
+            total += t.column("prefix")[int(i)].values.to_numpy()
+        counts = [tuple(int(t.column(c).to_numpy().sum()) for c in _TALLIES)]
+        hashes = [(int(np.bitwise_xor.reduce(t.column("hx").to_numpy())), int(np.add.reduce(t.column("hs").to_numpy())))]
+        return pa.Table.from_batches([batch([key[0].as_py()], [np.concatenate([[0.0], np.cumsum(total)])], counts, hashes)])
+
+    return scanned.groupBy(F.expr(f"row div {factor}").cast("int").alias("coarse")).applyInArrow(gather, _SUMMED)
+
+
+def digest_of_rows() -> Column:
+    """The aggregate that names a raster: an order-free digest of its cleaned rows, whatever the decimation."""
+    both = F.concat_ws(":", F.bit_xor("hx").cast("string"), F.pmod(F.sum(F.col("hs").cast("decimal(38,0)")), F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("string"))
+    return F.concat(F.lit("0x"), F.substring(F.sha2(both, 256), 1, 16))
+
+
+def parallel_digest(cells_raw: DataFrame, grid: Grid) -> str:
+    return prefix_rows(pack_rows(cells_raw), grid).agg(digest_of_rows().alias("d")).first()[0]
 
 
 def hexadecimal(value: int) -> str:
@@ -230,26 +293,21 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         source.close()
 
 
-def publish(cells_raw: DataFrame, grid: Grid, path: str, decimation: int = 1, nodata: float | None = None, serial_digest: bool = False) -> Built:
-    """Clean, decimate and publish a raster's row prefixes under ``path``: data first, then ``identity.json`` as the commit mark."""
-    from tessarion.sources import raster
-
-    nodata = raster.NODATA if nodata is None else nodata
+def publish(rows: DataFrame, grid: Grid, path: str, decimation: int = 1, nodata: float | None = None) -> Built:
+    """Clean, decimate and publish packed raster rows under ``path``: data first, then ``identity.json`` as the commit mark."""
     coarse = grid.decimated(decimation)
-    spark = cells_raw.sparkSession
-    clean = raster.sanitised(cells_raw, nodata)
-    digest = fnv_digest(clean) if serial_digest else parallel_digest(clean)
-    counts = raster.tallies(cells_raw, nodata).first().asDict()
-    clean = decimate(clean, decimation) if decimation > 1 else clean
-    prefix = row_prefix(clean, coarse)
-    prefix.repartitionByRange("row").sortWithinPartitions("row").write.mode("errorifexists").parquet(f"{path}/rows")
-    n, total, least = spark.read.parquet(f"{path}/rows").agg(F.count("*"), F.sum(F.element_at("prefix", -1)), F.min(F.size("prefix"))).first()
-    if n != coarse.height or least != coarse.width + 1:
-        raise CacheError("incomplete", f"{n} rows of at least {least} sums for a grid of {coarse.width} x {coarse.height}")
-    identity = Identity(digest, decimation, coarse)
-    header = {"format": TABLE_FORMAT, **identity.fields(), "total": total, "tallies": counts}
+    spark = rows.sparkSession
+    prefix_rows(rows, grid, decimation, nodata).sortWithinPartitions("row").write.mode("errorifexists").parquet(f"{path}/rows")
+    made = spark.read.parquet(f"{path}/rows")
+    facts = made.agg(digest_of_rows().alias("digest"), F.count("*").alias("n"), F.countDistinct("row").alias("distinct"), F.sum(F.element_at("prefix", -1)).alias("total"), *[F.sum(c).alias(c) for c in _TALLIES]).first()
+    if not facts["n"] == facts["distinct"] == coarse.height:
+        raise CacheError("incomplete", f"{facts['n']} rows for a grid of {coarse.width} x {coarse.height}")
+    counts = {c: facts[c] for c in _TALLIES}
+    counts["total"] = sum(counts.values())
+    identity = Identity(facts["digest"], decimation, coarse)
+    header = {"format": TABLE_FORMAT, **identity.fields(), "total": facts["total"], "tallies": counts}
     write_text(spark, f"{path}/identity.json", json.dumps(header))
-    return Built(identity, total, counts, path, {"header": f"{path}/identity.json", "payload": f"{path}/rows"})
+    return Built(identity, facts["total"], counts, path, {"header": f"{path}/identity.json", "payload": f"{path}/rows"})
 
 
 def open_table(spark: SparkSession, path: str, want: Identity) -> DataFrame:

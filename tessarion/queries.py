@@ -224,12 +224,12 @@ def orthographic_cells(spark, d):  # noqa: ANN001, ANN201
 
 
 def digest(spark, d):  # noqa: ANN001, ANN201
-    return spark.createDataFrame([(table.fnv_digest(people(spark, d)), table.parallel_digest(people(spark, d)))], "serial string, parallel string")
+    return spark.createDataFrame([(table.fnv_digest(people(spark, d)), table.parallel_digest(raw_cells(spark, d), GLOBE))], "serial string, parallel string")
 
 
 def published_table(spark, d):  # noqa: ANN001, ANN201
     path = scratch.path(spark, "table")
-    built = table.publish(raw_cells(spark, d), GLOBE, path, decimation=2)
+    built = table.publish(table.pack_rows(raw_cells(spark, d)), GLOBE, path, decimation=2)
     prefix = table.open_table(spark, path, built.identity)
     return prefix.select("row", F.element_at("prefix", -1).alias("total"))
 
@@ -239,10 +239,10 @@ def grid_document(spark, d):  # noqa: ANN001, ANN201
 
 
 def streamed_prefixes(spark, d):  # noqa: ANN001, ANN201
-    packed = raw_cells(spark, d).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "value"))), lambda x: x["value"]).alias("values"))
+    packed = table.pack_rows(raw_cells(spark, d))
     rows, out, state = (scratch.path(spark, f"stream-{k}") for k in ("rows", "prefix", "state"))
     packed.write.parquet(rows)
-    streaming.write_prefixes(spark.readStream.schema("row int, values array<float>").parquet(rows), out, state).awaitTermination()
+    streaming.write_prefixes(spark.readStream.schema("row int, values array<float>").parquet(rows), GLOBE, out, state).awaitTermination()
     return spark.read.schema("row int, prefix array<double>").parquet(out).select("row", F.posexplode("prefix").alias("c", "v"))
 
 

@@ -2,35 +2,24 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessarion.operators import table
 from tessarion.plans.grid import Grid
 from tessarion.sources import raster
 
 
-def row_prefixes(rows: DataFrame, nodata: float = raster.NODATA) -> DataFrame:
+def row_prefixes(rows: DataFrame, grid: Grid, nodata: float = raster.NODATA) -> DataFrame:
     """(row, prefix) of packed raster rows (row, values), batch or stream: each row stands alone, so it is a projection and memory is
     one row's width whatever the raster's height."""
+    return table.prefix_rows(rows, grid, 1, nodata).select("row", "prefix")
 
-    def run(batches):  # noqa: ANN001, ANN202
-        for b in batches:
-            out = []
-            for v in b.column("values"):
-                x = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float32)
-                good = (x > 0) & ~np.isnan(x) & (x != np.float32(nodata))
-                out.append(np.concatenate([[0.0], np.cumsum(np.where(good, x, 0).astype(np.float64))]))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.list_(pa.float64()))], ["row", "prefix"])
 
-    return rows.mapInArrow(run, "row int, prefix array<double>")
-
-
-def write_prefixes(rows: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+def write_prefixes(rows: DataFrame, grid: Grid, output: str, checkpoint: str) -> StreamingQuery:
     """Publish row prefixes as raster rows arrive; a restart goes on where the checkpoint is."""
-    return row_prefixes(rows).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return row_prefixes(rows, grid).writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def event_cells(events: DataFrame, grid: Grid, window: str = "1 day", late: str = "1 hour") -> DataFrame:

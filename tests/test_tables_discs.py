@@ -60,7 +60,7 @@ def test_tallies_and_digest(spark):
     three = Grid(3, 1, 90, -180, 120, -180)
     sample = raster.synthetic(spark, three, [[1.0, N, 2.5]])
     assert table.fnv_digest(raster.sanitised(sample)) == "0x3a5d5e3b082f2fb7"
-    assert table.parallel_digest(sample) == table.parallel_digest(sample.repartition(3)) != table.parallel_digest(sample.where("col < 2"))
+    assert table.parallel_digest(sample, three) == table.parallel_digest(sample.repartition(3), three) != table.parallel_digest(sample.withColumn("value", F.col("value") + 1), three)
     assert table.exact_total(raster.sanitised(sample)) == 3.5
     with pytest.raises(Exception, match="off the grid"):
         raster.checked(sample.withColumn("col", F.lit(3)), three).count()
@@ -206,10 +206,14 @@ def test_ledger_resumes_and_refuses(spark, dense, tmp_path):
 
 
 def test_published_tables(spark, tmp_path):
-    raw = patch(spark, CLUSTER)
+    raw = table.pack_rows(patch(spark, CLUSTER))
     built = table.publish(raw, G, str(tmp_path / "t"), 2)
     assert built.total == 400 and built.tallies["populated"] == 4
     prefix = table.open_table(spark, str(tmp_path / "t"), built.identity)
+    whole = table.publish(raw, G, str(tmp_path / "w"))
+    assert whole.identity.digest == built.identity.digest and whole.total == 400
+    with pytest.raises(Exception, match="raster rows of 2"):
+        table.publish(raw.where("row > 0"), G, str(tmp_path / "x"), 2)
     assert prefix.count() == 9 and "PushedFilters" in prefix.where("row = 3")._jdf.queryExecution().toString()
     for other, name in ((Identity(built.identity.digest, 1, G), "width"), (Identity("0x0", 2, G.decimated(2)), "digest")):
         with pytest.raises(CacheError, match=name):
@@ -225,7 +229,7 @@ def test_published_tables(spark, tmp_path):
 
 def test_streamed_rows_equal_batch(spark):
     packed = spark.createDataFrame([(0, [1.0, float(N), math.nan, -3.0, 2.5])], "row int, values array<float>")
-    assert streaming.row_prefixes(packed).first()["prefix"] == [0, 1, 1, 1, 1, 3.5]
+    assert streaming.row_prefixes(packed, Grid(5, 1, 90, -180, 72, -180)).first()["prefix"] == [0, 1, 1, 1, 1, 3.5]
 
 
 def test_plans(spark, dense):
