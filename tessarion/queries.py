@@ -251,7 +251,63 @@ def event_people(spark, d):  # noqa: ANN001, ANN201
     return streaming.event_cells(events, GLOBE).groupBy("row", "col").agg(F.sum("value").alias("value"))
 
 
+def sweep(spark, d):  # noqa: ANN001, ANN201
+    return smallest.radii_for_shares(people(spark, d), GLOBE, [p / 100.0 for p in smallest.sweep_percents(10, 90, 20)])
+
+
+def block_slack(spark, d):  # noqa: ANN001, ANN201
+    return spark.createDataFrame([(b.north, b.first, round(disc.slack_km(GLOBE, b.north, b.south, b.first, b.last), 5)) for b in tile(GLOBE, 5)], "north int, first int, slack_km double")
+
+
+def window_cells(spark, d):  # noqa: ANN001, ANN201
+    windows = [(55.0, -12.0, -31.0, 47.5), (35.0, -80.0, 142.0, -127.0), (10.0, 0.0, -180.0, 180.0), (10.0, -90.0, 0.0, 10.0)]
+    rows = []
+    for w in windows:
+        place = GLOBE.covering(Window(*w))
+        rows.append((*w, *((place[0][0], place[0][1], place[1].west, place[1].east, place[1].full_turn) if place else (None,) * 5)))
+    return spark.createDataFrame(rows, "north double, south double, west double, east double, first_row int, last_row int, first_col int, last_col int, full_turn boolean")
+
+
+def wrapped_spans(spark, d):  # noqa: ANN001, ANN201
+    centres = GLOBE.cells(spark).where("row in (0, 9)").select((F.col("row") * 36 + F.col("col")).alias("id"), F.col("row").alias("centre_row"), F.col("col").alias("centre_col"), F.lit(3000.0).alias("radius_km"))
+    spans = disc.placed(disc.kernels(GLOBE, centres.select("centre_row", "radius_km").distinct()), centres, GLOBE)
+    return spans.groupBy("id").agg(F.sum(F.col("east") - F.col("west") + 1).cast("long").alias("cells"), F.countDistinct("row").alias("rows"))
+
+
+def whole_grid_kernels(spark, d):  # noqa: ANN001, ANN201
+    found = disc.kernels(GLOBE, _kernel_centres(spark)).groupBy("centre_row", "radius_km").agg(F.bool_and("full_turn").alias("full"), F.count("*").alias("n"))
+    return found.select("centre_row", "radius_km", (F.col("full") & (F.col("n") == GLOBE.height)).alias("covers"))
+
+
+def best_by_row(spark, d):  # noqa: ANN001, ANN201
+    cells = people(spark, d).select((F.col("row") % 3).alias("band"), "row", "col", F.col("value").alias("population"))
+    return disc.best(cells, "band")
+
+
+def ledger_lookup(spark, d):  # noqa: ANN001, ANN201
+    probes = people(spark, d).select((F.col("row") * 36 + F.col("col")).alias("km"))
+    settled = people(spark, d).where("value > 60").select((F.col("row") * 36 + F.col("col")).alias("km"))
+    hits, misses = probes.join(settled, "km", "left_semi"), probes.join(settled, "km", "left_anti")
+    return hits.select("km", F.lit("reused").alias("how")).union(misses.select("km", F.lit("searched").alias("how")))
+
+
+def digest_text(spark, d):  # noqa: ANN001, ANN201
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
+    return o.select("o_orderkey", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("o_orderkey")), 16, "0")).alias("digest"))
+
+
+def enclosed_poles(spark, d):  # noqa: ANN001, ANN201
+    caps = [(10.0, 3000.0), (78.0, 3000.0), (-80.0, 4000.0), (25.125, 16384.0), (30.0, 3300.0)]
+    return spark.createDataFrame([(lat, km, -90.0 in (p := figures.enclosed_poles(lat, km)), 90.0 in p) for lat, km in caps], "lat double, radius_km double, south boolean, north boolean")
+
+
+def cells_as_json(spark, d):  # noqa: ANN001, ANN201
+    kept = raw_cells(spark, d).select("row", "col", F.when(F.col("value") > 0, F.col("value").cast("int")).alias("people"))
+    return documents.as_json(kept)
+
+
 _ALL = (
+    sweep, block_slack, window_cells, wrapped_spans, whole_grid_kernels, best_by_row, ledger_lookup, digest_text, enclosed_poles, cells_as_json,
     cell_tallies, cell_classes, dataset_statistics, sanitised_cells, summed_area_table, row_prefix_sums, window_population, window_wrapped, whole_extent, many_windows,
     decimated_cells, decimated_table, distances, coordinate_to_cell, column_steps, cell_geometry, kernel, population_at, population_all_centres, most_populous,
     most_populous_pruned, search_counters, smallest_for_shares, smallest_for_share, ambiguous_radii, ledger_upsert, block_tiling, block_split, identity_refusal,
@@ -282,7 +338,18 @@ j AS (SELECT *, lon - lag(lon) OVER (ORDER BY vertex) AS jump FROM z)"""
     ortho = f"{CELLS}, o AS (SELECT row, col, radians(lat) AS p, radians(lon - 100) AS d, radians(30.0) AS q FROM geo)"
     area = "6371.0088 * 6371.0088 * radians(10.0) * (sin(radians(90.0 - 10 * row)) - sin(radians(90.0 - 10 * (row + 1))))"
     sat = f"WITH {CELLS} SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, coalesce((SELECT sum(value) FROM cells WHERE row < r AND col < c), 0) AS v FROM range(0, 19) a(r), range(0, 37) b(c)"
+    kernels = f"WITH k AS (SELECT CAST(i AS INTEGER) AS centre_row, radius_km FROM range(18) a(i), (VALUES (1500::DOUBLE), (4000), (8000), (20016)) b(radius_km)), r AS (SELECT CAST(i AS INTEGER) AS row FROM range(18) c(i)), w AS (SELECT k.centre_row, k.radius_km, r.row, {half.format(h=h)} AS half_width FROM k, r)"
     return {
+        "sweep": f"WITH {rings.replace('(0.1::DOUBLE), (0.25), (0.5), (1.0)', '(0.1::DOUBLE), (0.3), (0.5), (0.7), (0.9)')} SELECT share, persons, CAST(least(20016, ceil(min(km))) AS INTEGER) AS radius_km FROM goals JOIN grown ON pop >= persons GROUP BY share, persons",
+        "block_slack": f"WITH {blocks}, m AS (SELECT *, north + (south - north) // 2 AS pr, first + (last - first) // 2 AS pc FROM tiles) SELECT north, first, round(6371.0088 * (radians(10.0 * greatest(pr - north, south - pr)) + radians(10.0 * greatest(pc - first, last - pc)) * cos(radians(85 - 10.0 * pr))), 5) AS slack_km FROM m",
+        "window_cells": "SELECT * FROM (VALUES (55::DOUBLE, -12::DOUBLE, -31::DOUBLE, 47.5::DOUBLE, 3, 10, 14, 22, false), (35, -80, 142, -127, 5, 17, 32, 5, false), (10, 0, -180, 180, 8, 9, 0, 35, true), (10, -90, 0, 10, NULL, NULL, NULL, NULL, NULL)) t(north, south, west, east, first_row, last_row, first_col, last_col, full_turn)",
+        "wrapped_spans": f"WITH {PAIRS} SELECT row * 36 + col AS id, count(*) AS cells, count(DISTINCT r) AS rows FROM pairs WHERE row IN (0, 9) AND km <= 3000 GROUP BY ALL",
+        "whole_grid_kernels": f"{kernels} SELECT centre_row, radius_km, bool_and(coalesce(half_width >= 18, false)) AS covers FROM w GROUP BY ALL",
+        "best_by_row": f"WITH {CELLS} SELECT row % 3 AS band, row, col, value AS population FROM cells QUALIFY row_number() OVER (PARTITION BY row % 3 ORDER BY value DESC, row, col) = 1",
+        "ledger_lookup": f"WITH {CELLS} SELECT row * 36 + col AS km, CASE WHEN value > 60 THEN 'reused' ELSE 'searched' END AS how FROM cells",
+        "digest_text": "SELECT o_orderkey, printf('0x%016x', o_orderkey) AS digest FROM orders",
+        "enclosed_poles": "SELECT lat, radius_km, 6371.0088 * radians(90 + lat) < radius_km AS south, 6371.0088 * radians(90 - lat) < radius_km AS north FROM (VALUES (10::DOUBLE, 3000::DOUBLE), (78, 3000), (-80, 4000), (25.125, 16384), (30, 3300)) t(lat, radius_km)",
+        "cells_as_json": f"""WITH {CELLS} SELECT '{{"row":' || row || ',"col":' || col || CASE WHEN value > 0 THEN ',"people":' || CAST(value AS INTEGER) ELSE '' END || '}}' AS document FROM raw""",
         "cell_tallies": f"WITH {CELLS} SELECT count(*) FILTER (value < -1) AS nodata, count(*) FILTER (value = -1) AS unexpected_negative, count(*) FILTER (value = 0) AS zero, count(*) FILTER (value > 0) AS populated, count(*) AS total FROM raw",
         "cell_classes": f"WITH {CELLS} SELECT row, col, CASE WHEN value < -1 THEN 'nodata' WHEN value < 0 THEN 'unexpected_negative' WHEN value = 0 THEN 'zero' ELSE 'populated' END AS kind FROM raw",
         "dataset_statistics": f"WITH {CELLS} SELECT count(*) FILTER (value < -1) AS nodata, count(*) FILTER (value = -1) AS unexpected_negative, count(*) FILTER (value = 0) AS zero, count(*) FILTER (value > 0) AS populated, count(*) AS total, CAST(sum(value) FILTER (value > 0) AS DOUBLE) AS total_population, CAST(max(value) FILTER (value > 0) AS DOUBLE) AS largest FROM raw",
