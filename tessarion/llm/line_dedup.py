@@ -57,25 +57,37 @@ def _probes(lines: DataFrame, how: Lines) -> DataFrame:
 
 def within_one_edit(a: Column, b: Column) -> Column:
     """Whether two strings are within one edit: bit-parallel over the three diagonals, one step for each character of ``a``."""
-    x, y = F.encode(a, "UTF-32"), F.encode(b, "UTF-32")  # four bytes a character: constant-time access
     n, m = F.char_length(a), F.char_length(b)
     at = lambda s, i: F.substring(s, 4 * i - 3, F.lit(4))
 
     def step(r: Column, i: Column) -> Column:
         # Bit 0, 1, 2: diagonal -1, 0, +1. r.e0: reachable without an error, r.e1: with at most one.
-        c = at(x, i)
-        eq = (
-            F.when((i > 1) & (c == at(y, i - 1)), 1).otherwise(0)
-            .bitwiseOR(F.when((i <= m) & (c == at(y, i)), 2).otherwise(0))
-            .bitwiseOR(F.when((i < m) & (c == at(y, i + 1)), 4).otherwise(0))
-        )
-        e0 = r["e0"].bitwiseAND(eq)
-        one = r["e1"].bitwiseAND(eq).bitwiseOR(r["e0"]).bitwiseOR(F.shiftright(r["e0"], 1)).bitwiseOR(F.shiftleft(e0, 1))
-        return F.struct(e0.alias("e0"), one.bitwiseAND(F.lit(7)).alias("e1"))
+        same = lambda d: at(r["x"], i) == at(r["y"], i + d)
+        equal = F.when((i > 1) & same(-1), 1).otherwise(0).bitwiseOR(F.when((i <= r["m"]) & same(0), 2).otherwise(0)).bitwiseOR(F.when((i < r["m"]) & same(1), 4).otherwise(0))
 
-    start = F.struct(F.lit(2).alias("e0"), F.lit(6).alias("e1"))
-    end = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda r: r["e1"].bitwiseAND(F.pow(F.lit(2), m - n + 1).cast("int")))
-    return (F.abs(n - m) <= 1) & (end != 0)
+        def move(eq: Column) -> Column:
+            e0 = r["e0"].bitwiseAND(eq)
+            e1 = r["e1"].bitwiseAND(eq).bitwiseOR(r["e0"]).bitwiseOR(F.shiftright(r["e0"], 1)).bitwiseOR(F.shiftleft(e0, 1)).bitwiseAND(F.lit(7))
+            return F.struct(e0.alias("e0"), e1.alias("e1"), r["x"].alias("x"), r["y"].alias("y"), r["m"].alias("m"))
+
+        return F.element_at(F.transform(F.array(equal), move), 1)  # binds ``equal``, which is then worked out once
+
+    # The state holds both strings, four bytes a character: encoded once, read in constant time.
+    start = F.struct(F.lit(2).alias("e0"), F.lit(6).alias("e1"), F.encode(a, "UTF-32").alias("x"), F.encode(b, "UTF-32").alias("y"), m.alias("m"))
+    end = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda r: r["e1"])
+    hit = end.bitwiseAND(F.when(m < n, 1).when(m == n, 2).otherwise(4)) != 0
+    return F.when(F.abs(n - m) > 1, False).when((n == 0) | (m == 0), True).otherwise(hit)
+
+
+def unequal_middles(a: Column, b: Column, cuts: int = 16) -> tuple[Column, Column]:
+    """Both strings without equal beginnings and ends, found by comparing whole parts at ``cuts`` cuts; distances stay what they are."""
+    n, m = F.char_length(a), F.char_length(b)
+    least = F.least(n, m)
+    spots = [F.floor(least * k / cuts).cast("int") for k in range(1, cuts)]
+    lead = F.greatest(F.lit(0), *[F.when(F.substring(a, F.lit(1), p) == F.substring(b, F.lit(1), p), p).otherwise(0) for p in spots])
+    tail = F.greatest(F.lit(0), *[F.when(F.substring(a, n - p + 1, p) == F.substring(b, m - p + 1, p), p).otherwise(0) for p in spots])
+    tail = F.least(tail, least - lead)
+    return F.substring(a, lead + 1, n - lead - tail), F.substring(b, lead + 1, m - lead - tail)
 
 
 def _links(base: DataFrame, firsts: DataFrame, how: Lines) -> DataFrame:
@@ -104,8 +116,14 @@ def _links(base: DataFrame, firsts: DataFrame, how: Lines) -> DataFrame:
         open_ = stash(finer.distinct(), "line-cands")
     pairs = stash(pairs.distinct(), "line-pairs")
     a, b = (texts.select(F.col("h").alias(h), F.col("first").alias(f"{h}_first"), F.col("line").alias(f"{h}_line")) for h in ("h", "g"))
-    linked = pairs.join(a, "h").join(b, "g").where(F.abs(F.char_length("h_line") - F.char_length("g_line")) <= 1)
-    linked = linked.where(within_one_edit(F.col("h_line"), F.col("g_line")))
+    linked = pairs.join(a, "h").join(b, "g")
+    x, y = unequal_middles(F.col("h_line"), F.col("g_line"))
+    middles = linked.select("h", "g", "h_first", "g_first", x.alias("x"), y.alias("y"), F.greatest(F.char_length("h_line"), F.char_length("g_line")).alias("n"))
+    # What a single edit leaves unequal at sixteen cuts is an eighth of the line and a little.
+    middles = middles.where((F.greatest(F.char_length("x"), F.char_length("y")) <= F.col("n") / 8 + 3) & (F.abs(F.char_length("x") - F.char_length("y")) <= 1))
+    spread = 4 * base.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: dealt out by pair, not by size
+    middles = stash(middles.repartition(spread, "h", "g"), "line-middles")
+    linked = middles.where(within_one_edit(F.col("x"), F.col("y")))
     late = F.when(F.col("h_first") > F.col("g_first"), F.col("h")).otherwise(F.col("g"))
     return linked.select(late.alias("h")).distinct()
 
