@@ -99,8 +99,8 @@ def measure(text: str | None, bands: Bands, press: zstandard.ZstdCompressor) ->
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks long, chunks long, kept boolean"
 
 
-def quality_rules(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``rules`` of the measures and the verdict; every row stays."""
+def quality_rules(docs: DataFrame, bands: Bands = Bands(), text: str = "text", name: str = "rules") -> DataFrame:
+    """``docs`` with a struct column ``name`` of the measures and the verdict (in place of one so named); every row stays."""
     fields = [x.split()[0] for x in SCHEMA.split(", ")]
     types = [{"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in SCHEMA.split(", ")]
     rules = pa.struct(list(zip(fields, types)))
@@ -109,10 +109,10 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -
         press = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
             found = [dict(zip(fields, measure(x.as_py(), bands, press))) for x in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, rules)], [*batch.schema.names, "rules"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, rules)], [*batch.schema.names, name])
 
-    plain = docs.drop("rules")
-    return plain.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), f"rules struct<{SCHEMA.replace(' ', ':').replace(',:', ', ')}>"]))
+    plain = docs.drop(name)
+    return plain.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema), f"`{name}` struct<{SCHEMA.replace(' ', ':').replace(',:', ', ')}>"]))
 
 
 def op9(docs: DataFrame) -> DataFrame:
@@ -121,4 +121,4 @@ def op9(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that the base rule and the bands keep, with the columns of ``docs``."""
-    return quality_rules(docs).where(F.col("rules.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality_rules(docs, name="__rules").where(F.col("__rules.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
