@@ -38,7 +38,7 @@ END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567)
 @dataclass(frozen=True)
 class Lm:
     order: int = 2
-    block_tokens: int = 1_000_000
+    block_tokens: int = 700_000
     bucket_entries: int = 2_000_000
 
 
