@@ -79,15 +79,18 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.when(F.abs(n - m) > 1, False).when((n == 0) | (m == 0), True).otherwise(hit)
 
 
-def unequal_middles(a: Column, b: Column, cuts: int = 16) -> tuple[Column, Column]:
-    """Both strings without equal beginnings and ends, found by comparing whole parts at ``cuts`` cuts; distances stay what they are."""
+def unequal_middles(pairs: DataFrame, a: str, b: str, cuts: int = 16) -> DataFrame:
+    """``pairs`` with columns x and y: two strings without equal beginnings and ends, found by comparing whole parts at ``cuts`` cuts.
+    Distances stay what they are. Each step is a column of its own, so that no expression is spelt out twice in the plan."""
     n, m = F.char_length(a), F.char_length(b)
-    least = F.least(n, m)
-    spots = [F.floor(least * k / cuts).cast("int") for k in range(1, cuts)]
-    lead = F.greatest(F.lit(0), *[F.when(F.substring(a, F.lit(1), p) == F.substring(b, F.lit(1), p), p).otherwise(0) for p in spots])
-    tail = F.greatest(F.lit(0), *[F.when(F.substring(a, n - p + 1, p) == F.substring(b, m - p + 1, p), p).otherwise(0) for p in spots])
-    tail = F.least(tail, least - lead)
-    return F.substring(a, lead + 1, n - lead - tail), F.substring(b, lead + 1, m - lead - tail)
+    spot = lambda k: F.floor(F.col("least") * k / cuts).cast("int")
+    head = [F.when(F.substring(a, F.lit(1), spot(k)) == F.substring(b, F.lit(1), spot(k)), spot(k)).otherwise(0) for k in range(1, cuts)]
+    foot = [F.when(F.substring(a, F.col("n") - spot(k) + 1, spot(k)) == F.substring(b, F.col("m") - spot(k) + 1, spot(k)), spot(k)).otherwise(0) for k in range(1, cuts)]
+    out = pairs.withColumns({"n": n, "m": m, "least": F.least(n, m)})
+    out = out.withColumns({"lead": F.greatest(F.lit(0), *head), "foot": F.greatest(F.lit(0), *foot)})
+    out = out.withColumn("foot", F.least(F.col("foot"), F.col("least") - F.col("lead")))
+    middle = lambda c, size: F.substring(c, F.col("lead") + 1, F.col(size) - F.col("lead") - F.col("foot"))
+    return out.withColumns({"x": middle(F.col(a), "n"), "y": middle(F.col(b), "m")}).drop("n", "m", "least", "lead", "foot")
 
 
 def _links(base: DataFrame, firsts: DataFrame, how: Lines) -> DataFrame:
@@ -117,12 +120,12 @@ def _links(base: DataFrame, firsts: DataFrame, how: Lines) -> DataFrame:
     pairs = stash(pairs.distinct(), "line-pairs")
     a, b = (texts.select(F.col("h").alias(h), F.col("first").alias(f"{h}_first"), F.col("line").alias(f"{h}_line")) for h in ("h", "g"))
     linked = pairs.join(a, "h").join(b, "g")
-    x, y = unequal_middles(F.col("h_line"), F.col("g_line"))
-    middles = linked.select("h", "g", "h_first", "g_first", x.alias("x"), y.alias("y"), F.greatest(F.char_length("h_line"), F.char_length("g_line")).alias("n"))
+    longer = F.greatest(F.char_length("h_line"), F.char_length("g_line"))
+    spread = 4 * base.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: dealt out by pair, not by size
+    middles = unequal_middles(linked.repartition(spread, "h", "g"), "h_line", "g_line").select("h", "g", "h_first", "g_first", "x", "y", longer.alias("n"))
+    middles = stash(middles, "line-middles")
     # What a single edit leaves unequal at sixteen cuts is an eighth of the line and a little.
     middles = middles.where((F.greatest(F.char_length("x"), F.char_length("y")) <= F.col("n") / 8 + 3) & (F.abs(F.char_length("x") - F.char_length("y")) <= 1))
-    spread = 4 * base.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: dealt out by pair, not by size
-    middles = stash(middles.repartition(spread, "h", "g"), "line-middles")
     linked = middles.where(within_one_edit(F.col("x"), F.col("y")))
     late = F.when(F.col("h_first") > F.col("g_first"), F.col("h")).otherwise(F.col("g"))
     return linked.select(late.alias("h")).distinct()
