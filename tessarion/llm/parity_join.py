@@ -10,8 +10,9 @@ greatest difference a link allows, which keeps the guarantee; otherwise they are
 by ``growth``; a document joins its own band, and the next one if a linked partner can be there.
 
 Equal (band, word, parity) keys give candidates. Documents with equal sets are one node from the start. Inside a key's group not all
-pairs are tried: each round ties every node to the group's centre (a different one each round) and verifies those pairs on
-the full sets; verified links merge nodes into components, and groups within one component are done. When few pairs of
+pairs are tried: each round ties every node to the group's centre (a different one each round). Pairs are first held against a small
+bit sketch of each set (about a bit a shingle; the number of unequal bits never exceeds the symmetric difference either), and only
+those that may link are verified on the full sets; verified links merge nodes into components, and groups within one component are done. When few pairs of
 different components are left (at most ``exhaust`` a node), all of them are verified, so no link between components goes unseen.
 
 Defined results: null, empty and blank texts have no shingles and are alone; a text with fewer words than ``width`` is one shingle;
@@ -39,7 +40,7 @@ class Near:
     spare: float = 0.06
     bucket_entries: int = 2_000_000
     exhaust: int = 20
-    rounds: int = 8
+    rounds: int = 3
     broadcast_rows: int = 500_000
 
 
@@ -99,14 +100,30 @@ def sketch_keys(codes: np.ndarray, how: Near) -> list[np.ndarray]:
     return out
 
 
+def bit_sketch(codes: np.ndarray) -> bytes:
+    """Parity bits of a set, a power of two of them, at least as many as shingles."""
+    bits = max(64, 1 << int(len(codes) - 1).bit_length())
+    at = (mix64(codes + np.uint64(0x5EED)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, most: int) -> bool:
+    """Whether two bit sketches leave room for at most so many differences; the longer one is folded to the shorter's length."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum()) <= most
+
+
 def _thin(docs: DataFrame, how: Near) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for b in batches:
             sets = [shingle_codes(lower_words(t.as_py()), how.width, cache) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bit_sketch(s) if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, sketch binary")
 
 
 def _keys(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
@@ -184,6 +201,20 @@ def _sets(docs: DataFrame, how: Near) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, codes binary")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
+    """The pairs (a, b) that their sizes and bit sketches allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            columns = (t.column(c) for c in ("x", "y", "n", "m"))
+            good = [may_link(x.as_py(), y.as_py(), differ(n.as_py(), m.as_py(), how.percent)) for x, y, n, m in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), "n")
+    right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -212,7 +243,7 @@ def near_components(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
     base = docs.select("doc_id", "text")
     thin = stash(_thin(base, how), "near-thin")
-    nodes = stash(thin.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")), "near-nodes")
+    nodes = stash(thin.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "near-nodes")
     size = thin.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, -(-size * 55 // (100 * how.bucket_entries)))
     groups = stash(_groups(_keys(base, how, buckets)), "near-groups")
@@ -228,11 +259,20 @@ def near_components(docs: DataFrame, how: Near = Near()) -> DataFrame:
 
 def _join_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, how: Near) -> DataFrame:
     """(node, label) of the nodes in components of two or more."""
-    wanted = stash(groups.select("node").distinct().join(nodes, "node").select("first").where("first is not null").distinct(), "near-wanted")
-    few = wanted.count() <= how.broadcast_rows
-    chosen = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["first"], "left_semi")
-    sets = stash(_sets(chosen, how), "near-sets")
     spark = docs.sparkSession
+    sets = spark.createDataFrame([], "node long, codes binary")
+
+    def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``sets`` with those of the nodes in ``pairs`` that it lacks."""
+        fresh = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
+        wanted = stash(fresh.join(nodes, "node").select("node", "first"), "near-wanted")
+        n = wanted.count()
+        if not n:
+            return sets
+        ids = wanted.select("first").distinct()
+        chosen = docs.join(F.broadcast(ids) if n <= how.broadcast_rows else ids, docs["doc_id"].eqNullSafe(ids["first"]), "left_semi")
+        return sets.union(stash(_sets(chosen, how).join(F.broadcast(wanted) if n <= how.broadcast_rows else wanted, "node").select("node", "codes"), "near-sets"))
+
     links = spark.createDataFrame([], "a long, b long")
     tested = links
     labels = spark.createDataFrame([], "node long, label long")
@@ -252,11 +292,13 @@ def _join_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, how: Near)
             pairs = open_.join(centre, "key").where((F.col("label") != F.col("x.label")) & _fits(F.col("n"), F.col("x.n"), how)).select(F.col("x.node").alias("a"), F.col("node").alias("b"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = stash(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        tested = tested.union(pairs)
+        pairs = stash(_possible(pairs, nodes, how), "near-possible")
+        sets = with_sets(pairs, sets)
         links = stash(links.union(_verified(pairs, sets, how)), "near-links")
         labels = components(links).select("node", F.col("root").alias("label"))
         if last:
             break
-        tested = tested.union(pairs)
         now = groups.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
         mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         open_ = stash(now.join(mixed, "key", "left_semi"), "near-open")
