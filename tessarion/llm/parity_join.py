@@ -9,7 +9,9 @@ word agrees (pigeonhole). Words that no shingle hit say nothing and are left out
 greatest difference a link allows, which keeps the guarantee; otherwise they are keys too. Sizes are cut into bands that grow
 by ``growth``; a document joins its own band, and the next one if a linked partner can be there.
 
-Equal (band, word, parity) keys give candidates. Documents with equal sets are one node from the start. Inside a key's group not all
+Linked documents agree on more words than one: on at least the hit words of either less the greatest difference. So each document
+drops that many keys less one, those that most documents share (shared passages make them): of the keys a linked pair shares, the
+one that fewest share is never dropped by either. Equal (band, word, parity) keys that are left give candidates. Documents with equal sets are one node from the start. Inside a key's group not all
 pairs are tried: each round ties every node to the group's centre (a different one each round). Pairs are first held against a small
 bit sketch of each set (about a bit a shingle; the number of unequal bits never exceeds the symmetric difference either), and only
 those that may link are verified on the full sets; verified links merge nodes into components, and groups within one component are done. When few pairs of
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessarion.llm.common import components, lower_words, mix64, pack, stash, unpack, word_codes
@@ -37,7 +39,7 @@ class Near:
     width: int = 5
     percent: int = 80
     growth: float = 1.5
-    spare: float = 0.06
+    spare: float = 0.12
     bucket_entries: int = 2_000_000
     exhaust: int = 20
     rounds: int = 3
@@ -73,8 +75,8 @@ def differ(a: int, b: int, percent: int) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-def sketch_keys(codes: np.ndarray, how: Near) -> list[np.ndarray]:
-    """Keys of a set, for each band that it joins."""
+def sketch_keys(codes: np.ndarray, how: Near) -> list[tuple[int, int, np.ndarray]]:
+    """(band, keys that may be dropped, keys) of a set, for each band that it joins."""
     n = len(codes)
     edges = band_edges(n * 100 // how.percent, how.growth)
     own = next(j for j in range(len(edges) - 1) if edges[j] <= n < edges[j + 1])
@@ -94,9 +96,9 @@ def sketch_keys(codes: np.ndarray, how: Near) -> list[np.ndarray]:
         np.bitwise_xor.at(parity, slot, mix64(codes + salt))
         hit = np.zeros(words, bool)
         hit[slot] = True
-        enough = int(hit.sum()) > differ(n, min(largest, top), how.percent)
-        at = np.flatnonzero(hit) if enough else np.arange(words)
-        out.append(mix64(parity[at] + mix64(at.astype(np.uint64) + salt)))
+        agree = int(hit.sum()) - differ(n, min(largest, top), how.percent)  # hit words that any linked partner shares, at least
+        at = np.flatnonzero(hit) if agree > 0 else np.arange(words)
+        out.append((j, max(0, agree - 1), mix64(parity[at] + mix64(at.astype(np.uint64) + salt))))
     return out
 
 
@@ -129,65 +131,76 @@ def _thin(docs: DataFrame, how: Near) -> DataFrame:
 def _keys(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
     """(bucket, data): keys with the nodes that have them, for blocks of documents, equal sets of a block once."""
 
-    def flush(nodes: list[int], sizes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(nodes: list[int], sizes: list[int], bands: list[int], spare: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(keys)
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         order = np.lexsort((every, every % np.uint64(buckets)))
         every, owner = every[order], owner[order]
         edges = np.searchsorted(every % np.uint64(buckets), np.arange(buckets + 1).astype(np.uint64))
-        node, size = np.array(nodes, np.int64), np.array(sizes, np.int32)
+        node, size, band, free = np.array(nodes, np.int64), np.array(sizes, np.int32), np.array(bands, np.uint8), np.array(spare, np.int32)
         names, out = [], []
         for k in np.flatnonzero(np.diff(edges)):
             part = owner[edges[k] : edges[k + 1]]
             there, which = np.unique(part, return_inverse=True)
             names.append(k)
-            out.append(pack(np.diff(every[edges[k] : edges[k + 1]], prepend=np.uint64(0)), which.astype(np.uint32), node[there], size[there]))
+            out.append(pack(np.diff(every[edges[k] : edges[k + 1]], prepend=np.uint64(0)), which.astype(np.uint32), node[there], size[there], band[there], free[there]))
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], ["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         seen: set[int] = set()
-        nodes, sizes, keys, n = [], [], [], 0
+        nodes, sizes, bands, spare, keys, n = [], [], [], [], [], 0
         for b in batches:
             for t in b.column("text"):
                 codes = shingle_codes(lower_words(t.as_py()), how.width, cache)
                 if not len(codes) or (node := node_of(codes)) in seen:
                     continue
                 seen.add(node)
-                for k in sketch_keys(codes, how):
+                for band, free, k in sketch_keys(codes, how):
                     nodes.append(node)
                     sizes.append(len(codes))
+                    bands.append(band)
+                    spare.append(free)
                     keys.append(k)
                     n += len(k)
                 if n > 1_000_000:
-                    yield flush(nodes, sizes, keys)
-                    nodes, sizes, keys, n, seen = [], [], [], 0, set()
+                    yield flush(nodes, sizes, bands, spare, keys)
+                    nodes, sizes, bands, spare, keys, n, seen = [], [], [], [], [], 0, set()
         if n:
-            yield flush(nodes, sizes, keys)
+            yield flush(nodes, sizes, bands, spare, keys)
 
     return docs.select("text").mapInArrow(run, "bucket int, data binary")
 
 
 def _groups(keys: DataFrame) -> DataFrame:
-    """(key, node, n) of the keys that two or more nodes have."""
+    """(key, node, n, band, spare, holders) of the keys that two or more nodes have; ``holders``: how many."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(d.as_py()) for d in table.column("data")]
         key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         node = np.concatenate([p[2][p[1]] for p in parts])
-        size = np.concatenate([p[3][p[1]] for p in parts])
+        size, band, free = (np.concatenate([p[k][p[1]] for p in parts]) for k in (3, 4, 5))
         order = np.lexsort((node, key))
-        key, node, size = key[order], node[order], size[order]
+        key, node, size, band, free = key[order], node[order], size[order], band[order], free[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size = key[fresh], node[fresh], size[fresh]
+        key, node, size, band, free = key[fresh], node[fresh], size[fresh], band[fresh], free[fresh]
+        _, at, holders = np.unique(key, return_inverse=True, return_counts=True)
         same = key[1:] == key[:-1]
         keep = np.zeros(len(key), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        return pa.table({"key": key[keep].view(np.int64), "node": node[keep], "n": size[keep].astype(np.int32)})
+        return pa.table({"key": key[keep].view(np.int64), "node": node[keep], "n": size[keep].astype(np.int32), "band": band[keep].astype(np.int32), "spare": free[keep].astype(np.int32), "holders": holders[at][keep].astype(np.int32)})
 
-    return keys.groupBy("bucket").applyInArrow(run, "key long, node long, n int")
+    return keys.groupBy("bucket").applyInArrow(run, "key long, node long, n int, band int, spare int, holders int")
+
+
+def _rarest(groups: DataFrame) -> DataFrame:
+    """(key, node, n) without the ``spare`` most shared keys of each node and band, and without keys that one node is left with."""
+    most = Window.partitionBy("node", "band").orderBy(F.desc("holders"), "key")
+    left = stash(groups.withColumn("rank", F.row_number().over(most)).where("rank > spare").select("key", "node", "n"), "near-rare")
+    shared = left.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    return left.join(shared, "key", "left_semi")
 
 
 def _sets(docs: DataFrame, how: Near) -> DataFrame:
@@ -246,7 +259,7 @@ def near_components(docs: DataFrame, how: Near = Near()) -> DataFrame:
     nodes = stash(thin.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "near-nodes")
     size = thin.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(1, -(-size * 55 // (100 * how.bucket_entries)))
-    groups = stash(_groups(_keys(base, how, buckets)), "near-groups")
+    groups = stash(_rarest(_groups(_keys(base, how, buckets))), "near-groups")
     labels = _join_links(base, nodes, groups, how) if groups.head(1) else None
     if labels is None:
         named = nodes.select("node", F.col("first").alias("component_id"))
