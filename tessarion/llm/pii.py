@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessarion.llm.common import stash
@@ -191,5 +191,9 @@ def personal_data(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KINDS])
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<k:int,s:int,e:int>>"))))
     shown = F.array_join(F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+
+    def of_kind(i: int) -> Callable[[Column], Column]:
+        return lambda x: x["k"] == i  # one parameter: a second one would be the index
+
+    counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return both.select("doc_id", *counts, "base_sha256", shown.alias("spans"), F.when(F.col("more").isNull(), 0).otherwise(F.size("more")).cast("long").alias("n_discovered"))

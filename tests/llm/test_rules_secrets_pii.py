@@ -121,7 +121,7 @@ def test_secret_edges(spark):
 
 
 def test_pii_base_shapes():
-    text = "é a.b@c-d.co 1.2.3.256 10.0.0.1 4111 1111 1111 1111 +1 (202) 555-0100 00000000001.2.3.4 " + "9" * 5000 + ".1.1.1"
+    text = "é a.b@c-d.co 1.2.3.256 x 10.0.0.1 x 4111 1111 1111 1111 x +1 (202) 555-0100 x 00000000001.2.3.4 x " + "9" * 5000 + ".1.1.1"
     found = [(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)]
     assert found == [("email", "a.b@c-d.co"), ("ip", "10.0.0.1"), ("ip", "00000000001.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (202) 555-0100")]
 
@@ -140,3 +140,12 @@ def test_contexts_find_unseen_identifiers_and_base_stays(spark):
 def test_pii_edges(spark):
     assert pii.personal_data(frame(spark, EDGE)).count() == len(EDGE)
     assert pii.personal_data(frame(spark, [])).count() == 0
+
+
+def test_pii_counts_and_digest_by_kind(spark, rows_of):
+    rows = rows_of("documents", 400) + [(7001, "a@b.co c@d.co 1.2.3.4 x +1 (202) 555-0100 x 4111 1111 1111 1111")]
+    for r, (_, t) in zip(sorted(pii.personal_data(frame(spark, rows)).collect(), key=lambda r: r["doc_id"]), sorted(rows)):
+        base = pii.base_spans(t)
+        said = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in base)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(b[0] == i for b in base) for i in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest() and set(said.split(",")) <= set(r["spans"].split(","))
