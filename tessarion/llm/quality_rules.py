@@ -1,9 +1,10 @@
 """Rule-based quality verdicts: counts over words and lines, and compression bands.
 
-Method: zstandard ratios (compressed bytes / UTF-8 bytes) of the whole document and of its fixed-size chunks. Text that
-repeats itself compresses far below what prose of its length does, and noise hardly compresses at all, so each length
-class has a lower and an upper limit; a document is kept when its whole ratio lies within the band of its length and no
-more than ``max_bad_share`` of its chunks lie outside the chunk band.
+Method: zstandard ratios (compressed bytes / UTF-8 bytes) of the whole document and, if it is longer than one chunk, of its
+fixed-size chunks, which cover every byte: the last one ends with the text and overlaps the one before. Text that repeats
+itself compresses far below what prose of its length does, and noise hardly compresses at all, so each length class has a
+lower and an upper limit; a document is kept when its whole ratio lies within the band of its length and no more than
+``max_bad_share`` of its bytes lie in chunks outside the chunk band. A document of at most one chunk has its whole ratio only.
 
 Defined results: a null or empty text has no words and fails the base rule; null ids, repeated rows and extra columns pass
 through untouched (one output row for each input row); an empty table gives an empty result.
@@ -35,9 +36,9 @@ class Bands:
         (1_600, 0.28, 0.75),
         (6_400, 0.26, 0.70),
     )
-    chunk_bytes: int = 4_096
-    chunk: tuple[float, float] = (0.28, 0.80)
-    max_bad_share: float = 0.5
+    chunk_bytes: int = 512
+    chunk: tuple[float, float] = (0.30, 0.84)
+    max_bad_share: float = 0.2
     level: int = 3
 
     def limits(self, n: int) -> tuple[float, float]:
@@ -73,7 +74,7 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
 
 
 def measure(text: str | None, bands: Bands, press: zstandard.ZstdCompressor) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, bad_chunks, chunks, kept)."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ratio, bad_chunks, chunks, bad_bytes, kept)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     spaces = sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
@@ -88,15 +89,16 @@ def measure(text: str | None, bands: Bands, press: zstandard.ZstdCompressor) ->
     failed = len(words) < 20 or 100 * repeats > 30 * len(words)
     ratio = len(press.compress(raw)) / len(raw) if raw else None
     size = bands.chunk_bytes
-    chunks = [raw[k : k + size] for k in range(0, len(raw) - size + 1, size)] if len(raw) >= 2 * size else []
+    starts = [*range(0, len(raw) - size, size), len(raw) - size] if len(raw) > size else []
     low, high = bands.chunk
-    bad = sum(not low <= len(press.compress(c)) / size <= high for c in chunks)
+    bad = [k for k in starts if not low <= len(press.compress(raw[k : k + size])) / size <= high]
+    bad_bytes = sum(min(size, k - before) for before, k in zip([-size, *bad], bad))
     low, high = bands.limits(len(raw))
-    kept = not failed and ratio is not None and low <= ratio <= high and bad <= bands.max_bad_share * len(chunks)
-    return len(words), len(text or "") - spaces, len(raw.translate(None, _NOT_SYMBOLS)), dup_lines, repeats, failed, ratio, bad, len(chunks), kept
+    kept = not failed and ratio is not None and low <= ratio <= high and bad_bytes <= bands.max_bad_share * len(raw)
+    return len(words), len(text or "") - spaces, len(raw.translate(None, _NOT_SYMBOLS)), dup_lines, repeats, failed, ratio, len(bad), len(starts), bad_bytes, kept
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks long, chunks long, kept boolean"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks long, chunks long, bad_bytes long, kept boolean"
 
 
 def quality_rules(docs: DataFrame, bands: Bands = Bands(), text: str = "text", name: str = "rules") -> DataFrame:

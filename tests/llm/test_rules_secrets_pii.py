@@ -65,6 +65,25 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark, rows_of):
     assert quality_rules.op9(frame(spark, [])).count() == 0
 
 
+def test_chunks_cover_every_byte_and_weigh_by_bytes(rows_of):
+    import random
+
+    rng = random.Random(4)
+    press = zstandard.ZstdCompressor(level=3)
+    prose = " ".join(t for _, t in rows_of("documents", 400) if measure(t, Bands(), press)[-1] and t.isascii())
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(5000))
+    spoilt = [(4096, noise[:3000]), (4096, noise[:4096]), (5000, "ab" * 1450), (700, noise[:600]), (2000, "ab" * 500)]
+    for k in range(0, 40):
+        at = k * 997
+        for n, tail in spoilt:
+            assert not measure(prose[at : at + n] + tail, Bands(), press)[-1], (k, n)
+            assert not measure(tail + prose[at : at + n], Bands(), press)[-1], (k, n)
+    for n in (511, 512, 513, 1023, 1024, 1500):
+        got = measure(noise[:n], Bands(), press)
+        assert got[-3:] == ((0, 0, False) if n <= 512 else (-(-n // 512), n, False))
+    assert sum(measure(t, Bands(), press)[-1] for t in (prose[k * 997 : k * 997 + 4096] for k in range(40))) >= 39
+
+
 KEY = "AKIA" + "B7" * 9
 
 
