@@ -3,7 +3,9 @@
 Method: each source's words, documents in a pseudorandom but fixed order, are packed into blocks of ``block_words`` words. Every
 output shard draws its source counts from a multinomial law over the targets; the draws are then balanced so that each source's
 slots over all shards add up to its quota. A source's k-th slot takes the block that a pseudorandom permutation of the block
-indices (a fresh one for each pass over the source) gives for k, and slots meet blocks by index.
+indices (a fresh one for each pass over the source) gives for k, and slots meet blocks by index. Within a shard the slots of all
+sources lie in a pseudorandom order. ``mixture`` gives the mix itself, as the ranges of documents' words that each slot holds;
+``filled`` gives its text; ``mix`` gives what each document contributed, counted from the mix.
 
 Since a quota is at most three passes, no block, and so no document, is taken more than three times.
 
@@ -88,10 +90,15 @@ def permuted(pos: Column, n: Column, key: Column, rounds: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first.cast("long"), turn)
 
 
-def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """Per row of ``docs(doc_id, source, text)``: doc_id, size, source_size, target (its source's), taken."""
+def mixture(docs: DataFrame, how: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
+    """The mix of ``docs(doc_id, source, text)``, and its documents.
+
+    The mix: shard, slot (0, 1, ... in its shard), si (the source's number), source, block, at (the first word's place in the block),
+    doc_id, code (hash of the text, as ids may repeat), skip (words of the document before the range), words (in the range), start.
+    The documents, one row for each of ``docs``: doc_id, code, size, source_size, target, si, source, start (words of its source before it).
+    """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("code"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = stash(sized.withColumn("h", F.xxhash64(F.lit(how.seed), "doc_id")), "mix-sizes")
     per_source = [(r["source"], r["s"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()]
     per_source.sort(key=lambda r: (r[0] is None, r[0] or ""))
@@ -101,33 +108,59 @@ def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     quota = np.array([min(round(a * b / s), math.floor(how.most * b)) if s else 0 for a, b, s in zip(aims, blocks, sizes)], np.int64)
     plan = spark.createDataFrame([(r[0], i, r[1], a, b) for i, (r, a, b) in enumerate(zip(per_source, aims, blocks))], "source string, si int, source_size long, target double, blocks long")
     counts = shard_counts(quota, how.shards, how.seed)
-    first = np.cumsum(counts, axis=0) - counts
+    first = np.cumsum(counts, axis=0) - counts  # of a source's slots, those of earlier shards
+    before = np.cumsum(counts, axis=1) - counts  # of a shard's slots, those of earlier sources
     draws = spark.createDataFrame(
-        [(s, i, blocks[i], int(first[s, i]), int(counts[s, i])) for s in range(how.shards) for i in range(len(sizes)) if counts[s, i]],
-        "shard int, si int, blocks long, first long, n long",
+        [(s, i, blocks[i], int(first[s, i]), int(counts[s, i]), int(before[s, i]), int(counts[s].sum())) for s in range(how.shards) for i in range(len(sizes)) if counts[s, i]],
+        "shard int, si int, blocks long, first long, n long, before long, whole long",
     )
 
     step = 1 << 14
-    runs = draws.select("si", "blocks", "first", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))).alias("run"))
+    held = ["shard", "si", "blocks", "first", "n", "before", "whole"]
+    runs = draws.select(*held, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))).alias("run"))
     runs = runs.repartition(how.shards, "si", "first", "run")
-    slots = runs.select("si", "blocks", F.explode(F.sequence(F.col("first") + F.col("run") * step, F.col("first") + F.least(F.col("n"), (F.col("run") + 1) * step) - 1)).alias("slot"))
-    key = F.xxhash64(F.lit(how.seed), "si", F.expr("slot div blocks"))
-    slots = slots.select("si", permuted(F.expr("slot % blocks"), F.col("blocks"), key, how.rounds).alias("block"))
-    used = slots.groupBy("si", "block").agg(F.count("*").alias("times"))
+    slots = runs.select(*held, F.explode(F.sequence(F.col("run") * step, F.least(F.col("n"), (F.col("run") + 1) * step) - 1)).alias("k"))
+    key = F.xxhash64(F.lit(how.seed), "si", F.expr("(first + k) div blocks"))
+    block = permuted(F.expr("(first + k) % blocks"), F.col("blocks"), key, how.rounds)
+    slots = slots.select("shard", permuted(F.col("before") + F.col("k"), F.col("whole"), F.xxhash64(F.lit(how.seed), "shard"), how.rounds).alias("slot"), "si", block.alias("block"))
 
     rows = sum(r[2] for r in per_source)
     buckets = max(1, math.isqrt(rows))  # level: as many buckets as rows in one
-    rich = sized.join(F.broadcast(plan) if len(sizes) <= 10_000 else plan, sized["source"].eqNullSafe(plan["source"])).drop("source")
+    rich = sized.join(F.broadcast(plan) if len(sizes) <= 10_000 else plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     rich = rich.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
     ahead = rich.groupBy("si", "bucket").agg(F.sum("size").alias("s"))
     ahead = ahead.select("si", "bucket", (F.sum("s").over(Window.partitionBy("si").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("ahead"))
     inside = Window.partitionBy("si", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rich.withColumn("upto", F.sum("size").over(inside)).join(ahead, ["si", "bucket"])
-    placed = stash(placed.select("doc_id", "size", "source_size", "target", "si", (F.col("ahead") + F.col("upto") - F.col("size")).alias("start")), "mix-placed")
+    placed = stash(placed.select("doc_id", "code", "size", "source_size", "target", "si", "source", (F.col("ahead") + F.col("upto") - F.col("size")).alias("start")), "mix-placed")
 
     long = F.lit(how.block_words)
-    parts = placed.where("size > 0").select("si", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / long), F.floor((F.col("start") + F.col("size") - 1) / long))).alias("block"))
-    part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * long) - F.greatest(F.col("start"), F.col("block") * long)
-    taken = parts.withColumn("words", part).join(used, ["si", "block"]).groupBy("si", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    full = placed.join(taken.withColumn("some", F.lit(True)), (placed["si"] == taken["si"]) & (placed["start"] == taken["start"]) & (placed["size"] > 0), "left")
+    parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / long), F.floor((F.col("start") + F.col("size") - 1) / long))))
+    begin = F.greatest(F.col("start"), F.col("block") * long)
+    part = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * long) - begin
+    parts = parts.select("si", "block", "source", (begin - F.col("block") * long).alias("at"), "doc_id", "code", (begin - F.col("start")).alias("skip"), part.alias("words"), "start")
+    # Slots grow with the input, though the plan's estimate of them is small: neither side is to be broadcast.
+    rows = slots.hint("merge").join(parts, ["si", "block"]).select("shard", "slot", "si", "source", "block", "at", "doc_id", "code", "skip", "words", "start")
+    return rows, placed
+
+
+def filled(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The text of each slot of a mix of ``docs``: shard, slot, source, block, text (its words, joined by spaces)."""
+    ranges = rows.select("doc_id", "code", "skip", "words").distinct().groupBy("doc_id", "code").agg(F.collect_list(F.struct("skip", "words")).alias("ranges"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("code"), "text").dropDuplicates(["doc_id", "code"])
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["code"] == b["code"])
+    cut = lambda w: F.transform("ranges", lambda r: F.struct(r["skip"].alias("skip"), r["words"].alias("words"), F.array_join(F.slice(w, r["skip"].cast("int") + 1, r["words"].cast("int")), " ").alias("piece")))
+    # The words are an element of an array, so that they are found once for each text, not for each range.
+    pieces = ranges.join(texts, same(ranges, texts)).select(ranges["doc_id"], ranges["code"], F.explode(F.flatten(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), cut))).alias("x"))
+    pieces = pieces.select("doc_id", "code", "x.skip", "x.words", "x.piece")
+    whole = rows.join(pieces, same(rows, pieces) & (rows["skip"] == pieces["skip"]) & (rows["words"] == pieces["words"])).select("shard", "slot", "source", "block", "at", "piece")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ")
+    return whole.groupBy("shard", "slot", "source", "block").agg(text.alias("text"))
+
+
+def mix(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
+    """Per row of ``docs(doc_id, source, text)``: doc_id, size, source_size, target (its source's), taken (words in the mix)."""
+    rows, placed = mixture(docs, how)
+    taken = stash(rows, "mix").groupBy("si", "start").agg(F.sum("words").alias("taken"))
+    full = placed.join(taken, (placed["si"] == taken["si"]) & (placed["start"] == taken["start"]) & (placed["size"] > 0), "left")
     return full.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

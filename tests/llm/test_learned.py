@@ -147,6 +147,44 @@ def test_mix(spark, rows_of):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_the_mix_itself(spark, rows_of):
+    texts = [t for _, t in rows_of("documents", 60)]
+    rows = [(k, t, ["a", "b", None][k % 3]) for k, t in enumerate(texts)] + [(0, "another text of the same id", "a"), *[(950, " ".join(f"w{j}" for j in range(99)), "a")] * 3, (None, "x\ty  z", "b"), (901, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    how = mixing.Mix(shards=5)
+    mixed, placed = mixing.mixture(df, how)
+    got = mixed.collect()
+    slots = {(r["shard"], r["slot"]): (r["si"], r["block"]) for r in got}
+    blocks = {}
+    for r in got:
+        assert slots[r["shard"], r["slot"]] == (r["si"], r["block"])
+        blocks.setdefault((r["si"], r["block"]), set()).add((r["at"], r["start"], r["skip"], r["words"]))
+    n = Counter(s for s, _ in slots)
+    assert set(slots) == {(s, k) for s in n for k in range(n[s])} and np.ptp(list(n.values())) <= 1 and len(n) == 5
+    quota = np.array([sum(i == si for i, _ in slots.values()) for si in range(3)])
+    want = mixing.shard_counts(quota, 5, how.seed)  # the draws decide what each shard holds
+    assert all(want[s, i] == sum(k[0] == s and v[0] == i for k, v in slots.items()) for s in range(5) for i in range(3))
+    order = [slots[0, k][0] for k in range(n[0])]
+    assert sum(a != b for a, b in zip(order, order[1:])) > 2  # sources alternate within a shard
+    for parts in blocks.values():
+        at = 0
+        for begin, _, _, words in sorted(parts):
+            assert begin == at
+            at += words
+        assert at <= how.block_words
+    words = {}
+    for r in placed.collect():
+        text = next(t for d, t, s in rows if d == r["doc_id"] and s == r["source"] and len((t or "").split()) == r["size"])
+        words.setdefault(r["source"], []).append((r["start"], (text or "").split()))
+    words = {s: [w for _, t in sorted(ts) for w in t] for s, ts in words.items()}
+    full = mixing.filled(mixed, df).collect()
+    assert len(full) == len(slots)
+    for r in full:
+        assert r["text"].split(" ") == words[r["source"]][64 * r["block"] : 64 * r["block"] + 64]
+    assert sum(r["taken"] for r in mixing.mix(df, how).collect()) == sum(len(r["text"].split(" ")) for r in full)
+    assert mixing.mixture(df.limit(0), how)[0].count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (5, 4), (4, 3), (7, 7)] + [(k, k + 1) for k in range(100, 160)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
