@@ -6,7 +6,10 @@ A decoded region becomes a new layer whose characters map back to code points of
 off until no layer decodes any more; a layer whose characters and origin were seen before isn't entered again (cycle detection).
 
 Defined results: a null or empty text has no spans; output has one row for each input row, in whatever columns come with it;
-a region that doesn't decode, or decodes to something that isn't text, adds nothing. ``Limits.layer_bytes`` is the most that one
+bytes of a decoded region that aren't UTF-8 are characters of their own (lone surrogates), so what is beside them is scanned, and
+UTF-16 is read too; base64 is decoded at all four alignments of a run and across wrapped lines, compressed data wherever a run
+holds the beginning of a known format; a decoded region without twelve printable characters in a row, the shortest that can hold a
+secret, adds nothing. ``Limits.layer_bytes`` is the most that one
 compressed region may unpack to (a bomb guard); a region beyond it is reported as kind ``oversize`` rather than skipped.
 """
 
@@ -37,6 +40,10 @@ _URL_RUN = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
 _UNI = re.compile(r"\\u\{?[0-9A-Fa-f]|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX]?[0-9A-Fa-f]+;")
 _UNI_RUN = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _B64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_B64_LINES = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_PACKED = re.compile(r"H4sI|KLUv|Qlpo|[/_]Td6WF|(?<![A-Za-z0-9])e[AFJN]")  # how base64 of gzip, zstandard, bzip2, xz and zlib data begins
+_HOLDS = re.compile(rb"[\x20-\x7e]{12}")
+_HOLDS_16 = re.compile(rb"(?:[\x20-\x7e]\0){12}|(?:\0[\x20-\x7e]){12}")
 _CHANGED = re.compile(r"[0-9+/=_-]|[a-z][A-Z]")
 
 
@@ -56,13 +63,28 @@ def scan(layer: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _as_text(raw: bytes) -> str | None:
-    """The decoded bytes if they are text: UTF-8 without control characters other than white space."""
-    try:
-        out = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return out if out and not any(c < " " and c not in "\t\n\r\x0b\x0c" or c == "\x7f" for c in out) else None
+def _texts(raw: bytes) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """The decoded bytes as UTF-8 and, if they look it, as UTF-16; with the (start, end) in ``raw`` of each character."""
+    if _HOLDS.search(raw):
+        out = raw.decode("utf-8", "surrogateescape")
+        spots, k = [], 0
+        for c in out:
+            n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogateescape"))
+            spots.append((k, k + n))
+            k += n
+        yield out, spots
+    for m in _HOLDS_16.finditer(raw) if b"\0" in raw else ():  # the first such run tells the byte order and the alignment
+        begin = m.start()
+        order = "utf-16-le" if raw[begin + 1] == 0 else "utf-16-be"
+        begin %= 2
+        units = raw[begin : begin + (len(raw) - begin) // 2 * 2]
+        out, k, spots = units.decode(order, "replace"), begin, []
+        for c in out:
+            n = 4 if c > "\uffff" else 2
+            spots.append((k, k + n))
+            k += n
+        yield out, spots
+        break
 
 
 def _unpack(raw: bytes, most: int) -> bytes | None:
@@ -94,8 +116,8 @@ def _unescape(m: re.Match) -> str:
     return chr(code) if code < 0x110000 else s
 
 
-def _pieces(layer: str, most: int) -> Iterator[tuple[int, int, str | None, list[tuple[int, int]] | None]]:
-    """Decoded regions of a layer: (start, end, decoded or None if too large, per character its (start, end) in the layer, or None
+def _pieces(layer: str, most: int) -> Iterator[tuple[int, int, str, list[tuple[int, int]] | None]]:
+    """Decoded regions of a layer: (start, end, decoded or "" if too large, per character its (start, end) in the layer, or None
     where each character comes from the whole region)."""
     if "%" in layer and _URL.search(layer):
         for m in _URL_RUN.finditer(layer):
@@ -105,15 +127,10 @@ def _pieces(layer: str, most: int) -> Iterator[tuple[int, int, str | None, list[
                 raw.append(int(run[k + 1 : k + 3], 16) if step == 3 else ord(run[k]))
                 at.append((off + k, off + k + step))
                 k += step
-            if (text := _as_text(bytes(raw))) is not None:
-                where, k = [], 0
-                for c in text:
-                    n = len(c.encode())
-                    where.append((at[k][0], at[k + n - 1][1]))
-                    k += n
-                yield m.start(), m.end(), text, where
-            elif (more := _inflated(bytes(raw), most)) is not None:
-                yield m.start(), m.end(), more[0], None
+            for text, spots in _texts(bytes(raw)):
+                yield m.start(), m.end(), text, [(at[a][0], at[min(b, len(at)) - 1][1]) for a, b in spots]
+            if (more := _inflated(bytes(raw), most)) is not None:
+                yield m.start(), m.end(), more, None
     if ("\\" in layer or "&#" in layer) and _UNI.search(layer):
         for m in re.finditer(r"[^\s]*(?:\\[uUx]|&#)[^\s]*", layer):
             out, where, k = [], [], m.start()
@@ -132,25 +149,28 @@ def _pieces(layer: str, most: int) -> Iterator[tuple[int, int, str | None, list[
             if text != m[0]:
                 text, where = _surrogates(text, where)
                 yield m.start(), m.end(), text, where
-    for m in _B64_RUN.finditer(layer):
+    wrapped = _B64_LINES.finditer(layer) if "\n" in layer else ()
+    for m in (*wrapped, *_B64_RUN.finditer(layer)):
         if not _CHANGED.search(m[0]):
             continue
         run = m[0].rstrip("=")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            raw = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4), validate=True)
-        except ValueError:
-            continue
-        if (text := _as_text(raw)) is not None:
-            where, k = [], 0
-            for c in text:
-                n = len(c.encode())
-                first, last = k * 8 // 6, ((k + n) * 8 + 5) // 6
-                where.append((m.start() + first, min(m.start() + last, m.end())))
-                k += n
-            yield m.start(), m.end(), text, where
-        elif (more := _inflated(raw, most)) is not None:
-            yield m.start(), m.end(), more[0], None
+        spot = range(m.start(), m.start() + len(run))
+        if "\n" in run:
+            spot = [m.start() + k for k, c in enumerate(run) if not c.isspace()]
+            run = "".join(run.split())
+        for k in range(4):
+            raw = _unbase64(run[k:])
+            for text, spots in _texts(raw):
+                where = [(spot[k + a * 8 // 6], spot[min(k + (b * 8 + 5) // 6, len(spot)) - 1] + 1) for a, b in spots]
+                yield m.start(), m.end(), text, where
+        for x in _PACKED.finditer(run):
+            if (more := _inflated(_unbase64(run[x.start() :]), most)) is not None:
+                yield m.start(), m.end(), more, None
+
+
+def _unbase64(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4))
 
 
 def _surrogates(text: str, where: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
@@ -171,16 +191,16 @@ def _surrogates(text: str, where: list[tuple[int, int]]) -> tuple[str, list[tupl
     return "".join(out), at
 
 
-def _inflated(raw: bytes, most: int) -> tuple[str | None] | None:
-    """(text,) of compressed data, compressed again or not; (None,) if it is too large; None if it isn't such data."""
+def _inflated(raw: bytes, most: int) -> str | None:
+    """The text of compressed data, compressed again or not; "" if it is too large; None if it isn't such data or has no text."""
     try:
         seen = False
         while (more := _unpack(raw, most)) is not None:
             raw, seen = more, True
     except OverflowError:
-        return (None,)
-    text = _as_text(raw) if seen else None
-    return None if text is None else (text,)
+        return ""
+    # UTF-8 and UTF-16 readings one after the other: every character comes from the whole region.
+    return "\n".join(text for text, _ in _texts(raw)) or None if seen else None
 
 
 def find_secrets(text: str | None, limits: Limits = Limits()) -> tuple[list[tuple[int, int, int]], set[tuple[int, str, int]], int]:
@@ -207,7 +227,7 @@ def find_secrets(text: str | None, limits: Limits = Limits()) -> tuple[list[tupl
                 spans.add((a, KINDS[k], b))
         for s, e, inner, at in _pieces(layer, limits.layer_bytes):
             place = back(s, e)
-            if inner is None:
+            if not inner:
                 spans.add((place[0], "oversize", place[1]))
                 continue
             if (place, inner) in seen or inner == text[place[0] : place[1]]:

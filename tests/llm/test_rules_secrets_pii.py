@@ -120,6 +120,30 @@ def test_nested_layers_map_back_into_their_region(hidden):
     assert any(k == "assign" and start <= s < e <= start + len(hidden) for s, k, e in spans)
 
 
+B64 = base64.b64encode(PLAIN.encode()).decode()
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    [
+        "https://x/?a=%E9&password%3Dhunter22",
+        "https://x/?a=%00%FF&password%3Dhunter22",
+        base64.b64encode(PLAIN.encode("utf-16")).decode(),
+        base64.b64encode(b"\x1b[1m log\0 \xff " + PLAIN.encode() + b" \xe9").decode(),
+        "blob_" + B64,
+        "cfg/" + B64,
+        "example/v/" + B64,
+        "blob_" + base64.b64encode(gzip.compress(PLAIN.encode())).decode(),
+        "\n".join(re.findall(".{1,64}", base64.b64encode(b"zzzz" * 10 + b" passwo" + b"rd=correcthorse9 " + b"yyyy" * 20).decode())),
+    ],
+)
+def test_secrets_beside_other_bytes(hidden):
+    text = f"héllo {hidden} tail"
+    start = text.index(hidden)
+    _, spans, _ = secret_scan.find_secrets(text)
+    assert any(k == "assign" and start <= s < e <= start + len(hidden) for s, k, e in spans)
+
+
 def test_spans_in_layers_are_exact():
     text = "x " + base64.b64encode(b"zzzz zzzz " + KEY.encode() + b" zzzz zzzz").decode()
     _, spans, _ = secret_scan.find_secrets(text)
