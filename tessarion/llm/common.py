@@ -106,24 +106,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs): one row (node, root), root being the smallest node reached.
+    """Connected components of ``edges(a, b)``, of any type with an order: one row (node, root), root being the smallest node reached.
 
     Alternating star contraction: every node links its neighbours to its smallest neighbour until nothing changes, so
     the number of rounds is logarithmic and no node's whole neighbourhood is ever held in one place.
     """
+
+    def told(x: DataFrame) -> tuple:
+        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
     now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    while True:
+    before = told(now)
+    while before[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        after = stash(small.where("a <> b").distinct(), "cc")
-        changed = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        before = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        now = after
-        if tuple(changed) == tuple(before):
+        now = stash(small.where("a <> b").distinct(), "cc")
+        if (after := told(now)) == before:
             break
+        before = after
     roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -11,11 +11,22 @@ by ``growth``; a document joins its own band, and the next one if a linked partn
 
 Linked documents agree on more words than one: on at least the hit words of either less the greatest difference. So each document
 drops that many keys less one, those that most documents share (shared passages make them): of the keys a linked pair shares, the
-one that fewest share is never dropped by either. Equal (band, word, parity) keys that are left give candidates. Documents with equal sets are one node from the start. Inside a key's group not all
-pairs are tried: each round ties every node to the group's centre (a different one each round). Pairs are first held against a small
-bit sketch of each set (about a bit a shingle; the number of unequal bits never exceeds the symmetric difference either), and only
-those that may link are verified on the full sets; verified links merge nodes into components, and groups within one component are done. When few pairs of
-different components are left (at most ``exhaust`` a node), all of them are verified, so no link between components goes unseen.
+one that fewest share is never dropped by either. Equal (band, word, parity) keys that are left make groups. Documents with equal
+sets are one node from the start.
+
+A group of at most ``hot`` nodes gives its pairs of different components as candidates. These are held against a small bit sketch of
+each set (about a bit a shingle; the number of unequal bits never exceeds the symmetric difference either), and what may link is
+verified on the full sets. A larger group is never paired up. It is put round a centre p, one of its own, and every member x is
+replaced by its difference E(x) from p: what all members have in common is gone from it. E(x) gives the link with p at once, and
+|E(x) xor E(y)| = |x xor y|, so x and y link only if E(x) and E(y) share at least (|E(x)| + |E(y)| - d) / 2 elements, d being the
+greatest difference of a link. A member outside p's component has |E(x)| > d, so in a pair of different components that number is one
+at least, and each needs to offer only so many of its elements, fewest holders first, that one shared element must be among them
+(prefix filter). Equal (p, element) offers make smaller groups, which are treated likewise until none is left. Only pairs
+between different components are ever listed, and no link between components goes unseen.
+
+Scale: texts are split and hashed once; only nodes of candidate pairs and large groups have their full sets made again. A block of
+documents sends a key that ``local`` or more of its nodes hold as a count only, so that no task gathers the holders of a hot key;
+these nodes then meet the key's total in a join, which adaptive execution can split.
 
 Defined results: null, empty and blank texts have no shingles and are alone; a text with fewer words than ``width`` is one shingle;
 repeated rows are documents of equal sets, with the smallest id of all; null ids take part and are never the smallest unless alone.
@@ -28,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +52,10 @@ class Near:
     percent: int = 80
     growth: float = 1.5
     spare: float = 0.12
-    bucket_entries: int = 2_000_000
-    exhaust: int = 20
-    rounds: int = 3
-    broadcast_rows: int = 500_000
+    bucket_bytes: int = 24_000_000
+    block_keys: int = 1_000_000
+    local: int = 4
+    hot: int = 64
 
 
 def shingle_codes(words: list[bytes], width: int, cache: dict[bytes, int]) -> np.ndarray:
@@ -58,9 +70,9 @@ def shingle_codes(words: list[bytes], width: int, cache: dict[bytes, int]) -> np
     return np.unique(out)
 
 
-def node_of(codes: np.ndarray) -> int:
-    """A 64-bit code of a set, as a signed number."""
-    return int(mix64(np.bitwise_xor.reduce(codes) + mix64(np.add.reduce(codes) + np.uint64(len(codes)))).view(np.int64)) if len(codes) else 0
+def node_of(codes: np.ndarray) -> bytes:
+    """A 128-bit code of a set."""
+    return xxhash.xxh3_128_digest(codes.tobytes())
 
 
 def band_edges(most: int, growth: float) -> list[int]:
@@ -109,51 +121,72 @@ def bit_sketch(codes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_link(x: bytes, y: bytes, most: int) -> bool:
-    """Whether two bit sketches leave room for at most so many differences; the longer one is folded to the shorter's length."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    n = min(len(a), len(b))
-    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
-    return int(np.bitwise_count(a ^ b).sum()) <= most
-
+def may_link(x: list[bytes], y: list[bytes], most: np.ndarray) -> np.ndarray:
+    """For each pair of bit sketches, whether they leave room for at most ``most`` differences; longer ones are folded to the shorter's length."""
+    sizes = np.array([(len(a) // 8, len(b) // 8) for a, b in zip(x, y)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(x), bool)
+    for n, m in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes[:, 0] == n) & (sizes[:, 1] == m))
+        a = np.frombuffer(b"".join(x[i] for i in at), np.uint64).reshape(len(at), -1, min(n, m))
+        b = np.frombuffer(b"".join(y[i] for i in at), np.uint64).reshape(len(at), -1, min(n, m))
+        apart = np.bitwise_xor.reduce(a, axis=1) ^ np.bitwise_xor.reduce(b, axis=1)
+        out[at] = np.bitwise_count(apart).sum(axis=1) <= most[at]
+    return out
 
-def _thin(docs: DataFrame, how: Near) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        for b in batches:
-            sets = [shingle_codes(lower_words(t.as_py()), how.width, cache) for t in b.column("text")]
-            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bit_sketch(s) if len(s) else None for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, sketch binary")
+_DOC = [("doc_id", None), ("code", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary())]
+_HOT = pa.list_(pa.struct([("key", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("band", pa.int32()), ("spare", pa.int32())]))
 
 
-def _keys(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
-    """(bucket, data): keys with the nodes that have them, for blocks of documents, equal sets of a block once."""
+def _scan(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
+    """One pass over the texts. Rows of documents: doc_id, code (of the text), n_shingles, node, sketch. Rows of blocks of documents, equal sets of a block
+    once: bucket and data (keys with the nodes that have them, or their number), or hot (the holders behind such numbers)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def flush(nodes: list[int], sizes: list[int], bands: list[int], spare: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(nodes: list[bytes], sizes: list[int], bands: list[int], spare: list[int], keys: list[np.ndarray]) -> Iterator[tuple[list, list, list]]:
         every = np.concatenate(keys)
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         order = np.lexsort((every, every % np.uint64(buckets)))
         every, owner = every[order], owner[order]
+        name = np.frombuffer(b"".join(nodes), np.uint64).reshape(-1, 2)
+        size, band, free = np.array(sizes, np.int32), np.array(bands, np.uint8), np.array(spare, np.int32)
+        first = np.ones(len(every), bool)
+        first[1:] = every[1:] != every[:-1]
+        runs = np.diff(np.append(np.flatnonzero(first), len(every)))
+        many = np.repeat(runs >= how.local, runs)
+        at = np.flatnonzero(many)
+        for part in np.array_split(at, max(1, -(-len(at) // 50_000))) if len(at) else ():
+            yield [None], [None], [[{"key": k, "node": nodes[o], "n": sizes[o], "band": bands[o], "spare": spare[o]} for k, o in zip(every[part].view(np.int64).tolist(), owner[part].tolist())]]
+        hold = ~many | first  # of the runs that only their number is sent of, the first
+        count = np.where(many, np.repeat(runs, runs), 0)[hold]
+        every, owner = every[hold], owner[hold]
         edges = np.searchsorted(every % np.uint64(buckets), np.arange(buckets + 1).astype(np.uint64))
-        node, size, band, free = np.array(nodes, np.int64), np.array(sizes, np.int32), np.array(bands, np.uint8), np.array(spare, np.int32)
-        names, out = [], []
         for k in np.flatnonzero(np.diff(edges)):
-            part = owner[edges[k] : edges[k + 1]]
-            there, which = np.unique(part, return_inverse=True)
-            names.append(k)
-            out.append(pack(np.diff(every[edges[k] : edges[k + 1]], prepend=np.uint64(0)), which.astype(np.uint32), node[there], size[there], band[there], free[there]))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], ["bucket", "data"])
+            cut = slice(edges[k], edges[k + 1])
+            there, which = np.unique(owner[cut], return_inverse=True)
+            yield [int(k)], [pack(np.diff(every[cut], prepend=np.uint64(0)), which.astype(np.uint32), count[cut].astype(np.uint32), name[there, 0], name[there, 1], size[there], band[there], free[there])], [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         nodes, sizes, bands, spare, keys, n = [], [], [], [], [], 0
+        id_type = pa.null()
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            for bucket, data, hot in flush(nodes, sizes, bands, spare, keys):
+                none = [pa.nulls(1, t or id_type) for _, t in _DOC]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(bucket, pa.int32()), pa.array(data, pa.binary()), pa.array(hot, _HOT)], [*(c for c, _ in _DOC), "bucket", "data", "hot"])
+
         for b in batches:
+            id_type = b.schema.field("doc_id").type
+            counts, names, bits = [], [], []
             for t in b.column("text"):
                 codes = shingle_codes(lower_words(t.as_py()), how.width, cache)
-                if not len(codes) or (node := node_of(codes)) in seen:
+                node = node_of(codes) if len(codes) else None
+                counts.append(len(codes))
+                names.append(node)
+                bits.append(bit_sketch(codes) if len(codes) else None)
+                if node is None or node in seen:
                     continue
                 seen.add(node)
                 for band, free, k in sketch_keys(codes, how):
@@ -163,36 +196,52 @@ def _keys(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
                     spare.append(free)
                     keys.append(k)
                     n += len(k)
-                if n > 1_000_000:
-                    yield flush(nodes, sizes, bands, spare, keys)
+                if n > how.block_keys:
+                    yield from blocks()
                     nodes, sizes, bands, spare, keys, n, seen = [], [], [], [], [], 0, set()
+            rows = b.num_rows
+            cols = [b.column("doc_id"), b.column("code"), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.nulls(rows, _HOT)]
+            yield pa.RecordBatch.from_arrays(cols, [*(c for c, _ in _DOC), "bucket", "data", "hot"])
         if n:
-            yield flush(nodes, sizes, bands, spare, keys)
+            yield from blocks()
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("code"))
+    hot = "array<struct<key:long,node:binary,n:int,band:int,spare:int>>"
+    return rows.mapInArrow(run, f"doc_id {kind}, code long, n_shingles long, node binary, sketch binary, bucket int, data binary, hot {hot}")
+
 
-    return docs.select("text").mapInArrow(run, "bucket int, data binary")
+def _bytes16(pairs: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit numbers as 16-byte strings."""
+    flat = np.ascontiguousarray(pairs)
+    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer((np.arange(len(flat) + 1, dtype=np.int32) * 16).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
-def _groups(keys: DataFrame) -> DataFrame:
-    """(key, node, n, band, spare, holders) of the keys that two or more nodes have; ``holders``: how many."""
+def _groups(scan: DataFrame) -> DataFrame:
+    """(key, node, n, band, spare, holders) of the keys that two or more nodes have; ``holders``: about how many, the same for all of a key."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(d.as_py()) for d in table.column("data")]
         key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        node = np.concatenate([p[2][p[1]] for p in parts])
-        size, band, free = (np.concatenate([p[k][p[1]] for p in parts]) for k in (3, 4, 5))
-        order = np.lexsort((node, key))
-        key, node, size, band, free = key[order], node[order], size[order], band[order], free[order]
+        count = np.concatenate([p[2] for p in parts]).astype(np.int64)
+        high, low, size, band, free = (np.concatenate([p[k][p[1]] for p in parts]) for k in (3, 4, 5, 6, 7))
+        order = np.lexsort((count, low, high, key))
+        key, count, high, low, size, band, free = (x[order] for x in (key, count, high, low, size, band, free))
         fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size, band, free = key[fresh], node[fresh], size[fresh], band[fresh], free[fresh]
-        _, at, holders = np.unique(key, return_inverse=True, return_counts=True)
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        return pa.table({"key": key[keep].view(np.int64), "node": node[keep], "n": size[keep].astype(np.int32), "band": band[keep].astype(np.int32), "spare": free[keep].astype(np.int32), "holders": holders[at][keep].astype(np.int32)})
-
-    return keys.groupBy("bucket").applyInArrow(run, "key long, node long, n int, band int, spare int, holders int")
+        fresh[1:] = (key[1:] != key[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (count[1:] > 0)
+        key, count, high, low, size, band, free = (x[fresh] for x in (key, count, high, low, size, band, free))
+        _, begin, inverse = np.unique(key, return_index=True, return_inverse=True)
+        holders = np.add.reduceat(np.maximum(count, 1), begin)[inverse]
+        keep = holders > 1
+        out = {"key": key.view(np.int64), "n": size.astype(np.int32), "band": band.astype(np.int32), "spare": free.astype(np.int32), "holders": holders.astype(np.int64), "counted": count > 0}
+        names = _bytes16(np.stack([high, low], axis=1)[keep])
+        return pa.table({"node": names, **{k: pa.array(v[keep]) for k, v in out.items()}})
+
+    schema = "node binary, key long, n int, band int, spare int, holders long, counted boolean"
+    found = stash(scan.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(run, schema), "near-keys")
+    totals = found.where("counted").groupBy("key").agg(F.max("holders").alias("holders"))
+    named = scan.where("hot is not null").select(F.explode("hot").alias("x")).select("x.*").join(totals, "key")
+    columns = ["key", "node", "n", "band", "spare", "holders"]
+    return found.where("not counted").select(*columns).union(named.select(*columns)).dropDuplicates(["key", "node"])
 
 
 def _rarest(groups: DataFrame) -> DataFrame:
@@ -209,9 +258,9 @@ def _sets(docs: DataFrame, how: Near) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 sets = [shingle_codes(lower_words(t.as_py()), how.width, cache) for t in b.column("text").slice(k, 500)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "codes"])
 
-    return docs.select("text").mapInArrow(run, "node long, codes binary")
+    return docs.select("text").mapInArrow(run, "node binary, codes binary")
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
@@ -219,106 +268,176 @@ def _possible(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            columns = (t.column(c) for c in ("x", "y", "n", "m"))
-            good = [may_link(x.as_py(), y.as_py(), differ(n.as_py(), m.as_py(), how.percent)) for x, y, n, m in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([t.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+            n, m = (t.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "m"))
+            good = pa.array(may_link(t.column("x").to_pylist(), t.column("y").to_pylist(), differ(n, m, how.percent)))
+            yield pa.RecordBatch.from_arrays([t.column(c).filter(good) for c in ("a", "b")], ["a", "b"])
 
     left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), "n")
     right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
-    return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _differences(pairs: DataFrame, sets: DataFrame, how: Near, tell: bool) -> DataFrame:
+    """(a, b, n, m, e, linked) of the pairs (a, b): set sizes, size of the symmetric difference; with ``tell`` also ``elements``, its elements, of
+    the pairs that don't link or stand near to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
+            sizes, found = [], []
+            for x, y in zip(batch.column("x"), batch.column("y")):
                 u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(u), len(v)) < how.percent * max(len(u), len(v)):
+                if tell:
+                    apart = np.setxor1d(u, v, assume_unique=True)
+                    found.append(apart.view(np.int64))
+                    sizes.append((len(u), len(v), len(apart)))
                     continue
                 at = np.searchsorted(v, u)
                 both = int((v[np.minimum(at, len(v) - 1)] == u).sum())
-                good[i] = 100 * both >= how.percent * (len(u) + len(v) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
+                sizes.append((len(u), len(v), len(u) + len(v) - 2 * both))
+            n, m, e = np.array(sizes, np.int64).reshape(-1, 3).T
+            cols = [batch.column("a"), batch.column("b"), *(pa.array(z, pa.int64()) for z in (n, m, e)), pa.array(e <= differ(n, m, how.percent))]
+            names = ["a", "b", "n", "m", "e", "linked"]
+            if tell:
+                edges = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+                cols.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int64())))
+                names.append("elements")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     left = sets.select(F.col("node").alias("a"), F.col("codes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("codes").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    schema = "a binary, b binary, n long, m long, e long, linked boolean" + (", elements array<long>" if tell else "")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
 def _fits(a: Column, b: Column, how: Near) -> Column:
     return 100 * F.least(a, b) >= how.percent * F.greatest(a, b)
 
 
+def _offers(family: DataFrame, labels: DataFrame, how: Near) -> DataFrame:
+    """(key, node, n, label, long, short) of the elements that members of a family must offer, ``family(a, b, n, m, e, elements)``: centre a,
+    member b, their sizes, the difference.
+
+    A member x outside the centre's component meets any y by its ``long`` offer and y's ``short`` one. With D(x, p) the greatest
+    difference of a link, |E(x)| > D(x, p); |E(y)| is at least both 0 and |y| - |p|, and D grows with a size by less than that size does, so x
+    shares at least (|E(x)| - D(x, p)) / 2 elements with a y that it links with, rounded up. Likewise y shares at least
+    (|E(y)| + 1 - (D(x, y) - D(x, p))) / 2. And as |E(x)| - |E(y)| is D at most, each shares at least |E| less its own greatest D.
+    """
+    own = labels.select(F.col("node").alias("b"), F.col("label").alias("known"))
+    centre = labels.select(F.col("node").alias("a"), F.col("label").alias("home"))
+    rows = family.join(own, "b", "left").join(centre, "a", "left").withColumn("label", F.coalesce("known", "b")).withColumn("home", F.coalesce("home", "a"))
+    loose, whole = F.lit(100 - how.percent), F.lit(100 + how.percent)
+    top = F.floor((F.col("m") + F.floor(F.col("m") * 100 / how.percent)) * loose / whole)
+    half = lambda x: F.floor((x + 1) / 2)
+    larger = F.greatest(F.lit(0), F.ceil((F.col("m") - F.col("n")) * loose / whole))
+    least_long = F.greatest(half(F.col("e") - F.floor((F.col("n") + F.col("m")) * loose / whole)), F.col("e") - top)
+    least_short = F.greatest(half(F.col("e") + 1 - larger), F.col("e") - top)
+    rows = rows.select("a", "b", "m", "e", "label", (F.col("label") != F.col("home")).alias("out"), least_long.alias("least_long"), least_short.alias("least_short"), "elements")
+    rows = stash(rows, "near-family")
+    live = rows.where("out").select("a").distinct()
+    spread = rows.join(live, "a", "left_semi").select("a", "b", "label", F.explode("elements").alias("z"))
+    # Elements whose holders are all of one component make no pair: they come first in the order, then those of few holders.
+    mixed = spread.groupBy("a", "z").agg(F.count("*").alias("holders"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("a", "z", "holders")
+    met = spread.select("a", "b", "z").join(mixed, ["a", "z"]).join(rows.drop("elements"), ["a", "b"])
+    member = Window.partitionBy("a", "b")
+    met = met.withColumn("place", F.col("e") - F.count("*").over(member) + F.row_number().over(member.orderBy("holders", "z")))
+    met = met.withColumn("long", F.col("out") & (F.col("place") <= F.col("e") - F.col("least_long") + 1)).withColumn("short", F.col("place") <= F.col("e") - F.col("least_short") + 1)
+    return met.where("long or short").select(F.xxhash64("a", "z").alias("key"), F.col("b").alias("node"), F.col("m").cast("int").alias("n"), "label", "long", "short")
+
+
+def _components(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, code, n_shingles, node for each document; named: node, group, component_id for each node)."""
+    base = docs.select("doc_id", "text")
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    scan = stash(_scan(base, how, max(1, -(-size // how.bucket_bytes))), "near-scan")
+    rows = scan.where("n_shingles is not null").select("doc_id", "code", "n_shingles", "node", "sketch")
+    nodes = stash(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "code")).alias("keeper"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "near-nodes")
+    groups = stash(_rarest(_groups(scan)), "near-groups")
+    labels = _join_links(base, nodes, groups, how)
+    full = nodes.join(labels, "node", "left")  # nodes without links have no label
+    least = full.where("label is not null").groupBy("label").agg(F.min("first").alias("least"), F.min("keeper").alias("best"))
+    named = full.join(least, "label", "left").select("node", F.coalesce("least", "first").alias("component_id"), F.coalesce("best", "keeper").alias("keeper"))
+    return rows.drop("sketch"), named
+
+
 def near_components(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id (the smallest id reachable by links)."""
-    base = docs.select("doc_id", "text")
-    thin = stash(_thin(base, how), "near-thin")
-    nodes = stash(thin.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "near-nodes")
-    size = thin.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    buckets = max(1, -(-size * 55 // (100 * how.bucket_entries)))
-    groups = stash(_rarest(_groups(_keys(base, how, buckets))), "near-groups")
-    labels = _join_links(base, nodes, groups, how) if groups.head(1) else None
-    if labels is None:
-        named = nodes.select("node", F.col("first").alias("component_id"))
-    else:
-        full = nodes.join(labels, "node", "left")  # nodes without links have no label
-        least = full.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
-        named = full.join(least, "label", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    return thin.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows, named = _components(docs, how)
+    return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _join_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, how: Near) -> DataFrame:
     """(node, label) of the nodes in components of two or more."""
     spark = docs.sparkSession
-    sets = spark.createDataFrame([], "node long, codes binary")
-
-    def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """``sets`` with those of the nodes in ``pairs`` that it lacks."""
-        fresh = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node"), "node", "left_anti")
-        wanted = stash(fresh.join(nodes, "node").select("node", "first"), "near-wanted")
-        n = wanted.count()
-        if not n:
-            return sets
-        ids = wanted.select("first").distinct()
-        chosen = docs.join(F.broadcast(ids) if n <= how.broadcast_rows else ids, docs["doc_id"].eqNullSafe(ids["first"]), "left_semi")
-        return sets.union(stash(_sets(chosen, how).join(F.broadcast(wanted) if n <= how.broadcast_rows else wanted, "node").select("node", "codes"), "near-sets"))
-
-    links = spark.createDataFrame([], "a long, b long")
+    sets = spark.createDataFrame([], "node binary, codes binary")
+
+    def with_sets(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+        """``sets`` with those of the nodes ``wanted`` that it lacks."""
+        fresh = wanted.distinct().join(sets.select("node"), "node", "left_anti")
+        chosen = stash(fresh.join(nodes.select("node", "keeper.doc_id", "keeper.code"), "node"), "near-wanted")
+        ids = chosen.select("doc_id", "code").distinct()
+        texts = docs.withColumn("code", F.xxhash64("text"))
+        texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]) & (texts["code"] == ids["code"]), "left_semi")
+        return sets.union(stash(_sets(texts, how).dropDuplicates(["node"]), "near-sets"))
+
+    links = spark.createDataFrame([], "a binary, b binary")
     tested = links
-    labels = spark.createDataFrame([], "node long, label long")
-    open_ = groups.withColumn("label", F.col("node"))
-    for turn in range(how.rounds + 1):
-        # Cross pairs of a group: those of different components. One count for each component of a key, then sums.
-        per = open_.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left, members = per.where("c * c > q").agg(F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        if not left:
-            break
-        last = left <= how.exhaust * members or turn == how.rounds
-        if last:
-            other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = open_.join(other, "key").where((F.col("label") < F.col("other")) & _fits(F.col("n"), F.col("m"), how)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        else:
-            centre = open_.groupBy("key").agg(F.min_by(F.struct("node", "n", "label"), F.xxhash64(F.lit(turn), "node")).alias("x"))
-            pairs = open_.join(centre, "key").where((F.col("label") != F.col("x.label")) & _fits(F.col("n"), F.col("x.n"), how)).select(F.col("x.node").alias("a"), F.col("node").alias("b"))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    labels = spark.createDataFrame([], "node binary, label binary")
+    open_ = groups.select("key", "node", "n", F.col("node").alias("label"), F.lit(True).alias("long"), F.lit(True).alias("short"))
+    while True:
+        per = open_.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "c")
+        open_ = stash(open_.join(per, "key"), "near-open")
+        if not open_.head(1):
+            return labels
+        cold = open_.where(F.col("c") <= how.hot).select("key", "node", "n", "label", "long", "short")
+        other = cold.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "long", "short")))
+        meets = (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & ((F.col("long") & F.col("short_")) | (F.col("short") & F.col("long_")))
+        pairs = cold.join(other, "key").where(meets & _fits(F.col("n"), F.col("n_"), how)).select(F.col("node").alias("a"), F.col("node_").alias("b"))
         pairs = stash(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.union(pairs)
         pairs = stash(_possible(pairs, nodes, how), "near-possible")
-        sets = with_sets(pairs, sets)
-        links = stash(links.union(_verified(pairs, sets, how)), "near-links")
+        hot = open_.where(F.col("c") > how.hot).select("key", "node", "c")
+        family = None
+        if hot.head(1):
+            # The centre: the member of the largest groups in all, which has least of its own; so that groups that overlap share one.
+            mass = hot.groupBy("node").agg(F.sum("c").alias("mass"))
+            centre = hot.join(mass, "node").groupBy("key").agg(F.max_by("node", F.struct("mass", "node")).alias("a"))
+            family = stash(hot.join(centre, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "near-round")
+        both = pairs if family is None else pairs.union(family)
+        sets = with_sets(both.select(F.explode(F.array("a", "b")).alias("node")), sets)
+        found = _differences(pairs, sets, how, False).where("linked").select("a", "b")
+        if family is not None:
+            family = stash(_differences(family, sets, how, True), "near-differences")
+            found = found.union(family.where("linked").select("a", "b"))
+        links = stash(links.union(found), "near-links")
         labels = components(links).select("node", F.col("root").alias("label"))
-        if last:
-            break
-        now = groups.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        open_ = stash(now.join(mixed, "key", "left_semi"), "near-open")
-    return labels
+        if family is None:
+            return labels
+        open_ = _offers(family, labels, how)
 
 
 def one_of_each(docs: DataFrame, how: Near = Near()) -> DataFrame:
-    """The row of the smallest id of each component (rows without shingles all stay), with the columns of ``docs``."""
-    found = near_components(docs, how).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One row of each component, that of the smallest id (null ids last; of its texts the one of the smallest hash), with the columns of ``docs``;
+    rows without shingles all stay. Of rows that repeat both id and text one stays."""
+    rows, named = _components(docs, how)
+    keepers = named.select("keeper.doc_id", "keeper.code").distinct()
+    copies = rows.groupBy("doc_id", "code").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("size"))
+    chosen = copies.where("size = 0").select("doc_id", "code", F.lit(1).alias("copies")).union(copies.where("size > 0").join(keepers, [copies["doc_id"].eqNullSafe(keepers["doc_id"]), copies["code"] == keepers["code"]], "left_semi").select("doc_id", "code", "copies"))
+    ours = _fresh_names(docs, ["id", "code", "copies"])
+    chosen = chosen.toDF(*ours)
+    same = docs["doc_id"].eqNullSafe(chosen[ours[0]]) & (F.xxhash64(docs["text"]) == chosen[ours[1]])
+    kept = docs.join(chosen, same)
+    out = kept.where(F.col(ours[2]) == 1).union(kept.where(F.col(ours[2]) > 1).dropDuplicates([ours[0], ours[1]]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _fresh_names(docs: DataFrame, names: list[str]) -> list[str]:
+    """Column names that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out

@@ -64,7 +64,7 @@ def varied(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("how", [parity_join.Near(), parity_join.Near(bucket_entries=700, exhaust=0, rounds=3, broadcast_rows=0)])
+@pytest.mark.parametrize("how", [parity_join.Near(), parity_join.Near(bucket_bytes=20_000, block_keys=4000, local=2, hot=6)])
 def test_near_components_against_brute_force(spark, how):
     rows = varied() + [(9001, None), (9002, ""), (9003, " \n"), (None, "lone words here"), (5, "a b"), (5, "c d"), (6000, "A B"), (6001, "a b")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, component_id int").repartition(4)
