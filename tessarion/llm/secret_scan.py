@@ -1,30 +1,34 @@
 """Secrets in texts, also inside nested encodings.
 
 Method: a worklist of layers. The text is the first layer; every layer is scanned for the three kinds of secret and for
-encoded regions (URL escapes, backslash-u or entity escapes, base64, and base64 of gzip, zlib, zstandard, bzip2 or xz data).
+encoded regions (URL escapes, backslash-u or entity escapes, base64, and base64 or escapes of gzip, zlib, zstandard, bzip2 or xz data).
 A decoded region becomes a new layer whose characters map back to code points of the original text, and the list is worked
 off until no layer decodes any more; a layer whose characters and origin were seen before isn't entered again (cycle detection).
 
 Defined results: a null or empty text has no spans; output has one row for each input row, in whatever columns come with it;
 bytes of a decoded region that aren't UTF-8 are characters of their own (lone surrogates), so what is beside them is scanned, and
 UTF-16 is read too; base64 is decoded at all four alignments of a run and across wrapped lines, compressed data wherever a run
-holds the beginning of a known format; a decoded region without twelve printable characters in a row, the shortest that can hold a
-secret, adds nothing. ``Limits.layer_bytes`` is the most that one
-compressed region may unpack to (a bomb guard); a region beyond it is reported as kind ``oversize`` rather than skipped.
+holds the beginning of a known format, all members of it; a decoded region without twelve printable characters in a row, the shortest
+that can hold a secret, adds nothing. Compressed data of any size is read, as a stream: each ``window_bytes`` of it are a layer, and
+windows overlap by ``overlap_bytes``, so memory is bounded and what is no longer than the overlap lies whole in some window. Data that
+unpack to their own beginning are left (cycle detection again); a stream that breaks off gives what came before.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import gzip
 import hashlib
 import html
+import io
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -36,20 +40,25 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs: the same matches as runs fil
 _NAMED = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
 _URL = re.compile(r"%[0-9A-Fa-f]{2}")
-_URL_RUN = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
+_VISIBLE = re.compile(r"[!-~]+")
+_FULL = re.compile(r"\S+")
 _UNI = re.compile(r"\\u\{?[0-9A-Fa-f]|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[xX]?[0-9A-Fa-f]+;")
 _UNI_RUN = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+# Sixteen characters of base64 hold twelve bytes, the shortest secret. Possessive runs: a run that leads nowhere is passed over once.
 _B64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_B64_LINES = re.compile(r"(?:[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_B64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n[ \t]*+)++(?:[A-Za-z0-9+/_-]++={0,2})?")
 _PACKED = re.compile(r"H4sI|KLUv|Qlpo|[/_]Td6WF|(?<![A-Za-z0-9])e[AFJN]")  # how base64 of gzip, zstandard, bzip2, xz and zlib data begins
 _HOLDS = re.compile(rb"[\x20-\x7e]{12}")
 _HOLDS_16 = re.compile(rb"(?:[\x20-\x7e]\0){12}|(?:\0[\x20-\x7e]){12}")
-_CHANGED = re.compile(r"[0-9+/=_-]|[a-z][A-Z]")
 
 
 @dataclass(frozen=True)
 class Limits:
-    layer_bytes: int = 1 << 24
+    window_bytes: int = 1 << 23
+    overlap_bytes: int = 1 << 20
+
+
+Spots = tuple[np.ndarray, np.ndarray]
 
 
 def scan(layer: str) -> list[tuple[int, int, int]]:
@@ -63,49 +72,106 @@ def scan(layer: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _texts(raw: bytes) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """The decoded bytes as UTF-8 and, if they look it, as UTF-16; with the (start, end) in ``raw`` of each character."""
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, Spots]]:
+    """The decoded bytes as UTF-8 and, if they look it, as UTF-16; with the starts and ends in ``raw`` of each character."""
     if _HOLDS.search(raw):
         out = raw.decode("utf-8", "surrogateescape")
-        spots, k = [], 0
-        for c in out:
-            n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogateescape"))
-            spots.append((k, k + n))
-            k += n
-        yield out, spots
-    for m in _HOLDS_16.finditer(raw) if b"\0" in raw else ():  # the first such run tells the byte order and the alignment
-        begin = m.start()
-        order = "utf-16-le" if raw[begin + 1] == 0 else "utf-16-be"
-        begin %= 2
-        units = raw[begin : begin + (len(raw) - begin) // 2 * 2]
-        out, k, spots = units.decode(order, "replace"), begin, []
-        for c in out:
-            n = 4 if c > "\uffff" else 2
-            spots.append((k, k + n))
-            k += n
-        yield out, spots
-        break
-
-
-def _unpack(raw: bytes, most: int) -> bytes | None:
-    """Decompressed bytes if ``raw`` is a known compressed format; None if not; OverflowError beyond ``most``."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and int.from_bytes(raw[:2], "big") % 31 == 0:
-            d = zlib.decompressobj(zlib.MAX_WBITS | 32)
-            out = d.decompress(raw, most + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            out = zstandard.ZstdDecompressor().stream_reader(raw).read(most + 1)
-        elif raw[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(raw, most + 1)
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(raw, most + 1)
+        if len(out) == len(raw):
+            ends = np.arange(1, len(raw) + 1)
+            yield out, (ends - 1, ends)
         else:
-            return None
-    except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
+            code = _codes(out)
+            sizes = np.select([(code < 0x80) | (code >> 8 == 0xDC), code < 0x800, code < 0x10000], [1, 2, 3], 4)  # U+DCxx: a byte that isn't UTF-8
+            ends = np.cumsum(sizes)
+            yield out, (ends - sizes, ends)
+    if b"\0" in raw and (m := _HOLDS_16.search(raw)):  # the first such run tells the byte order and the alignment
+        order = "utf-16-le" if raw[m.start() + 1] == 0 else "utf-16-be"
+        begin = m.start() % 2
+        out = raw[begin : begin + (len(raw) - begin) // 2 * 2].decode(order, "replace")
+        sizes = np.where(_codes(out) > 0xFFFF, 4, 2)
+        ends = begin + np.cumsum(sizes)
+        yield out, (ends - sizes, ends)
+
+
+_BROKEN = (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError)
+
+
+class _Source(io.RawIOBase):
+    """What a function gives, as a file; a fault in the data is its end."""
+
+    def __init__(self, some: Callable[[int], bytes]) -> None:
+        self.some = some
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, space: bytearray) -> int:
+        try:
+            data = self.some(len(space))
+        except _BROKEN:
+            return 0
+        space[: len(data)] = data
+        return len(data)
+
+
+def _inflater(source: io.BufferedReader) -> Callable[[int], bytes]:
+    """Reads zlib streams that follow each other."""
+    state = [zlib.decompressobj()]
+
+    def some(n: int) -> bytes:
+        while True:
+            if state[0].eof:
+                rest = state[0].unused_data
+                state[0] = zlib.decompressobj()
+            else:
+                rest = state[0].unconsumed_tail
+            rest = rest or source.read1(1 << 16)
+            if not rest or (out := state[0].decompress(rest, n)):
+                return out if rest else b""
+
+    return some
+
+
+def _opened(source: io.BufferedReader) -> io.BufferedReader | None:
+    """The unpacked data of ``source``, all members, if it begins as a known compressed format."""
+    head = source.peek(8)
+    if head[:2] == b"\x1f\x8b":
+        some = gzip.GzipFile(fileobj=source).read1
+    elif head[:1] == b"\x78" and len(head) > 1 and int.from_bytes(head[:2], "big") % 31 == 0:
+        some = _inflater(source)
+    elif head[:4] == b"\x28\xb5\x2f\xfd":
+        some = zstandard.ZstdDecompressor().stream_reader(source, read_size=1 << 12, read_across_frames=True).read1
+    elif head[:3] == b"BZh":
+        some = bz2.BZ2File(source).read1
+    elif head[:6] == b"\xfd7zXZ\x00":
+        some = lzma.LZMAFile(source).read1
+    else:
         return None
-    if len(out) > most:
-        raise OverflowError
-    return out
+    return io.BufferedReader(_Source(some), 1 << 16)
+
+
+def _inflated(raw: bytes, limits: Limits) -> Iterator[str]:
+    """The texts of the windows of compressed data, compressed again or not."""
+    source = io.BufferedReader(io.BytesIO(raw))
+    seen, deep = {raw[:4096]}, False
+    while (inner := _opened(source)) is not None:
+        head = inner.peek(4096)[:4096]
+        if not head or head in seen:
+            return
+        seen.add(head)
+        source, deep = inner, True
+    if not deep:
+        return
+    held = b""
+    while fresh := source.read(limits.window_bytes - len(held)):
+        window = held + fresh
+        for text, _ in _texts(window):
+            yield text
+        held = window[-limits.overlap_bytes :]
 
 
 def _unescape(m: re.Match) -> str:
@@ -116,56 +182,82 @@ def _unescape(m: re.Match) -> str:
     return chr(code) if code < 0x110000 else s
 
 
-def _pieces(layer: str, most: int) -> Iterator[tuple[int, int, str, list[tuple[int, int]] | None]]:
-    """Decoded regions of a layer: (start, end, decoded or "" if too large, per character its (start, end) in the layer, or None
-    where each character comes from the whole region)."""
+def _url_bytes(run: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bytes of a run with its escapes decoded; and the starts and ends of each in the run."""
+    raw = np.frombuffer(run.encode("ascii"), np.uint8).copy()
+    keep = np.ones(len(raw), bool)
+    ends = np.arange(1, len(raw) + 1)
+    for m in _URL.finditer(run):
+        k = m.start()
+        raw[k] = int(run[k + 1 : k + 3], 16)
+        keep[k + 1 : k + 3] = False
+        ends[k] = k + 3
+    return raw[keep].tobytes(), np.flatnonzero(keep), ends[keep]
+
+
+def _plain_escapes(run: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """A run with its backslash and entity escapes decoded; and the starts and ends of each character in the run."""
+    out, starts, ends, k = [], [], [], 0
+    for e in _UNI_RUN.finditer(run):
+        if k < e.start():
+            out.append(run[k : e.start()])
+            starts.append(np.arange(k, e.start()))
+            ends.append(starts[-1] + 1)
+        inner = _unescape(e)
+        out.append(inner)
+        starts.append(np.full(len(inner), e.start()))
+        ends.append(np.full(len(inner), e.end()))
+        k = e.end()
+    out.append(run[k:])
+    starts.append(np.arange(k, len(run)))
+    ends.append(starts[-1] + 1)
+    return _surrogates("".join(out), np.concatenate(starts), np.concatenate(ends))
+
+
+def _surrogates(text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Joins escaped surrogate pairs; lone surrogates become the replacement character."""
+    code = _codes(text)
+    high, low = (code >= 0xD800) & (code < 0xDC00), (code >= 0xDC00) & (code < 0xE000)
+    if not (high.any() or low.any()):
+        return text, starts, ends
+    pair = np.zeros(len(code), bool)
+    pair[:-1] = high[:-1] & low[1:]
+    second = np.roll(pair, 1)
+    code = np.where(pair, 0x10000 + ((code - 0xD800) << 10) + np.roll(code, -1) - 0xDC00, np.where(high | low, 0xFFFD, code)).astype(np.uint32)
+    ends = np.where(pair, np.roll(ends, -1), ends)
+    return code[~second].tobytes().decode("utf-32-le"), starts[~second], ends[~second]
+
+
+def _pieces(layer: str, limits: Limits) -> Iterator[tuple[int, int, str, Spots | None]]:
+    """Decoded regions of a layer: (start, end, decoded, per character its starts and ends in the layer, or None where each
+    character comes from the whole region)."""
     if "%" in layer and _URL.search(layer):
-        for m in _URL_RUN.finditer(layer):
-            raw, at, k, run, off = bytearray(), [], 0, m[0], m.start()
-            while k < len(run):
-                step = 3 if _URL.match(run, k) else 1
-                raw.append(int(run[k + 1 : k + 3], 16) if step == 3 else ord(run[k]))
-                at.append((off + k, off + k + step))
-                k += step
-            for text, spots in _texts(bytes(raw)):
-                yield m.start(), m.end(), text, [(at[a][0], at[min(b, len(at)) - 1][1]) for a, b in spots]
-            if (more := _inflated(bytes(raw), most)) is not None:
-                yield m.start(), m.end(), more, None
+        for m in _VISIBLE.finditer(layer):
+            if "%" not in m[0] or not _URL.search(m[0]):
+                continue
+            raw, starts, ends = _url_bytes(m[0])
+            for text, (a, b) in _texts(raw):
+                yield m.start(), m.end(), text, (m.start() + starts[a], m.start() + ends[b - 1])
+            for text in _inflated(raw, limits):
+                yield m.start(), m.end(), text, None
     if ("\\" in layer or "&#" in layer) and _UNI.search(layer):
-        for m in re.finditer(r"[^\s]*(?:\\[uUx]|&#)[^\s]*", layer):
-            out, where, k = [], [], m.start()
-            for e in _UNI_RUN.finditer(layer, m.start(), m.end()):
-                for j in range(k, e.start()):
-                    out.append(layer[j])
-                    where.append((j, j + 1))
-                for c in _unescape(e):
-                    out.append(c)
-                    where.append((e.start(), e.end()))
-                k = e.end()
-            for j in range(k, m.end()):
-                out.append(layer[j])
-                where.append((j, j + 1))
-            text = "".join(out)
-            if text != m[0]:
-                text, where = _surrogates(text, where)
-                yield m.start(), m.end(), text, where
+        for m in _FULL.finditer(layer):
+            if ("\\" in m[0] or "&#" in m[0]) and _UNI_RUN.search(m[0]):
+                text, starts, ends = _plain_escapes(m[0])
+                yield m.start(), m.end(), text, (m.start() + starts, m.start() + ends)
     wrapped = _B64_LINES.finditer(layer) if "\n" in layer else ()
     for m in (*wrapped, *_B64_RUN.finditer(layer)):
-        if not _CHANGED.search(m[0]):
-            continue
         run = m[0].rstrip("=")
-        spot = range(m.start(), m.start() + len(run))
+        spot = np.arange(m.start(), m.start() + len(run))
         if "\n" in run:
-            spot = [m.start() + k for k, c in enumerate(run) if not c.isspace()]
+            spot = m.start() + np.flatnonzero(~np.isin(_codes(run), [9, 10, 13, 32]))
             run = "".join(run.split())
         for k in range(4):
-            raw = _unbase64(run[k:])
-            for text, spots in _texts(raw):
-                where = [(spot[k + a * 8 // 6], spot[min(k + (b * 8 + 5) // 6, len(spot)) - 1] + 1) for a, b in spots]
-                yield m.start(), m.end(), text, where
+            for text, (a, b) in _texts(_unbase64(run[k:])):
+                yield m.start(), m.end(), text, (spot[k + a * 8 // 6], spot[np.minimum(k + (b * 8 + 5) // 6, len(spot)) - 1] + 1)
         for x in _PACKED.finditer(run):
-            if (more := _inflated(_unbase64(run[x.start() :]), most)) is not None:
-                yield m.start(), m.end(), more, None
+            for text in _inflated(_unbase64(run[x.start() :]), limits):
+                yield m.start(), m.end(), text, None
 
 
 def _unbase64(run: str) -> bytes:
@@ -173,76 +265,45 @@ def _unbase64(run: str) -> bytes:
     return base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4))
 
 
-def _surrogates(text: str, where: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """Joins escaped surrogate pairs; lone surrogates become the replacement character."""
-    if not any("\ud800" <= c <= "\udfff" for c in text):
-        return text, where
-    out, at, k = [], [], 0
-    while k < len(text):
-        c = text[k]
-        if "\ud800" <= c <= "\udbff" and k + 1 < len(text) and "\udc00" <= text[k + 1] <= "\udfff":
-            out.append(chr(0x10000 + ((ord(c) - 0xD800) << 10) + ord(text[k + 1]) - 0xDC00))
-            at.append((where[k][0], where[k + 1][1]))
-            k += 2
-        else:
-            out.append("\ufffd" if "\ud800" <= c <= "\udfff" else c)
-            at.append(where[k])
-            k += 1
-    return "".join(out), at
-
-
-def _inflated(raw: bytes, most: int) -> str | None:
-    """The text of compressed data, compressed again or not; "" if it is too large; None if it isn't such data or has no text."""
-    try:
-        seen = False
-        while (more := _unpack(raw, most)) is not None:
-            raw, seen = more, True
-    except OverflowError:
-        return ""
-    # UTF-8 and UTF-16 readings one after the other: every character comes from the whole region.
-    return "\n".join(text for text, _ in _texts(raw)) or None if seen else None
-
-
 def find_secrets(text: str | None, limits: Limits = Limits()) -> tuple[list[tuple[int, int, int]], set[tuple[int, str, int]], int]:
     """(base matches of the text itself, every span as (start, kind, end) over all layers, number of layers)."""
     if not text:
         return [], set(), 0
     base = scan(text)
     spans = {(s, KINDS[k], e) for s, k, e in base}
-    # A layer: its characters, each one's (start, end) in the text (None: every character is the whole origin), and the origin.
-    work: list[tuple[str, list[tuple[int, int]] | None, tuple[int, int] | None]] = [(text, None, None)]
-    seen = {(None, text)}
+    seen: set[tuple[int, int, bytes]] = set()
+    # The worklist: iterators over the regions of a layer, with the starts and ends in the text of its characters (None: of the text
+    # itself, or every character is the whole origin) and the layer's origin.
+    work: list[tuple[Iterator, Spots | None, tuple[int, int] | None]] = [(_pieces(text, limits), None, None)]
     layers = 1
     while work:
-        layer, where, origin = work.pop()
+        pieces, where, origin = work[-1]
+        piece = next(pieces, None)
+        if piece is None:
+            work.pop()
+            continue
+        s, e, inner, at = piece
 
-        def back(a: int, b: int) -> tuple[int, int]:
+        def back(a: int, b: int, where: Spots | None = where, origin: tuple[int, int] | None = origin) -> tuple[int, int]:
             if origin is None:
                 return a, b
-            return origin if where is None else (min(x[0] for x in where[a:b]), max(x[1] for x in where[a:b]))
-
-        if origin is not None:
-            for s, k, e in scan(layer):
-                a, b = back(s, e)
-                spans.add((a, KINDS[k], b))
-        for s, e, inner, at in _pieces(layer, limits.layer_bytes):
-            place = back(s, e)
-            if not inner:
-                spans.add((place[0], "oversize", place[1]))
-                continue
-            if (place, inner) in seen or inner == text[place[0] : place[1]]:
-                continue
-            seen.add((place, inner))
-            layers += 1
-            if at is not None and not (where is None and origin is not None):
-                at = [back(a, b) for a, b in at]
-            else:
-                at = None
-            work.append((inner, at, place))
+            return origin if where is None else (int(where[0][a]), int(where[1][b - 1]))
+
+        place = back(s, e)
+        mark = (*place, hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest())
+        if mark in seen or len(inner) == place[1] - place[0] and inner == text[place[0] : place[1]]:
+            continue
+        seen.add(mark)
+        layers += 1
+        if at is not None and origin is not None:
+            at = None if where is None else (where[0][at[0]], where[1][at[1] - 1])
+        for a, k, b in scan(inner):
+            spans.add((place[0], KINDS[k], place[1]) if at is None else (int(at[0][a]), KINDS[k], int(at[1][b - 1])))
+        work.append((_pieces(inner, limits), at, place))
     return base, spans, layers
 
 
-_ORDER = {k: i for i, k in enumerate((*KINDS, "oversize"))}
+_ORDER = {k: i for i, k in enumerate(KINDS)}
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
