@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import struct
 import tempfile
 import uuid
@@ -18,10 +19,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is configured (tests)."""
+    """The shared folder of the cluster; a folder of our own only where none is configured and all runs on this machine (tests)."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(own)
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
@@ -50,6 +55,18 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(docs: DataFrame, names: list[str]) -> list[str]:
+    """Column names like ``names`` that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def is_held_out(doc_id: Column, remainder: int) -> Column:
     """crc32 of the id's decimal text modulo five equals ``remainder``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == remainder, F.lit(False))

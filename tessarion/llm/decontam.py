@@ -3,20 +3,25 @@
 An item counts as found in a document where the weighted Jaccard similarity (sum of smaller over sum of larger counts) of the item's
 ``shingle``-word shingles and those of an item-sized stretch of the document is at least ``similarity``.
 
-Method: for each band of item sizes, documents are cut into windows of ``span`` words on a grid of ``step`` words, and each item
-into windows of the same span at all ``step`` phases, so that one side's grid meets the other's at some phase. Windows get a
-64-bit SimHash of their words, weighted by length. Fingerprints within ``radius`` differ in at most ``radius`` bits, so of
+Method: items of like sizes are a band, with a window of its own: ``span`` words, a fixed share of the item's size that the similarity
+allows. Documents are cut into such windows on a grid of ``step`` words, and each item at all starts, so that the grid meets the item's
+windows at some phase. Windows get a 64-bit SimHash of their words, weighted by length. Fingerprints within ``radius`` differ in at most ``radius`` bits, so of
 ``radius + 1`` blocks at least one is equal (pigeonhole): each window is looked up in one table for each block, which finds every item window
 within the radius, and candidates are then verified exactly.
 
-Why no occurrence is missed: a stretch that reaches the similarity shares an unbroken run of words with the item; ``run_bound``
+Why windows are shorter than the items: a SimHash of a whole item-sized stretch is near, but within no fixed radius for certain, so a
+search by it alone has a recall below one. With windows of a size that follows the item's, none is missed: a stretch that reaches the similarity shares an unbroken run of words with the item; ``run_bound``
 is the least such run, and a band's span + step - 1 does not exceed it. So at least one grid window lies within the run, whose
-fingerprint equals an item window's; the radius adds altered windows on top.
+fingerprint equals an item window's; the radius adds altered windows on top. An item of 40 words is searched by runs of 13 or more, one of
+400 by runs of 23.
 
 Scale: the texts are read once and nothing is dealt out but the hits; the items' index travels to the executors in slices of
 about ``slice_items`` items or ``slice_chars`` characters (its bound), each slice being matched against all documents.
 
-Defined results: null or empty texts and items match nothing; an item of fewer words than ``shingle`` is one shingle, all of its words; words
+Verification looks at every stretch near a hit, its begin and end each within the slack that the similarity leaves: for one begin, all
+ends at once, as the shared shingles are a running sum (an occurrence counts while the item has as many since the begin).
+
+Defined results: null or empty texts and items match nothing; repeated items are one, and texts of the same id are tried each; an item of fewer words than ``shingle`` is one shingle, all of its words; words
 compare in lower case and without punctuation round them; one row for each (document row, item) that matches, repeated rows included.
 """
 
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarion.llm.common import word_codes
+from tessarion.llm.common import fresh_names, word_codes
 
 _OUTER = b".,;:!?\"'()[]{}"
 
@@ -96,11 +101,6 @@ def shingles(words: list[bytes], size: int) -> Counter:
     return Counter(tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1)))
 
 
-def weighted_jaccard(a: Counter, b: Counter) -> float:
-    both = sum(min(n, b[k]) for k, n in a.items() if k in b)
-    return both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
-
-
 def plain_words(text: str | None) -> list[bytes]:
     """Words in lower case, without the punctuation round them (unless there is nothing else)."""
     return [w.strip(_OUTER) or w for w in text.lower().encode("utf-8", "surrogatepass").split()] if text else []
@@ -156,28 +156,55 @@ class Index:
 
     def match(self, words: list[bytes], hits: set[tuple[int, int]]) -> list[tuple[int, float, int]]:
         """(item, similarity, first word) of the items found near ``hits``, (item, start) guesses of one document."""
-        best: dict[int, tuple[float, int]] = {}
-        tried: set[tuple[int, int]] = set()
+        guesses: dict[int, set[int]] = defaultdict(set)
         for at, guess in hits:
-            size = len(self.items[at][1])
-            slack = int((1 - self.how.similarity) * max(1, size - self.how.shingle + 1) + 1e-9) + 1
-            for d in sorted(range(-slack, slack + 1), key=abs):  # the likeliest first: an exact copy ends the search
-                s = guess + d
-                if not 0 <= s < len(words) or (at, s) in tried or best.get(at, (0.0, 0))[0] == 1.0:
-                    continue
-                tried.add((at, s))
-                for e in sorted({min(len(words), s + size + x) for x in range(-slack, slack + 1)}, key=lambda e: abs(e - s - size)):
-                    sim = weighted_jaccard(self.counts[at], shingles(words[s:e], self.how.shingle)) if e > s else 0.0
-                    if sim >= self.how.similarity - 1e-12 and (at not in best or (sim, -s) > (best[at][0], -best[at][1])):
-                        best[at] = (sim, s)
-                    if sim == 1.0:
-                        break
+            guesses[at].add(guess)
         named: dict[int, tuple[float, int]] = {}
-        for at, found in best.items():
-            item = self.items[at][0]
-            named[item] = max(named.get(item, found), found, key=lambda x: (x[0], -x[1]))
+        for at, around in guesses.items():
+            slack = int((1 - self.how.similarity) * max(1, len(self.items[at][1]) - self.how.shingle + 1) + 1e-9) + 1
+            starts = {s for g in around for s in range(max(0, g - slack), min(len(words) - 1, g + slack) + 1)}
+            found = self._best(words, at, starts, slack)
+            if found is not None:
+                item = self.items[at][0]
+                named[item] = max(named.get(item, found), found, key=lambda x: (x[0], -x[1]))
         return [(item, sim, s) for item, (sim, s) in sorted(named.items())]
 
+    def _best(self, words: list[bytes], at: int, starts: set[int], slack: int) -> tuple[float, int] | None:
+        """The highest similarity to an item of a stretch with one of these starts, and its first word."""
+        size, k, counts = len(self.items[at][1]), self.how.shingle, self.counts[at]
+        best: tuple[float, int] | None = None
+        if size < k:  # one shingle, all of the item's words
+            return max(((1.0, s) for s in starts if words[s : s + size] == self.items[at][1]), key=lambda x: -x[1], default=None)
+        whole = size - k + 1
+        lo, hi = min(starts), min(len(words), max(starts) + size + slack)
+        # By position: whether the item has the shingle, and where its count-th occurrence back is, before which a stretch must not begin.
+        n = max(0, hi - k + 1 - lo)
+        has, since = np.zeros(n, bool), np.full(n, -1, np.int64)
+        spots: dict[tuple, list[int]] = defaultdict(list)
+        for p in range(n):
+            g = tuple(words[lo + p : lo + p + k])
+            if c := counts.get(g):
+                own = spots[g]
+                own.append(p)
+                has[p] = True
+                if len(own) > c:
+                    since[p] = own[-1 - c]
+        if has.sum() < self.how.similarity * whole - 1e-9:
+            return None
+        for s in sorted(starts):
+            p = s - lo
+            first, last = max(1, whole - slack), min(n - p, whole + slack)  # numbers of shingles in the stretch
+            if last < first:
+                continue
+            both = np.cumsum(has[p : p + last] & (since[p : p + last] < p))[first - 1 :]
+            sims = both / (whole + np.arange(first, last + 1) - both)
+            sim = float(sims.max())
+            if sim >= self.how.similarity - 1e-12 and (best is None or (sim, -s) > (best[0], -best[1])):
+                best = (sim, s)
+                if sim == 1.0:
+                    break
+        return best
+
     def search(self, docs: list[list[bytes]], cache: dict[bytes, int]) -> list[list[tuple[int, float, int]]]:
         lengths = np.array([len(d) for d in docs])
         ends = np.cumsum(lengths)
@@ -198,14 +225,15 @@ class Index:
         return [self.match(words, h) if h else [] for words, h in zip(docs, hits)]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, how: Radar = Radar()) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word) of the items found in documents; ``items(item_id, text)``."""
+def _found(docs: DataFrame, items: DataFrame, how: Radar) -> DataFrame:
+    """(doc_id, code, item_id, similarity, first_word) of the items found in documents; code: a hash of the text."""
     spark = docs.sparkSession
-    wanted = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    wanted = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     n, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     slices = max(1, -(-n // how.slice_items), -(-chars // how.slice_chars))
     wanted = wanted.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    base = docs.select("doc_id", "text", F.xxhash64("text").alias("code"))
     out = None
     for k in range(slices):
         held = sorted((r["item_id"], r["text"]) for r in wanted.where(F.col("slice") == k).collect())
@@ -214,7 +242,7 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Radar = Radar()) -> Dat
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             index, cache = Index(sent.value, how), {}
             for batch in batches:
-                ids, texts = batch.column("doc_id"), batch.column("text")
+                texts = batch.column("text")
                 at = 0
                 while at < batch.num_rows:  # as many documents as hold about a quarter million words
                     docs_, n, first = [], 0, at
@@ -225,14 +253,22 @@ def contaminated(docs: DataFrame, items: DataFrame, how: Radar = Radar()) -> Dat
                     rows = [(first + i, *m) for i, found in enumerate(index.search(docs_, cache)) for m in found]
                     if rows:
                         take = pa.array([r[0] for r in rows], pa.int64())
-                        yield pa.RecordBatch.from_arrays([ids.take(take), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], ["doc_id", "item_id", "similarity", "first_word"])
+                        own = [batch.column(c).take(take) for c in ("doc_id", "code")]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], ["doc_id", "code", "item_id", "similarity", "first_word"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, similarity double, first_word long")
+        part = base.mapInArrow(run, f"doc_id {kind}, code long, item_id long, similarity double, first_word long")
         out = part if out is None else out.union(part)
     return out
 
 
+def contaminated(docs: DataFrame, items: DataFrame, how: Radar = Radar()) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word) of the items found in documents; ``items(item_id, text)``."""
+    return _found(docs, items, how).drop("code")
+
+
 def without_benchmark(docs: DataFrame, items: DataFrame, how: Radar = Radar()) -> DataFrame:
-    """The rows of ``docs`` whose id no item was found in; rows of a null id stay. Columns as in ``docs``."""
-    found = contaminated(docs, items, how).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` that hold no item, rows of a null or repeated id each by their own text. Columns as in ``docs``."""
+    ours = fresh_names(docs, ["id", "code"])
+    found = _found(docs, items, how).select("doc_id", "code").distinct().toDF(*ours)
+    same = docs["doc_id"].eqNullSafe(found[ours[0]]) & (F.xxhash64(docs["text"]) == found[ours[1]])
+    return docs.join(found, same, "left_anti")
