@@ -1,16 +1,18 @@
 """Mixing sources to target weights.
 
-Method: each source's words, documents in a pseudorandom but fixed order, are packed into blocks of ``block_words`` words. Every
-output shard draws its source counts from a multinomial law over the targets; the draws are then balanced so that each source's
-slots over all shards add up to its quota. A source's k-th slot takes the block that a pseudorandom permutation of the block
-indices (a fresh one for each pass over the source) gives for k, and slots meet blocks by index. Within a shard the slots of all
-sources lie in a pseudorandom order. ``mixture`` gives the mix itself, as the ranges of documents' words that each slot holds;
-``filled`` gives its text; ``mix`` gives what each document contributed, counted from the mix.
+Method: each source's words, documents in a pseudorandom but fixed order, are packed into blocks of ``block_words`` words. One output
+shard after the other draws its source counts from a multinomial law, over what the quotas have left; a source that has nothing left is
+out of the draw, and the last shard takes the rest, so the draws make the mix and quotas are met to the block. A source's k-th slot
+takes the block that a pseudorandom permutation of the block indices (a fresh one for each pass over the source) gives for k, and
+slots meet blocks by index. Within a shard the slots of all sources lie in a pseudorandom order. ``mixture`` gives the mix itself, as
+the ranges of documents' words that each slot holds; ``filled`` gives its text; ``mix`` gives what each document contributed, counted
+from the mix.
 
 Since a quota is at most three passes, no block, and so no document, is taken more than three times.
 
-Scale: positions are two-level prefix sums (hash buckets of a source, then rows of a bucket), so no window ever spans a source;
-the driver holds a few numbers for each source and shard.
+Scale: positions are two-level prefix sums (hash buckets of a source, then rows of a bucket), so no window ever spans a source; rows that
+repeat id, source and text are one row with a count until they have positions. The driver holds a few numbers for each source and
+shard: sources are named by hand, and there may be as many as ``max_sources``; beyond that the mix is refused.
 
 Defined results: null texts have size 0; documents of size 0 take 0; null sources form a source of their own, the last; repeated
 rows are documents of their own; an empty table gives an empty result.
@@ -36,6 +38,8 @@ class Mix:
     most: float = 3.0
     rounds: int = 8
     seed: int = 17
+    max_sources: int = 100_000
+    task_slots: int = 500_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -57,26 +61,19 @@ def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
 
 
 def shard_counts(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Multinomial counts (shards x sources) whose columns add up to ``quota`` and whose rows are level."""
-    total = int(quota.sum())
-    if not total:
-        return np.zeros((shards, len(quota)), np.int64)
-    level = np.array([total // shards + (s < total % shards) for s in range(shards)], np.int64)
+    """Counts (shards x sources) whose rows are level and whose columns add up to ``quota``: multinomial draws from what is left."""
+    left = quota.astype(np.int64).copy()
+    total = int(left.sum())
     rng = np.random.default_rng(seed)
-    counts = np.stack([rng.multinomial(n, quota / total) for n in level]).astype(np.int64)
-    off = counts.sum(axis=0) - quota  # too many where positive
-    while off.any():
-        step = max(1, int(np.abs(off).max()) // shards)
-        for s in range(shards):
-            for i in np.flatnonzero(off > 0):
-                for j in np.flatnonzero(off < 0):
-                    n = int(min(step, off[i], -off[j], counts[s, i]))
-                    if n > 0:
-                        counts[s, i] -= n
-                        counts[s, j] += n
-                        off[i] -= n
-                        off[j] += n
-    return counts
+    out = np.zeros((shards, len(left)), np.int64)
+    for s in range(shards):
+        want = total // shards + (s < total % shards)
+        while want:
+            draw = np.minimum(rng.multinomial(want, left / left.sum()), left)  # what a source no longer has is drawn again
+            out[s] += draw
+            left -= draw
+            want -= int(draw.sum())
+    return out
 
 
 def permuted(pos: Column, n: Column, key: Column, rounds: int) -> Column:
@@ -99,8 +96,12 @@ def mixture(docs: DataFrame, how: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", "source", F.xxhash64("text").alias("code"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = stash(sized.withColumn("h", F.xxhash64(F.lit(how.seed), "doc_id")), "mix-sizes")
-    per_source = [(r["source"], r["s"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()]
+    sized = sized.groupBy("doc_id", "source", "code", "size").agg(F.count("*").alias("copies"))
+    sized = stash(sized.withColumn("h", F.xxhash64(F.lit(how.seed), "doc_id", "code")), "mix-sizes")
+    found = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("s"), F.count("*").alias("n")).limit(how.max_sources + 1).collect()
+    if len(found) > how.max_sources:
+        raise ValueError(f"more than {how.max_sources} sources")
+    per_source = [(r["source"], r["s"], r["n"]) for r in found]
     per_source.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [r[1] for r in per_source]
     aims = targets(sizes, [how.weights[i % len(how.weights)] for i in range(len(sizes))], how.most)
@@ -118,7 +119,8 @@ def mixture(docs: DataFrame, how: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     step = 1 << 14
     held = ["shard", "si", "blocks", "first", "n", "before", "whole"]
     runs = draws.select(*held, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))).alias("run"))
-    runs = runs.repartition(how.shards, "si", "first", "run")
+    # By number, so that adaptive execution leaves these small rows, which become many, in as many tasks.
+    runs = runs.repartition(max(how.shards, -(-int(quota.sum()) // how.task_slots)), "si", "first", "run")
     slots = runs.select(*held, F.explode(F.sequence(F.col("run") * step, F.least(F.col("n"), (F.col("run") + 1) * step) - 1)).alias("k"))
     key = F.xxhash64(F.lit(how.seed), "si", F.expr("(first + k) div blocks"))
     block = permuted(F.expr("(first + k) % blocks"), F.col("blocks"), key, how.rounds)
@@ -128,11 +130,12 @@ def mixture(docs: DataFrame, how: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     buckets = max(1, math.isqrt(rows))  # level: as many buckets as rows in one
     rich = sized.join(F.broadcast(plan) if len(sizes) <= 10_000 else plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     rich = rich.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
-    ahead = rich.groupBy("si", "bucket").agg(F.sum("size").alias("s"))
+    ahead = rich.groupBy("si", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("s"))
     ahead = ahead.select("si", "bucket", (F.sum("s").over(Window.partitionBy("si").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")).alias("ahead"))
     inside = Window.partitionBy("si", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rich.withColumn("upto", F.sum("size").over(inside)).join(ahead, ["si", "bucket"])
-    placed = stash(placed.select("doc_id", "code", "size", "source_size", "target", "si", "source", (F.col("ahead") + F.col("upto") - F.col("size")).alias("start")), "mix-placed")
+    placed = rich.withColumn("upto", F.sum(F.col("size") * F.col("copies")).over(inside)).join(ahead, ["si", "bucket"])
+    placed = placed.withColumn("back", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    placed = stash(placed.select("doc_id", "code", "size", "source_size", "target", "si", "source", (F.col("ahead") + F.col("upto") - F.col("size") * F.col("back")).alias("start")), "mix-placed")
 
     long = F.lit(how.block_words)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / long), F.floor((F.col("start") + F.col("size") - 1) / long))))
