@@ -14,10 +14,10 @@ drops that many keys less one, those that most documents share (shared passages
 one that fewest share is never dropped by either. Equal (band, word, parity) keys that are left make groups. Documents with equal
 sets are one node from the start.
 
-A group of at most ``hot`` nodes gives its pairs of different components as candidates. These are held against a small bit sketch of
+A group of at most ``hot`` nodes (or offers of one side, see below) gives its pairs of different components as candidates. These are held against a small bit sketch of
 each set (about a bit a shingle; the number of unequal bits never exceeds the symmetric difference either), and what may link is
-verified on the full sets. A larger group is never paired up. It is put round a centre p, one of its own, and every member x is
-replaced by its difference E(x) from p: what all members have in common is gone from it. E(x) gives the link with p at once, and
+verified on the full sets. A larger group is never paired up. It is put round a centre p, a node that is like many, and every member x is
+replaced by its difference E(x) from p: what members have in common with p is gone from it. E(x) gives the link with p at once, and
 |E(x) xor E(y)| = |x xor y|, so x and y link only if E(x) and E(y) share at least (|E(x)| + |E(y)| - d) / 2 elements, d being the
 greatest difference of a link. A member outside p's component has |E(x)| > d, so in a pair of different components that number is one
 at least, and each needs to offer only so many of its elements, fewest holders first, that one shared element must be among them
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessarion.llm.common import components, lower_words, mix64, pack, stash, unpack, word_codes
+from tessarion.llm.common import components, fresh_names, lower_words, mix64, pack, stash, unpack, word_codes
 
 
 @dataclass(frozen=True)
@@ -385,24 +385,33 @@ def _join_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, how: Near)
     labels = spark.createDataFrame([], "node binary, label binary")
     open_ = groups.select("key", "node", "n", F.col("node").alias("label"), F.lit(True).alias("long"), F.lit(True).alias("short"))
     while True:
-        per = open_.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "c")
-        open_ = stash(open_.join(per, "key"), "near-open")
+        # Open groups: those in which a long offer meets a short one of another component.
+        ends = [f(F.when(F.col(c), F.col("label"))).alias(f"{c}_{f.__name__}") for c in ("long", "short") for f in (F.min, F.max)]
+        sizes = [F.sum(F.col(c).cast("long")).alias(f"n_{c}") for c in ("long", "short")]
+        per = open_.groupBy("key").agg(*ends, *sizes).where((F.col("n_long") > 0) & (F.col("n_short") > 0) & (F.least("long_min", "short_min") != F.greatest("long_max", "short_max")))
+        open_ = stash(open_.join(per.select("key", F.least("n_long", "n_short").alias("c")), "key"), "near-open")
         if not open_.head(1):
             return labels
-        cold = open_.where(F.col("c") <= how.hot).select("key", "node", "n", "label", "long", "short")
-        other = cold.select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "long", "short")))
-        meets = (F.col("node") < F.col("node_")) & (F.col("label") != F.col("label_")) & ((F.col("long") & F.col("short_")) | (F.col("short") & F.col("long_")))
-        pairs = cold.join(other, "key").where(meets & _fits(F.col("n"), F.col("n_"), how)).select(F.col("node").alias("a"), F.col("node_").alias("b"))
+        # At most ``hot`` pairs a row of the other side.
+        cold = open_.where(F.col("c") <= how.hot)
+        left = cold.where("long").select("key", "node", "n", "label", "short")
+        right = cold.where("short").select("key", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "long")))
+        once = (F.col("node") < F.col("node_")) | ~(F.col("short") & F.col("long_"))
+        pairs = left.join(right, "key").where(once & (F.col("label") != F.col("label_")) & _fits(F.col("n"), F.col("n_"), how))
+        pairs = pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
         pairs = stash(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = tested.union(pairs)
         pairs = stash(_possible(pairs, nodes, how), "near-possible")
         hot = open_.where(F.col("c") > how.hot).select("key", "node", "c")
         family = None
         if hot.head(1):
-            # The centre: the member of the largest groups in all, which has least of its own; so that groups that overlap share one.
+            # The centre: of a group's members the one of the largest groups in all, which has least of its own. Groups that overlap take
+            # the greatest such centre that any of their members meets, so that a cluster has few; it needn't be of the group itself.
             mass = hot.groupBy("node").agg(F.sum("c").alias("mass"))
-            centre = hot.join(mass, "node").groupBy("key").agg(F.max_by("node", F.struct("mass", "node")).alias("a"))
-            family = stash(hot.join(centre, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "near-round")
+            top = stash(hot.join(mass, "node").groupBy("key").agg(F.max(F.struct("mass", "node")).alias("top")), "near-top")
+            met = hot.join(top, "key").groupBy("node").agg(F.max("top").alias("top"))
+            centre = hot.join(met, "node").groupBy("key").agg(F.max("top").alias("top"))
+            family = stash(hot.join(centre, "key").select(F.col("top.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "near-round")
         both = pairs if family is None else pairs.union(family)
         sets = with_sets(both.select(F.explode(F.array("a", "b")).alias("node")), sets)
         found = _differences(pairs, sets, how, False).where("linked").select("a", "b")
@@ -423,21 +432,10 @@ def one_of_each(docs: DataFrame, how: Near = Near()) -> DataFrame:
     keepers = named.select("keeper.doc_id", "keeper.code").distinct()
     copies = rows.groupBy("doc_id", "code").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("size"))
     chosen = copies.where("size = 0").select("doc_id", "code", F.lit(1).alias("copies")).union(copies.where("size > 0").join(keepers, [copies["doc_id"].eqNullSafe(keepers["doc_id"]), copies["code"] == keepers["code"]], "left_semi").select("doc_id", "code", "copies"))
-    ours = _fresh_names(docs, ["id", "code", "copies"])
+    ours = fresh_names(docs, ["id", "code", "copies"])
     chosen = chosen.toDF(*ours)
     same = docs["doc_id"].eqNullSafe(chosen[ours[0]]) & (F.xxhash64(docs["text"]) == chosen[ours[1]])
     kept = docs.join(chosen, same)
     out = kept.where(F.col(ours[2]) == 1).union(kept.where(F.col(ours[2]) > 1).dropDuplicates([ours[0], ours[1]]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
-
-def _fresh_names(docs: DataFrame, names: list[str]) -> list[str]:
-    """Column names that ``docs`` doesn't have."""
-    taken = {c.lower() for c in docs.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        out.append(name)
-        taken.add(name.lower())
-    return out
