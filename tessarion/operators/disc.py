@@ -49,6 +49,12 @@ def kernels(grid: Grid, centres: DataFrame) -> DataFrame:
     return reached.select("centre_row", "radius_km", "row", half.alias("half_width")).withColumn("full_turn", F.col("half_width") == closing)
 
 
+def covering(kernel: DataFrame, grid: Grid) -> DataFrame:
+    """(centre_row, radius_km, covers) of a kernel: whether the disc is the whole grid, every row by a full turn."""
+    full = kernel.groupBy("centre_row", "radius_km").agg(F.bool_and("full_turn").alias("full"), F.count("*").alias("n"))
+    return full.select("centre_row", "radius_km", (F.col("full") & (F.col("n") == grid.height)).alias("covers"))
+
+
 def placed(kernel: DataFrame, centres: DataFrame, grid: Grid) -> DataFrame:
     """(id, row, west, east) of discs ``centres(id, centre_row, centre_col, radius_km)``: one span a row, two where it crosses the
     seam, the whole row once for a full turn."""

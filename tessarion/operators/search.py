@@ -1,29 +1,32 @@
 """The most populous disc of a radius, by branch and bound over blocks of candidate centres.
 
 A block's bound is the population of the disc round its middle cell, widened by the block's slack; blocks whose bound is strictly below
-the best disc found so far can't hold the answer. Each level of the search is one Spark job: it evaluates, for every block of the
-level, the widened and the exact disc round its middle. The driver keeps the blocks (a few numbers each) and replays the level in
-order, so that answers and counters don't depend on how Spark ran it.
+the best disc found so far can't hold the answer. Blocks are taken a level at a time, in the order of their middle cells, so answers and
+counters don't depend on where discs are evaluated.
 
-Where the whole tree of blocks is small, one job evaluates it for one or several radii at once.
+A table within ``disc.BROADCAST_BYTES`` goes to every executor once, and a task searches a whole radius: several radii are a job. For a
+larger table each level is a job, which evaluates the widened and the exact disc of every block by joins with the row prefixes; the driver
+holds the blocks of a level (a few numbers each), never cells.
 """
 
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessarion.functions.geodesy import RadiusKm
 from tessarion.operators import disc
+from tessarion.operators.held import HeldTable
 from tessarion.plans.errors import BadInput
 from tessarion.plans.grid import Grid
 from tessarion.plans.progress import Progress, bracket
 
 log = logging.getLogger(__name__)
-#: Up to so many blocks, the whole tree is evaluated ahead.
-WHOLE_TREE = 4_096
 
 
 @dataclass(frozen=True, order=True)
@@ -92,13 +95,95 @@ class MostPopulous:
     tolerance_persons: float = 0.0
 
 
+class Level:
+    """The discs of a level's blocks, evaluated by one job."""
+
+    def __init__(self, searcher: Searcher) -> None:
+        self.searcher = searcher
+
+    def begin(self, blocks: list[Block], radius: RadiusKm) -> None:
+        self.values = dict(zip(blocks, self.searcher.evaluate([(b, radius) for b in blocks])))
+
+    def ceiling(self, block: Block, wide: RadiusKm) -> float:
+        return self.values[block][0]
+
+    def exact(self, block: Block, radius: RadiusKm) -> float:
+        return self.values[block][1]
+
+
+class Held:
+    """Discs evaluated when they are asked for, on a table at hand."""
+
+    def __init__(self, table: HeldTable) -> None:
+        self.table = table
+
+    def begin(self, blocks: list[Block], radius: RadiusKm) -> None:
+        pass
+
+    def ceiling(self, block: Block, wide: RadiusKm) -> float:
+        return self.table.population(*block.probe, wide.km)
+
+    def exact(self, block: Block, radius: RadiusKm) -> float:
+        return self.table.population(*block.probe, radius.km)
+
+
+def descend(grid: Grid, radius: RadiusKm, spacing: int, discs: Level | Held, progress: Progress | None = None) -> MostPopulous:
+    """The search itself: levels of blocks, pruned and split, until none is left."""
+    level = tile(grid, spacing)
+    best: Candidate | None = None
+    stats = SearchStats()
+    seed = (grid.middle_row, radius.km)
+    wide_held, exact_held, built = seed, seed, 2
+    while level:
+        level.sort(key=lambda b: b.probe)
+        stats.levels += 1
+        with bracket(f"level {stats.levels}"):
+            discs.begin(level, radius)
+        survivors = []
+        for done, b in enumerate(level, 1):
+            row, col = b.probe
+            wide = radius.widened_by(disc.slack_km(grid, b.north, b.south, b.first, b.last))
+            built += (row, wide.km) != wide_held
+            wide_held = (row, wide.km)
+            stats.blocks_examined += 1
+            if best is not None and discs.ceiling(b, wide) < best.population:
+                stats.blocks_pruned += 1
+            else:
+                built += (row, radius.km) != exact_held
+                exact_held = (row, radius.km)
+                here = Candidate(row, col, discs.exact(b, radius))
+                best = here if best is None else best.better(here)
+                stats.circles_evaluated += 1
+                survivors.append(b)
+            if progress:
+                progress.advance(done, len(level))
+        level = [c for b in survivors for c in b.split()]
+    stats.kernels_built = built
+    assert best is not None  # a grid has a cell, and the first block is never pruned
+    return MostPopulous(best, radius, stats)
+
+
+_FOUND = "km double, row int, col int, population double, levels int, blocks_examined int, blocks_pruned int, circles_evaluated int, kernels_built int"
+
+
+_ARROW = {"int": pa.int32(), "double": pa.float64()}
+_FOUND_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in _FOUND.split(", "))])
+
+
 @dataclass
 class Searcher:
-    """Searches over one table; evaluations of whole trees are kept by radius."""
+    """Searches over one table; what was found is kept by spacing and radius."""
 
     prefix: DataFrame
     grid: Grid
-    trees: dict[tuple[int, float], dict[Block, tuple[float, float]]] = field(default_factory=dict)
+    bound_bytes: int = disc.BROADCAST_BYTES
+    found: dict[tuple[int, float], MostPopulous] = field(default_factory=dict)
+    _sent: object = None
+
+    @property
+    def sends(self) -> bool:
+        """Whether the table goes to the executors whole."""
+        return self.grid.height * (self.grid.width + 1) * 8 <= self.bound_bytes
 
     def evaluate(self, wanted: list[tuple[Block, RadiusKm]]) -> list[tuple[float, float]]:
         """(bound, exact population) of each block at its radius, in one job."""
@@ -118,57 +203,37 @@ class Searcher:
             out[i] = float(p)
         return list(zip(out[::2], out[1::2]))
 
-    def tree(self, spacing: int) -> list[Block] | None:
-        blocks, level = [], tile(self.grid, spacing)
-        while level:
-            blocks += level
-            if len(blocks) > WHOLE_TREE:
-                return None
-            level = [c for b in level for c in b.split()]
-        return blocks
-
     def prepare(self, radii: list[RadiusKm], spacing: int) -> None:
-        """Evaluate whole trees at several radii in one job, where they are small."""
-        fresh = [r for r in radii if (spacing, r.km) not in self.trees]
-        if not fresh or (blocks := self.tree(spacing)) is None:
+        """Search several radii in one job, a task each, where the table is sent."""
+        fresh = sorted({r.km for r in radii if (spacing, r.km) not in self.found})
+        if not fresh or not self.sends:
             return
-        values = self.evaluate([(b, r) for r in fresh for b in blocks])
-        for k, r in enumerate(fresh):
-            self.trees[spacing, r.km] = dict(zip(blocks, values[k * len(blocks) : (k + 1) * len(blocks)]))
+        self.grid.require_closed()
+        spark, grid = self.prefix.sparkSession, self.grid
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(HeldTable.of(self.prefix, grid))
+        sent = self._sent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for km in b.column("km").to_pylist():
+                    got = descend(grid, RadiusKm(km), spacing, Held(sent.value))
+                    rows.append({"km": km, "row": got.centre.row, "col": got.centre.col, "population": got.centre.population, **vars(got.stats)})
+                yield pa.RecordBatch.from_pylist(rows, schema=_FOUND_ARROW)
+
+        # Wide discs take longest: a task a radius, the widest first.
+        order = F.array(*[F.lit(km) for km in reversed(fresh)])
+        todo = spark.range(0, len(fresh), 1, len(fresh)).select(F.element_at(order, (F.col("id") + 1).cast("int")).alias("km"))
+        for r in todo.mapInArrow(run, _FOUND).collect():  # one row a radius
+            stats = SearchStats(r["levels"], r["blocks_examined"], r["blocks_pruned"], r["circles_evaluated"], r["kernels_built"])
+            self.found[spacing, r["km"]] = MostPopulous(Candidate(r["row"], r["col"], r["population"]), RadiusKm(r["km"]), stats)
 
     def most_populous(self, radius: RadiusKm, spacing: int, progress: Progress | None = None) -> MostPopulous:
         self.grid.require_closed()
-        level = tile(self.grid, spacing)
+        if spacing < 1:
+            raise BadInput(f"a spacing is at least one cell: {spacing}")
         self.prepare([radius], spacing)
-        known = self.trees.get((spacing, radius.km))
-        best: Candidate | None = None
-        stats = SearchStats()
-        seed = (self.grid.middle_row, radius.km)
-        wide_held, exact_held, built = seed, seed, 2
-        while level:
-            level.sort(key=lambda b: b.probe)
-            stats.levels += 1
-            with bracket(f"level {stats.levels}"):
-                values = [known[b] for b in level] if known else self.evaluate([(b, radius) for b in level])
-            survivors = []
-            for done, (b, (ceiling, exact)) in enumerate(zip(level, values), 1):
-                row, col = b.probe
-                key = (row, radius.widened_by(disc.slack_km(self.grid, b.north, b.south, b.first, b.last)).km)
-                built += key != wide_held
-                wide_held = key
-                stats.blocks_examined += 1
-                if best is not None and ceiling < best.population:
-                    stats.blocks_pruned += 1
-                else:
-                    built += (row, radius.km) != exact_held
-                    exact_held = (row, radius.km)
-                    here = Candidate(row, col, exact)
-                    best = here if best is None else best.better(here)
-                    stats.circles_evaluated += 1
-                    survivors.append(b)
-                if progress:
-                    progress.advance(done, len(level))
-            level = [c for b in survivors for c in b.split()]
-        stats.kernels_built = built
-        assert best is not None  # a grid has a cell, and the first block is never pruned
-        return MostPopulous(best, radius, stats)
+        if (spacing, radius.km) not in self.found:
+            self.found[spacing, radius.km] = descend(self.grid, radius, spacing, Level(self), progress)
+        return self.found[spacing, radius.km]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessarion.functions import geodesy
+from tessarion.functions.sums import running
 from tessarion.plans.grid import TOLERANCE_DEG, ColSpan, Grid
 
 TABLE_FORMAT = 1
@@ -166,7 +167,7 @@ def prefix_rows(rows: DataFrame, grid: Grid, factor: int = 1, nodata: float | No
                     h = int.from_bytes(hashlib.blake2b(clean.astype("<f4").tobytes(), digest_size=8, key=row.to_bytes(8, "little")).digest(), "little", signed=True)
                     hashes.append((h, h))
                     at.append(row)
-                    sums.append(clean.reshape(-1, factor).sum(axis=1) if factor > 1 else np.concatenate([[0.0], np.cumsum(clean)]))
+                    sums.append(clean.reshape(-1, factor).sum(axis=1) if factor > 1 else np.concatenate([[0.0], running(clean)]))
                 yield batch(at, sums, counts, hashes)
 
     scanned = rows.select("row", "values").mapInArrow(scan, _SUMMED)
@@ -182,7 +183,7 @@ def prefix_rows(rows: DataFrame, grid: Grid, factor: int = 1, nodata: float | No
             total += t.column("prefix")[int(i)].values.to_numpy()
         counts = [tuple(int(t.column(c).to_numpy().sum()) for c in _TALLIES)]
         hashes = [(int(np.bitwise_xor.reduce(t.column("hx").to_numpy())), int(np.add.reduce(t.column("hs").to_numpy())))]
-        return pa.Table.from_batches([batch([key[0].as_py()], [np.concatenate([[0.0], np.cumsum(total)])], counts, hashes)])
+        return pa.Table.from_batches([batch([key[0].as_py()], [np.concatenate([[0.0], running(total)])], counts, hashes)])
 
     return scanned.groupBy(F.expr(f"row div {factor}").cast("int").alias("coarse")).applyInArrow(gather, _SUMMED)
 
@@ -201,6 +202,11 @@ def hexadecimal(value: int) -> str:
     return f"0x{value & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
+def hexadecimal_of(value: Column) -> Column:
+    """``hexadecimal`` of a long, as an expression."""
+    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(value)), 16, "0"))
+
+
 def parse_digest(text: str) -> int:
     digits = text[2:] if text[:2].lower() == "0x" else text
     if len(digits) != 16 or any(c not in "0123456789abcdefABCDEF" for c in digits):

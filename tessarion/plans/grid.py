@@ -150,6 +150,10 @@ class Grid:
 
     # Column expressions.
 
+    def col_further(self, col: Column, cells: Column) -> Column:
+        """``col_along`` as an expression."""
+        return F.pmod(col + cells, F.lit(self.width)).cast("int")
+
     def centre_lat(self, row: Column) -> Column:
         return self.origin_lat + (row + 0.5) * self.lat_step
 

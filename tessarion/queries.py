@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessarion.functions import geodesy
+from tessarion.functions import geodesy, sums
 from tessarion.functions.geodesy import RadiusKm
 from tessarion.operators import disc, figures, smallest, table
 from tessarion.operators.search import Searcher, tile
@@ -132,7 +132,7 @@ def coordinate_to_cell(spark, d):  # noqa: ANN001, ANN201
 
 
 def column_steps(spark, d):  # noqa: ANN001, ANN201
-    return _coordinates(spark, d).select("c_custkey", F.pmod(F.col("c_custkey") - 50, F.lit(36)).cast("int").alias("col"))
+    return _coordinates(spark, d).select("c_custkey", GLOBE.col_further(F.lit(0), F.col("c_custkey") - 50).alias("col"))
 
 
 def cell_geometry(spark, d):  # noqa: ANN001, ANN201
@@ -181,10 +181,22 @@ def smallest_for_shares(spark, d):  # noqa: ANN001, ANN201
 
 
 def smallest_for_share(spark, d):  # noqa: ANN001, ANN201
+    s = smallest.smallest(Searcher(prefixes(spark, d), GLOBE), smallest.Share(0.25), 4, smallest.MemoryLedger())
+    row = (s.radius_km, s.centre.row, s.centre.col, s.centre.population, s.target.persons, *s.short_below, s.covers_whole_grid, s.ambiguity is not None)
+    return spark.createDataFrame([row], "radius_km int, row int, col int, population double, persons double, short_km int, short_population double, covers boolean, ambiguous boolean")
+
+
+def smallest_by_bracket(spark, d):  # noqa: ANN001, ANN201
     km, c = smallest.smallest_by_bracket(prefixes(spark, d).persist(), GLOBE, smallest.Share(0.25))
     return spark.createDataFrame([(km, c.row, c.col, c.population)], "radius_km int, row int, col int, population double")
 
 
+def two_sums(spark, d):  # noqa: ANN001, ANN201
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_totalprice").cast("double").alias("a"), (F.col("o_custkey") / 7).alias("b"))
+    total, lost = sums.two_sum(F.col("a"), F.col("b"))
+    return o.select("o_orderkey", total.alias("total"), lost.alias("lost"))
+
+
 def ambiguous_radii(spark, d):  # noqa: ANN001, ANN201
     margins = people(spark, d).select((F.col("row") * 36 + F.col("col")).alias("km"), (F.col("value") - 60.0).alias("margin"))
     return smallest.ambiguity_of(margins, 5.0)
@@ -252,7 +264,9 @@ def event_people(spark, d):  # noqa: ANN001, ANN201
 
 
 def sweep(spark, d):  # noqa: ANN001, ANN201
-    return smallest.radii_for_shares(people(spark, d), GLOBE, [p / 100.0 for p in smallest.sweep_percents(10, 90, 20)])
+    found = smallest.sweep(Searcher(prefixes(spark, d), GLOBE), smallest.sweep_percents(10, 90, 20), 4)
+    rows = [(s.target.share.value, s.target.persons, s.radius_km, s.centre.row, s.centre.col, s.centre.population) for s in found]
+    return spark.createDataFrame(rows, "share double, persons double, radius_km int, row int, col int, population double")
 
 
 def block_slack(spark, d):  # noqa: ANN001, ANN201
@@ -269,14 +283,13 @@ def window_cells(spark, d):  # noqa: ANN001, ANN201
 
 
 def wrapped_spans(spark, d):  # noqa: ANN001, ANN201
-    centres = GLOBE.cells(spark).where("row in (0, 9)").select((F.col("row") * 36 + F.col("col")).alias("id"), F.col("row").alias("centre_row"), F.col("col").alias("centre_col"), F.lit(3000.0).alias("radius_km"))
+    centres = GLOBE.cells(spark).select((F.col("row") * 36 + F.col("col")).alias("id"), F.col("row").alias("centre_row"), F.col("col").alias("centre_col"), F.lit(3000.0).alias("radius_km"))
     spans = disc.placed(disc.kernels(GLOBE, centres.select("centre_row", "radius_km").distinct()), centres, GLOBE)
     return spans.groupBy("id").agg(F.sum(F.col("east") - F.col("west") + 1).cast("long").alias("cells"), F.countDistinct("row").alias("rows"))
 
 
 def whole_grid_kernels(spark, d):  # noqa: ANN001, ANN201
-    found = disc.kernels(GLOBE, _kernel_centres(spark)).groupBy("centre_row", "radius_km").agg(F.bool_and("full_turn").alias("full"), F.count("*").alias("n"))
-    return found.select("centre_row", "radius_km", (F.col("full") & (F.col("n") == GLOBE.height)).alias("covers"))
+    return disc.covering(disc.kernels(GLOBE, _kernel_centres(spark)), GLOBE)
 
 
 def best_by_row(spark, d):  # noqa: ANN001, ANN201
@@ -287,13 +300,12 @@ def best_by_row(spark, d):  # noqa: ANN001, ANN201
 def ledger_lookup(spark, d):  # noqa: ANN001, ANN201
     probes = people(spark, d).select((F.col("row") * 36 + F.col("col")).alias("km"))
     settled = people(spark, d).where("value > 60").select((F.col("row") * 36 + F.col("col")).alias("km"))
-    hits, misses = probes.join(settled, "km", "left_semi"), probes.join(settled, "km", "left_anti")
-    return hits.select("km", F.lit("reused").alias("how")).union(misses.select("km", F.lit("searched").alias("how")))
+    return smallest.looked_up(settled, probes)
 
 
 def digest_text(spark, d):  # noqa: ANN001, ANN201
     o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
-    return o.select("o_orderkey", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("o_orderkey")), 16, "0")).alias("digest"))
+    return o.select("o_orderkey", table.hexadecimal_of(F.col("o_orderkey")).alias("digest"))
 
 
 def enclosed_poles(spark, d):  # noqa: ANN001, ANN201
@@ -311,7 +323,7 @@ _ALL = (
     cell_tallies, cell_classes, dataset_statistics, sanitised_cells, summed_area_table, row_prefix_sums, window_population, window_wrapped, whole_extent, many_windows,
     decimated_cells, decimated_table, distances, coordinate_to_cell, column_steps, cell_geometry, kernel, population_at, population_all_centres, most_populous,
     most_populous_pruned, search_counters, smallest_for_shares, smallest_for_share, ambiguous_radii, ledger_upsert, block_tiling, block_split, identity_refusal,
-    ring_turns, graticule, orthographic_cells, digest, published_table, grid_document, streamed_prefixes, event_people,
+    smallest_by_bracket, two_sums, ring_turns, graticule, orthographic_cells, digest, published_table, grid_document, streamed_prefixes, event_people,
 )
 
 
@@ -340,10 +352,16 @@ j AS (SELECT *, lon - lag(lon) OVER (ORDER BY vertex) AS jump FROM z)"""
     sat = f"WITH {CELLS} SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, coalesce((SELECT sum(value) FROM cells WHERE row < r AND col < c), 0) AS v FROM range(0, 19) a(r), range(0, 37) b(c)"
     kernels = f"WITH k AS (SELECT CAST(i AS INTEGER) AS centre_row, radius_km FROM range(18) a(i), (VALUES (1500::DOUBLE), (4000), (8000), (20016)) b(radius_km)), r AS (SELECT CAST(i AS INTEGER) AS row FROM range(18) c(i)), w AS (SELECT k.centre_row, k.radius_km, r.row, {half.format(h=h)} AS half_width FROM k, r)"
     return {
-        "sweep": f"WITH {rings.replace('(0.1::DOUBLE), (0.25), (0.5), (1.0)', '(0.1::DOUBLE), (0.3), (0.5), (0.7), (0.9)')} SELECT share, persons, CAST(least(20016, ceil(min(km))) AS INTEGER) AS radius_km FROM goals JOIN grown ON pop >= persons GROUP BY share, persons",
+        "sweep": f"""WITH {rings.replace('(0.1::DOUBLE), (0.25), (0.5), (1.0)', '(0.1::DOUBLE), (0.3), (0.5), (0.7), (0.9)')}, a AS (SELECT share, persons, ceil(min(km)) AS radius_km FROM goals JOIN grown ON pop >= persons GROUP BY share, persons),
+t AS (SELECT share, persons, radius_km, row, col, sum(value) AS population FROM a JOIN pairs ON km <= radius_km GROUP BY ALL)
+SELECT share, persons, CAST(radius_km AS INTEGER) AS radius_km, row, col, population FROM t QUALIFY row_number() OVER (PARTITION BY share ORDER BY population DESC, row, col) = 1""",
+        "two_sums": "WITH x AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS a, CAST(o_custkey AS DOUBLE) / 7 AS b FROM orders) SELECT o_orderkey, a + b AS total, (a - ((a + b) - ((a + b) - a))) + (b - ((a + b) - a)) AS lost FROM x",
         "block_slack": f"WITH {blocks}, m AS (SELECT *, north + (south - north) // 2 AS pr, first + (last - first) // 2 AS pc FROM tiles) SELECT north, first, round(6371.0088 * (radians(10.0 * greatest(pr - north, south - pr)) + radians(10.0 * greatest(pc - first, last - pc)) * cos(radians(85 - 10.0 * pr))), 5) AS slack_km FROM m",
-        "window_cells": "SELECT * FROM (VALUES (55::DOUBLE, -12::DOUBLE, -31::DOUBLE, 47.5::DOUBLE, 3, 10, 14, 22, false), (35, -80, 142, -127, 5, 17, 32, 5, false), (10, 0, -180, 180, 8, 9, 0, 35, true), (10, -90, 0, 10, NULL, NULL, NULL, NULL, NULL)) t(north, south, west, east, first_row, last_row, first_col, last_col, full_turn)",
-        "wrapped_spans": f"WITH {PAIRS} SELECT row * 36 + col AS id, count(*) AS cells, count(DISTINCT r) AS rows FROM pairs WHERE row IN (0, 9) AND km <= 3000 GROUP BY ALL",
+        "window_cells": """WITH w AS (SELECT * FROM (VALUES (55::DOUBLE, -12::DOUBLE, -31::DOUBLE, 47.5::DOUBLE), (35, -80, 142, -127), (10, 0, -180, 180), (10, -90, 0, 10)) t(north, south, west, east)),
+c AS (SELECT *, floor((90 - north) / 10) AS r0, floor((90 - south) / 10) AS r1, floor((west + 180) / 10) % 36 AS c0, floor((east + 180) / 10) % 36 AS c1, north <= 90 AND south > -90 AS good, east - west >= 360 AS turn FROM w)
+SELECT north, south, west, east, CASE WHEN good THEN CAST(r0 AS INTEGER) END AS first_row, CASE WHEN good THEN CAST(r1 AS INTEGER) END AS last_row, CASE WHEN good THEN CAST(CASE WHEN turn THEN 0 ELSE c0 END AS INTEGER) END AS first_col,
+CASE WHEN good THEN CAST(CASE WHEN turn THEN 35 ELSE c1 END AS INTEGER) END AS last_col, CASE WHEN good THEN turn END AS full_turn FROM c""",
+        "wrapped_spans": f"WITH {PAIRS} SELECT row * 36 + col AS id, count(*) AS cells, count(DISTINCT r) AS rows FROM pairs WHERE km <= 3000 GROUP BY ALL",
         "whole_grid_kernels": f"{kernels} SELECT centre_row, radius_km, bool_and(coalesce(half_width >= 18, false)) AS covers FROM w GROUP BY ALL",
         "best_by_row": f"WITH {CELLS} SELECT row % 3 AS band, row, col, value AS population FROM cells QUALIFY row_number() OVER (PARTITION BY row % 3 ORDER BY value DESC, row, col) = 1",
         "ledger_lookup": f"WITH {CELLS} SELECT row * 36 + col AS km, CASE WHEN value > 60 THEN 'reused' ELSE 'searched' END AS how FROM cells",
@@ -372,16 +390,23 @@ j AS (SELECT *, lon - lag(lon) OVER (ORDER BY vertex) AS jump FROM z)"""
         "most_populous": f"WITH {PAIRS} {top(1500)} UNION ALL {top(3000)} UNION ALL {top(8000)}",
         "most_populous_pruned": f"WITH {PAIRS} {top(3000)}",
         "smallest_for_shares": f"WITH {rings} SELECT share, persons, CAST(least(20016, ceil(min(km))) AS INTEGER) AS radius_km FROM goals JOIN grown ON pop >= persons GROUP BY share, persons",
-        "smallest_for_share": f"WITH {rings}, a AS (SELECT ceil(min(km)) AS radius_km FROM goals JOIN grown ON pop >= persons WHERE share = 0.25) SELECT CAST(radius_km AS INTEGER) AS radius_km, row, col, sum(value) AS population FROM pairs, a WHERE km <= radius_km GROUP BY radius_km, row, col ORDER BY population DESC, row, col LIMIT 1",
+        "smallest_by_bracket": f"WITH {rings}, a AS (SELECT ceil(min(km)) AS radius_km FROM goals JOIN grown ON pop >= persons WHERE share = 0.25) SELECT CAST(radius_km AS INTEGER) AS radius_km, row, col, sum(value) AS population FROM pairs, a WHERE km <= radius_km GROUP BY radius_km, row, col ORDER BY population DESC, row, col LIMIT 1",
+        "smallest_for_share": f"""WITH {rings}, a AS (SELECT persons, ceil(min(km)) AS radius_km FROM goals JOIN grown ON pop >= persons WHERE share = 0.25 GROUP BY persons),
+t AS (SELECT radius_km, row, col, persons, sum(value) AS population FROM pairs, a WHERE km <= radius_km GROUP BY ALL ORDER BY population DESC, row, col LIMIT 1),
+s AS (SELECT max(population) AS short_population FROM (SELECT sum(value) AS population FROM pairs, a WHERE km <= radius_km - 1 GROUP BY row, col))
+SELECT CAST(radius_km AS INTEGER) AS radius_km, row, col, population, persons, CAST(radius_km - 1 AS INTEGER) AS short_km, short_population,
+(SELECT count(*) FROM pairs p WHERE p.row = t.row AND p.col = t.col AND p.km <= t.radius_km) = 648 AS covers, abs(population - persons) < 1e-6 OR abs(short_population - persons) < 1e-6 AS ambiguous FROM t, s""",
         "ambiguous_radii": f"WITH {CELLS} SELECT min(row * 36 + col) AS lowest_km, max(row * 36 + col) AS highest_km, count(*) AS radii FROM cells WHERE abs(value - 60) <= 5",
         "ledger_upsert": f"WITH {CELLS} SELECT row * 36 + col AS km, CASE WHEN row * 36 + col >= 300 THEN value + 1 ELSE value END AS population, row, col FROM cells",
         "block_tiling": f"WITH {blocks} SELECT * FROM tiles",
         "block_split": f"""WITH {blocks}, m AS (SELECT *, north + (south - north) // 2 AS pr, first + (last - first) // 2 AS pc FROM tiles),
 v AS (SELECT north AS n, pr AS s, first, last, pc FROM m UNION ALL SELECT pr + 1, south, first, last, pc FROM m WHERE south > north)
 SELECT n AS north, s AS south, first, pc AS last FROM v UNION ALL SELECT n, s, pc + 1, last FROM v WHERE last > first""",
-        "identity_refusal": """SELECT * FROM (VALUES ('0x3a5d5e3b082f2fb7', 36, 18, 1, 90::DOUBLE, 180::DOUBLE, 10::DOUBLE, -10::DOUBLE, NULL), ('0x3a5d5e3b082f2fb8', 36, 18, 1, 90, -180, 10, -10, 'digest'),
-('0x3a5d5e3b082f2fb7', 36, 18, 2, 90, -180, 10, -10, 'decimation'), ('0x3a5d5e3b082f2fb7', 36, 18, 1, 90, -180, 10.1, -10, 'lon_step'), ('0x3a5d5e3b082f2fb7', 36, 18, 1, 89, -180, 10, NULL, 'origin_lat'))
-t(digest, width, height, decimation, origin_lat, origin_lon, lon_step, lat_step, reason)""",
+        "identity_refusal": """WITH have AS (SELECT * FROM (VALUES ('0x3a5d5e3b082f2fb7', 36, 18, 1, 90::DOUBLE, 180::DOUBLE, 10::DOUBLE, -10::DOUBLE), ('0x3a5d5e3b082f2fb8', 36, 18, 1, 90, -180, 10, -10),
+('0x3a5d5e3b082f2fb7', 36, 18, 2, 90, -180, 10, -10), ('0x3a5d5e3b082f2fb7', 36, 18, 1, 90, -180, 10.1, -10), ('0x3a5d5e3b082f2fb7', 36, 18, 1, 89, -180, 10, NULL))
+t(digest, width, height, decimation, origin_lat, origin_lon, lon_step, lat_step))
+SELECT *, CASE WHEN digest <> '0x3a5d5e3b082f2fb7' THEN 'digest' WHEN width <> 36 THEN 'width' WHEN height <> 18 THEN 'height' WHEN decimation <> 1 THEN 'decimation' WHEN abs(origin_lat - 90) > 1e-6 THEN 'origin_lat'
+WHEN (origin_lon + 180) % 360 > 1e-6 THEN 'origin_lon' WHEN abs(lon_step - 10) > 1e-6 THEN 'lon_step' WHEN lat_step IS NULL OR abs(lat_step + 10) > 1e-6 THEN 'lat_step' END AS reason FROM have""",
         "ring_turns": f"WITH {ring} SELECT vertex, round(lat, 6) AS lat, round(lon, 6) AS lon, CAST(sum(CASE WHEN jump > 180 THEN -1 WHEN jump < -180 THEN 1 ELSE 0 END) OVER (ORDER BY vertex) AS INTEGER) AS turn FROM j",
         "graticule": """SELECT 'm' || m AS line, CAST((y + 90) // 2 AS INTEGER) AS vertex, CAST(y AS DOUBLE) AS lat, CAST(m AS DOUBLE) AS lon FROM range(-180, 181, 30) a(m), range(-90, 91, 2) b(y)
 UNION ALL SELECT 'p' || p, CAST((x + 180) // 2 AS INTEGER), CAST(p AS DOUBLE), CAST(x AS DOUBLE) FROM range(-60, 61, 30) c(p), range(-180, 181, 2) d(x)""",

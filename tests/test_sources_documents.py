@@ -277,7 +277,7 @@ def test_circle_of_refusals():
     assert exit_code(GridError("zero_step", "")) == 2 and exit_code(table.CacheError("absent")) == 3 and exit_code(RuntimeError()) == 1
 
 
-CAPS = [(10.0, 178.0, 3000.0, []), (78.0, 20.0, 3000.0, [90.0]), (-80.0, -170.0, 4000.0, [-90.0]), (25.125, 79.708, 16384.0, [-90.0, 90.0]), (30.0, 100.0, 3300.0, [])]
+CAPS = [(10.0, 178.0, 3000.0, []), (78.0, 20.0, 3000.0, [90.0]), (-80.0, -170.0, 4000.0, [-90.0]), (25.125, 79.708, 16384.0, [-90.0, 90.0]), (30.0, 100.0, 3300.0, []), (10.0, 1.0, 16384.0, [-90.0, 90.0]), (-35.0, 170.0, 12000.0, [-90.0]), (0.0, 0.0, 10100.0, [-90.0, 90.0])]
 
 
 @pytest.mark.parametrize("lat,lon,km,poles", CAPS)
@@ -309,3 +309,16 @@ def test_frames(spark):
         figures.framed(figures.graticule(spark), "mercator")
     seen = figures.framed(figures.graticule(spark), "orthographic", 0.0, 0.0)
     assert seen.where("visible and abs(lon) > 90.001 and abs(lat) < 90").count() == 0 and figures.graticule(spark).count() == 13 * 91 + 5 * 181
+
+
+def test_lines_are_cut_at_the_horizon(spark):
+    out = figures._paths([("a", 0.0, 0.0, 1.0), ("a", 6000.0, 0.0, 0.5), ("a", 6300.0, 0.0, -0.5), ("a", 6000.0, 0.0, -1.0), ("b", 1.0, 1.0, -1.0)], 1.0, 0.0, 0.0)
+    assert out == f"M0.00 0.00L6000.00 0.00L{figures.EARTH_RADIUS_KM:.2f} 0.00"
+
+
+def test_coastlines_of_every_kind(spark, tmp_path):
+    ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
+    kinds = {"LineString": ring, "MultiLineString": [ring, ring], "Polygon": [ring, ring], "MultiPolygon": [[ring], [ring, ring]], "Point": [0, 0]}
+    (tmp_path / "c.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": k, "coordinates": c}} for k, c in kinds.items()]}))
+    got = figures.coastlines(spark, str(tmp_path / "c.geojson")).collect()
+    assert len(got) == 8 * 4 and len({r["feature"] for r in got}) == 8 and {(r["lon"], r["lat"]) for r in got} == {(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)}

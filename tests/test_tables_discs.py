@@ -103,13 +103,83 @@ def test_search_golden_and_spacings(dense):
     assert best[3000.0] == (17, 25, 55986.0) and best[0.0] == (17, 35, 648.0)
 
 
-def test_level_by_level_equals_whole_tree(dense, monkeypatch):
-    from tessarion.operators import search
+def test_level_by_level_equals_a_table_that_is_sent(dense):
+    _, prefix = dense
+    for km in (0.0, 1500.0, 9000.0, 20015.0):
+        sent = Searcher(prefix, G).most_populous(RadiusKm(km), 6)
+        assert Searcher(prefix, G, bound_bytes=0).most_populous(RadiusKm(km), 6) == sent
+
+
+def test_kernels_of_a_sent_table(spark, dense):
+    from pyspark.sql import functions as F
+
+    from tessarion.operators.held import HeldTable
 
     _, prefix = dense
-    whole = Searcher(prefix, G).most_populous(RadiusKm(1500.0), 6)
-    monkeypatch.setattr(search, "WHOLE_TREE", 0)
-    assert Searcher(prefix, G).most_populous(RadiusKm(1500.0), 6) == whole
+    held = HeldTable.of(prefix, G)
+    radii = [0.0, 700.0, 1500.0, 5000.0, 10007.5, 20015.0]
+    centres = G.rows(spark).select(F.col("row").alias("centre_row"), F.explode(F.array(*[F.lit(r) for r in radii])).alias("radius_km"))
+    want = {(r["centre_row"], r["radius_km"], r["row"]): r["half_width"] for r in disc.kernels(G, centres).collect()}
+    got = {(row, km, int(r)): int(h) for row in range(G.height) for km in radii for r, h in zip(*held.kernel(row, km))}
+    assert got == want
+
+
+def test_running_sums_keep_what_rounding_loses():
+    import math
+
+    import numpy as np
+
+    from tessarion.functions.sums import running
+
+    rng = np.random.default_rng(3)
+    for x in (rng.random(43_200) * 1e4, 10.0 ** rng.uniform(-8, 8, 43_200), np.where(np.arange(5000) % 2, 1e16, 1.0)):
+        x = x.astype(np.float32).astype(np.float64)
+        got = running(x)
+        for n in (1, 2, 77, 4_999, len(x)):
+            true = math.fsum(x[:n])
+            assert abs(got[n - 1] - true) <= np.spacing(true)
+    whole = np.arange(1, 43_201, dtype=np.float64)
+    assert (running(whole) == np.cumsum(whole)).all()
+
+
+def test_discs_of_fractions_stay_within_the_slack(spark):
+    """A raster whose values aren't whole and whose total is that of the world: computed discs against exact sums."""
+    import math
+
+    import numpy as np
+
+    from tessarion.operators.held import HeldTable
+
+    rng = np.random.default_rng(4)
+    values = (rng.random((G.height, G.width)) ** 8 * 1e9 / 7).astype(np.float32)
+    rows = spark.createDataFrame([(r, [float(v) for v in values[r]]) for r in range(G.height)], "row int, values array<float>")
+    prefix = table.prefix_rows(rows, G).select("row", "prefix").persist()
+    total = math.fsum(values.astype(float).ravel())
+    held = HeldTable.of(prefix, G)
+    centres = disc.all_centres(spark, G, [2500.0])
+    spread = {r["id"]: r["population"] for r in disc.populations(prefix, G, centres).collect()}
+    for row in range(0, G.height, 3):
+        for col in range(0, G.width, 7):
+            at, half = held.kernel(row, 2500.0)
+            cells = [float(values[r, (col + k) % G.width]) for r, h in zip(at, half) for k in (range(G.width) if h == G.width // 2 else range(-h, h + 1))]
+            true, slack = math.fsum(cells), smallest.predicate_slack(G, total)
+            assert abs(held.population(row, col, 2500.0) - true) <= slack and abs(spread[row * G.width + col] - true) <= slack
+
+
+def test_a_planted_cluster_prunes_most_blocks(spark):
+    import numpy as np
+
+    from tessarion.plans.grid import Grid
+
+    grid = Grid.globe(720, 360)
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 4, (grid.height, grid.width)).astype(np.float32)
+    values[100:104, 500:504] = 5000
+    rows = spark.createDataFrame([(r, [float(v) for v in values[r]]) for r in range(grid.height)], "row int, values array<float>")
+    prefix = table.prefix_rows(rows, grid).select("row", "prefix").persist()
+    found = Searcher(prefix, grid).most_populous(RadiusKm(200.0), 32)
+    assert 100 <= found.centre.row <= 103 and 500 <= found.centre.col <= 503
+    assert 3 * found.stats.blocks_pruned > 2 * found.stats.blocks_examined
 
 
 def test_ties_seam_pole_zeros(spark):
@@ -174,7 +244,7 @@ def test_shares_and_sweeps():
     for bad in ((10, 90, 0), (0, 10, 5), (90, 150, 10), (60, 40, 5)):
         with pytest.raises(SweepError):
             smallest.sweep_percents(*bad)
-    assert smallest.share_of(5, 0) == 0 and smallest.halvings(8) == 3 and smallest.within_slack(-1.0, 1.0)
+    assert smallest.share_of(5, 0) == 0 and smallest.within_slack(-1.0, 1.0)
     assert smallest.predicate_slack(G, 210276.0) == 2.9359075170987126e-09
 
 
