@@ -8,10 +8,11 @@ the shortened context; the root has an arc for every token. A text is read once,
 
 Scale: the automaton grows with the corpus, so no task holds it. Documents are packed into blocks of about ``block_tokens``
 tokens. Each block asks for just its own n-grams: (context, token, training count) entries, distinct within the block and dealt
-out by context into buckets of about ``bucket_entries`` entries. A bucket adds up the counts of all blocks and answers each block
-with the global counts of what it asked for. The block then builds its part of the automaton, which holds every arc that its
-texts can follow, and traverses it. Contexts with too many distinct followers for one bucket (a bounded list: those of more than
-a ``1 / (4 buckets)`` share) are dealt out over several buckets by follower, and their sums put together again by the block.
+out by context into buckets that answer for about ``bucket_bytes`` of text each. A bucket adds up the counts of all blocks and answers
+each block with the global counts of what it asked for; a block writes to a bucket only what it has for it. The block then builds its
+part of the automaton, which holds every arc that its texts can follow, and traverses it. Contexts with too many distinct followers
+for one bucket, more than a ``1 / (4 buckets)`` share, are dealt out over several buckets by follower; their totals are put together
+by Spark and go to every block: a list of the ``max_hot`` greatest at most, so a context beyond it holds less than ``1 / max_hot`` of all.
 
 Defined results: a null or empty text is the end token alone; documents of a null id are training documents; without training
 tokens every token has probability 1 (N = V = 0) of the single unknown class; one row for each input row.
@@ -19,7 +20,6 @@ tokens every token has probability 1 (N = V = 0) of the single unknown class; on
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,11 +39,13 @@ END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567)
 class Lm:
     order: int = 2
     block_tokens: int = 700_000
-    bucket_entries: int = 2_000_000
+    bucket_bytes: int = 16_000_000
+    max_hot: int = 65_536
 
 
-def _tokenise(docs: DataFrame, how: Lm) -> DataFrame:
-    """Blocks of documents: ids, lengths, flags and token codes, the distinct n-grams they hold, and contexts with many followers."""
+def _tokenise(docs: DataFrame, how: Lm, share: int) -> DataFrame:
+    """Blocks of documents: ids, lengths, flags and token codes, the number of distinct n-grams they hold, and the contexts with more than one
+    in ``share`` of them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +62,7 @@ def _tokenise(docs: DataFrame, how: Lm) -> DataFrame:
                 g = block.grams(k)
                 entries += len(g.pair_context)
                 size = np.bincount(g.pair_context, minlength=len(g.contexts))
-                many += [{"k": k, "code": int(g.contexts[i].view(np.int64)), "n": int(size[i])} for i in np.flatnonzero(size * 1024 > len(g.pair_context))]
+                many += [{"k": k, "code": int(g.contexts[i].view(np.int64)), "n": int(size[i])} for i in np.flatnonzero(size * share > len(g.pair_context))]
             data = pack(vocab, tokens.astype(np.int32), np.array(lengths, np.int64), np.array(held, np.uint8))
             return pa.RecordBatch.from_arrays(
                 [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(id_type)), pa.array([data], pa.binary()), pa.array([entries], pa.int64()), pa.array([many], pa.list_(pa.struct([("k", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])))],
@@ -145,14 +147,9 @@ def _shares(g: Grams, spread: dict[int, int], buckets: int) -> Iterator[tuple[in
     first, wide = _deal(g.contexts, spread, buckets)
     own = (first[g.pair_context] + (mix64(g.pair_word) % wide[g.pair_context].astype(np.uint64)).astype(np.int64)) % buckets
     order = np.argsort(own, kind="stable")  # pairs stay in order of their contexts
-    edges = np.searchsorted(own[order], np.arange(buckets + 1))
-    hot = np.flatnonzero(wide > 1)
-    for b in range(buckets):
-        pairs = order[edges[b] : edges[b + 1]]
-        also = hot[(b - first[hot]) % buckets < wide[hot]]
-        contexts = np.union1d(g.pair_context[pairs], also)
-        if len(contexts):
-            yield b, contexts, pairs
+    there, begin = np.unique(own[order], return_index=True)
+    for b, lo, hi in zip(there.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]):
+        yield b, np.unique(g.pair_context[order[lo:hi]]), order[lo:hi]
 
 
 def _ask(blocks: DataFrame, how: Lm, spread: dict[int, dict[int, int]], buckets: int) -> DataFrame:
@@ -175,9 +172,14 @@ def _ask(blocks: DataFrame, how: Lm, spread: dict[int, dict[int, int]], buckets:
     return blocks.select("block", "data").mapInArrow(run, "bucket int, k int, block string, data binary")
 
 
+_SUMS = ("n1", "n2", "types", "tokens", "texts")
+_ANSWER = "bucket int, k int, block string, data binary, " + ", ".join(f"{c} long" for c in _SUMS) + ", hot array<struct<code:long,total:long,kinds:long>>"
+
+
 def _answer(asked: DataFrame, spread: dict[int, dict[int, int]]) -> DataFrame:
-    """Per bucket, order and block the global counts; and per bucket and order (block '') its sums."""
+    """Per bucket, order and block the global counts; and per bucket and order (block '') its sums, with its part of each hot context."""
     begin = int(mix64(BEGIN + np.uint64(2)))
+    lists = {k: np.array(sorted(v), np.uint64) for k, v in spread.items()}
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket, k = key[0].as_py(), key[1].as_py()
@@ -193,18 +195,21 @@ def _answer(asked: DataFrame, spread: dict[int, dict[int, int]]) -> DataFrame:
         total = np.zeros(len(contexts), np.int64)
         np.add.at(total, owner[first], count)
         kinds = np.bincount(owner[first][count > 0], minlength=len(contexts))
-        hot = np.isin(contexts, np.array(sorted(spread[k]), np.uint64))
+        hot = np.isin(contexts, lists[k])
         start = contexts == np.uint64(begin) if k == 2 else np.zeros(len(contexts), bool)
-        sums = {"n1": int((count == 1).sum()), "n2": int((count == 2).sum()), "types": int((~hot & ~start & (total > 0)).sum()), "tokens": int(total[~start].sum()), "texts": int(total[start].sum()), "hot": [int(c) for c in contexts[hot & ~start & (total > 0)]]}
+        sums = {"n1": int((count == 1).sum()), "n2": int((count == 2).sum()), "types": int((~hot & ~start & (total > 0)).sum()), "tokens": int(total[~start].sum()), "texts": int(total[start].sum())}
+        parted = [{"code": c, "total": t, "kinds": d} for c, t, d in zip(contexts[hot].view(np.int64).tolist(), total[hot].tolist(), kinds[hot].tolist())]
         out, c0, p0 = [], 0, 0
         for p in parts:
             c1, p1 = c0 + len(p[0]), p0 + len(p[2])
             out.append(pack(total[which[c0:c1]], kinds[which[c0:c1]], count[inverse[p0:p1]]))
             c0, p0 = c1, p1
-        n = len(names) + 1
-        return pa.table({"bucket": pa.array([bucket] * n, pa.int32()), "k": pa.array([k] * n, pa.int32()), "block": pa.array([*names, ""], pa.string()), "data": pa.array([*out, json.dumps(sums).encode()], pa.binary())})
+        n = len(names)
+        columns = {"bucket": pa.array([bucket] * (n + 1), pa.int32()), "k": pa.array([k] * (n + 1), pa.int32()), "block": pa.array([*names, ""], pa.string()), "data": pa.array([*out, None], pa.binary())}
+        columns |= {c: pa.array([None] * n + [sums[c]], pa.int64()) for c in _SUMS}
+        return pa.table(columns | {"hot": pa.array([None] * n + [parted], pa.list_(pa.struct([("code", pa.int64()), ("total", pa.int64()), ("kinds", pa.int64())])))})
 
-    return asked.groupBy("bucket", "k").applyInArrow(run, "bucket int, k int, block string, data binary")
+    return asked.groupBy("bucket", "k").applyInArrow(run, _ANSWER)
 
 
 class Automaton:
@@ -285,24 +290,29 @@ def build(block: Block, tables: dict[int, tuple[Grams, np.ndarray, np.ndarray, n
 
 def lm_scores(docs: DataFrame, how: Lm = Lm()) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = stash(_tokenise(docs, how), "lm-blocks")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(1, -(-size * (how.order - 1) // how.bucket_bytes))
+    blocks = stash(_tokenise(docs, how, max(1024, 8 * buckets)), "lm-blocks")
     entries = blocks.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
-    buckets = max(1, -(-entries // how.bucket_entries))
     many = blocks.select(F.explode("many").alias("m")).groupBy("m.k", "m.code").agg(F.sum("m.n").alias("n")).where(F.col("n") * 4 * buckets > entries)
     spread: dict[int, dict[int, int]] = {k: {} for k in range(2, how.order + 1)}
-    for r in many.collect():  # at most 4 * buckets contexts
+    for r in many.orderBy(F.desc("n"), "k", "code").limit(how.max_hot).collect():
         spread[r["k"]][r["code"] & 0xFFFFFFFFFFFFFFFF] = max(1, min(buckets, -(-4 * r["n"] * buckets // max(1, entries))))
     answers = stash(_answer(_ask(blocks, how, spread, buckets), spread), "lm-answers")
 
-    sums: dict[int, dict] = {k: {"n1": 0, "n2": 0, "types": 0, "tokens": 0, "texts": 0, "hot": set()} for k in spread}
-    for r in answers.where("block = ''").select("k", "data").toLocalIterator():
-        for name, value in json.loads(bytes(r["data"])).items():
-            if name == "hot":
-                sums[r["k"]][name] |= set(value)
-            else:
-                sums[r["k"]][name] += value
+    heads = answers.where("block = ''")
+    sums = {k: dict.fromkeys(_SUMS, 0) for k in spread}
+    for r in heads.groupBy("k").agg(*[F.sum(c).alias(c) for c in _SUMS]).collect():  # one row an order
+        sums[r["k"]] = r.asDict()
+    parted = heads.select("k", F.explode("hot").alias("h")).groupBy("k", "h.code").agg(F.sum("h.total").alias("total"), F.sum("h.kinds").alias("kinds"))
+    whole: dict[int, np.ndarray] = {}  # by order: code, total and kinds of the hot contexts, at most max_hot
+    found = parted.collect()
+    for k in spread:
+        own = sorted((r["code"] & 0xFFFFFFFFFFFFFFFF, r["total"], r["kinds"]) for r in found if r["k"] == k)
+        whole[k] = np.array(own, np.uint64).reshape(-1, 3)
     texts = sums[2]["texts"]
-    tokens, types = sums[2]["tokens"] + texts, sums[2]["types"] + len(sums[2]["hot"]) + (texts > 0)
+    start = np.uint64(mix64(BEGIN + np.uint64(2)))
+    tokens, types = sums[2]["tokens"] + texts, sums[2]["types"] + int(((whole[2][:, 1] > 0) & (whole[2][:, 0] != start)).sum()) + (texts > 0)
     discount = {k: min(0.95, max(0.05, s["n1"] / (s["n1"] + 2 * s["n2"]))) if s["n1"] else 0.5 for k, s in sums.items()}
     kind = docs.schema["doc_id"].dataType
 
@@ -316,9 +326,13 @@ def lm_scores(docs: DataFrame, how: Lm = Lm()) -> DataFrame:
             total, kinds, count = (np.zeros(n, np.int64) for n in (len(g.contexts), len(g.contexts), len(g.pair_context)))
             for b, contexts, pairs in _shares(g, spread[k], buckets):
                 t, d, c = unpack(replies[b, k].as_py())
-                total[contexts] += t
-                kinds[contexts] += d
+                total[contexts] = t
+                kinds[contexts] = d
                 count[pairs] = c
+            at = np.minimum(np.searchsorted(g.contexts, whole[k][:, 0]), len(g.contexts) - 1)
+            here = g.contexts[at] == whole[k][:, 0]
+            total[at[here]] = whole[k][here, 1]
+            kinds[at[here]] = whole[k][here, 2]
             tables[k] = (g, total, kinds, count)
         g, total, _, _ = tables[2]
         own = np.searchsorted(g.contexts, mix64(block.vocab + np.uint64(2)))
