@@ -39,7 +39,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tessarion.llm.common import scratch_path
+from tessarion.llm.common import scratch_path, stash
 
 FIELDS = "record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_length long, content_type string, payload binary"
 _NAMES = [x.split()[0] for x in FIELDS.split(", ")]
@@ -296,16 +296,20 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def archive(pages: DataFrame, path: str, least: int = 100, date: str = "2000-01-01T00:00:00Z") -> None:
-    """Write ``pages(page_id, url, html)`` as WARC records into the folder ``path``."""
+def archive(pages: DataFrame, path: str, least: int = 100, date: str = "2000-01-01T00:00:00Z", broadcast_bytes: int = 32 << 20) -> None:
+    """Write ``pages(page_id, url, html)`` as WARC records into the folder ``path``.
+
+    The pages that repeat a payload are found from ids and digests alone. Their list is broadcast where it is at most ``broadcast_bytes``, so that
+    no payload is dealt out; where it is larger, pages are joined with it by id and digest, payloads and all.
+    """
     register(pages.sparkSession)
-    # The digests come from page ids and payloads alone; only rows of payloads that occur again are dealt out for them.
     whole = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     whole = whole.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
     small = whole.where((F.col("bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
     first = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").drop("last")
-    again = small.distinct().join(first, "digest").where("page_id <> first")
-    full = whole.join(again, ["page_id", "digest"], "left")
+    again = stash(small.distinct().join(first, "digest").where("page_id <> first"), "warc-again")
+    fits = again.count() * 112 <= broadcast_bytes  # a digest of 64 characters, two ids and a row's own bytes
+    full = whole.join(F.broadcast(again) if fits else again.hint("merge"), ["page_id", "digest"], "left")
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     revisit = F.col("first").isNotNull()
     records = full.select(
