@@ -1,7 +1,8 @@
 """Lines that repeat, exactly or within one edit, native DataFrame operations throughout.
 
-A line of at least ``min_chars`` characters goes if the same line, or one at edit distance one, first occurs earlier, in the order
-of (doc_id, line number). Shorter lines always stay: they recur by chance.
+A line with a word in it goes if the same line first occurs earlier, in the order of (doc_id, line number); so does a line of at least
+``min_chars`` characters if a line of at least that length within edit distance one does (in shorter lines a character is too much of
+what they say). Lines without a word always stay.
 
 Method (threshold 1, so two segments): of two lines within one edit, one half is the same. A line of length n is indexed by both
 halves under its length, and probes the indexes of the lengths n and n - 1 (a pair meets under the shorter one's length, whose halves
@@ -10,10 +11,12 @@ diagonals -1, 0, 1, moved on by one character at a time.
 
 Skew: exact copies are summed up before anything is dealt out by line. A half that more than ``hot`` distinct lines share isn't
 paired up: the other half is cut into ``fan`` finer segments, and only lines that agree on all but one of these meet, and so on
-down to single characters, where nearly every pair that meets is a link.
+down to single characters. Lines that are the same but for one character are all within one edit, so there each is tied to the
+earliest alone; and a line with a character more is looked up without it, by its hash.
 
 Defined results: null and empty texts have no lines that count; rows that repeat an id are the same document (their equal lines
-at equal numbers are one occurrence); null ids come first in the order; one output row for each input row.
+at equal numbers are one occurrence); null ids come first in the order; one output row for each input row. Lines are the same if two
+64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessarion.llm.common import WORD, stash
+from tessarion.llm.common import WORD, fresh_names, stash
 
 
 @dataclass(frozen=True)
@@ -31,13 +34,17 @@ class Lines:
     min_chars: int = 30
     hot: int = 64
     fan: int = 8
-    broadcast_rows: int = 500_000
+    broadcast_bytes: int = 32 << 20
 
 
-def _lines(docs: DataFrame, how: Lines) -> DataFrame:
+def _code(line: Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
     parts = docs.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    parts = parts.withColumn("n", F.char_length("line")).where(F.col("n") >= how.min_chars)
-    return parts.select("doc_id", "pos", "line", "n", F.xxhash64("line").alias("h"))
+    parts = parts.where(F.col("line").rlike(WORD)).withColumn("n", F.char_length("line"))
+    return parts.select("doc_id", "pos", "line", "n", _code(F.col("line")).alias("h"))
 
 
 def _key(line: Column, n: Column, late: Column, cuts: Column, part: Column) -> Column:
@@ -95,23 +102,23 @@ def unequal_middles(pairs: DataFrame, a: str, b: str, cuts: int = 16) -> DataFra
 
 def _links(base: DataFrame, firsts: DataFrame, how: Lines) -> DataFrame:
     """(h) of the lines that have an earlier line within one edit."""
-    lines = _lines(base, how)
+    lines = _lines(base).where(F.col("n") >= how.min_chars)
     # Halves that two distinct lines share: from the least and the greatest line code of each, so copies cost nothing.
-    live = _probes(lines, how).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    live = _probes(lines, how).groupBy("key").agg(F.min("h.a").alias("lo"), F.max("h.a").alias("hi")).where("lo <> hi").select("key")
     open_ = stash(_probes(lines, how).join(live, "key", "left_semi").distinct(), "line-cands")
     wanted = stash(open_.select("h").distinct().join(firsts, "h").select("h", "first"), "line-wanted")
-    few = wanted.count() <= how.broadcast_rows
+    size = wanted.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("first.doc_id").cast("string")), F.lit(0)) + 48), F.lit(0))).first()[0]
     place = [lines["h"] == wanted["h"], lines["doc_id"].eqNullSafe(wanted["first.doc_id"]), lines["pos"] == wanted["first.pos"]]
-    texts = stash(lines.join(F.broadcast(wanted) if few else wanted, place).select(lines["h"], "first", "line").dropDuplicates(["h"]), "line-texts")
+    texts = stash(lines.join(F.broadcast(wanted) if size <= how.broadcast_bytes else wanted, place).select(lines["h"], "first", "line").dropDuplicates(["h"]), "line-texts")
     pairs = None
     while True:
         sizes = open_.groupBy("key").agg(F.count("*").alias("size"), F.max(F.col("cuts") < F.col("n")).alias("deeper")).where("size > 1")
-        sized = open_.join(sizes, "key")
-        hot = (F.col("size") > how.hot) & F.col("deeper")
-        cold = stash(sized.where(~hot).select("key", "h"), "line-cold")
-        found = cold.join(cold.select("key", F.col("h").alias("g")), "key").where("h < g").select("h", "g")
+        sized = stash(open_.join(sizes, "key"), "line-sized")
+        hot = F.col("size") > how.hot
+        cold = sized.where(~hot).select("key", "h")
+        found = cold.join(cold.select("key", F.col("h").alias("g")), "key").where("h < g").select("h", "g").union(_finest(sized.where(hot & ~F.col("deeper")), texts))
         pairs = found if pairs is None else pairs.union(found)
-        rest = stash(sized.where(hot).select("h", "n", "late", "cuts", "part"), "line-hot")
+        rest = sized.where(hot & F.col("deeper")).select("h", "n", "late", "cuts", "part")
         if not rest.head(1):
             break
         finer = rest.join(texts.select("h", "line"), "h").select("h", "line", "n", "late", (F.col("cuts") * how.fan).alias("cuts"), F.explode(F.sequence(F.col("part") * how.fan, F.col("part") * how.fan + how.fan - 1)).alias("part"))
@@ -131,10 +138,22 @@ def _links(base: DataFrame, firsts: DataFrame, how: Lines) -> DataFrame:
     return linked.select(late.alias("h")).distinct()
 
 
+def _finest(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, g) for groups of lines that are the same but for one character (``late`` 0) or two beside each other (``late`` 1): of the former
+    each with the earliest, of the latter each with the lines that one character less makes it."""
+    known = groups.join(texts, "h")
+    equal = known.where("late = 0")
+    least = equal.groupBy("key").agg(F.min(F.struct("first", "h")).alias("least")).select("key", F.col("least.h").alias("g"))
+    begin = F.floor(F.col("part") * F.col("n") / F.col("cuts")).cast("int")
+    without = lambda k: F.concat(F.substring("line", F.lit(1), begin + k), F.substring("line", begin + k + 2, F.col("n") + 1))
+    less = known.where("late = 1").select("h", F.explode(F.array(*[_code(without(k)) for k in (0, 1)])).alias("g"))
+    return equal.join(least, "key").where("h <> g").select("h", "g").union(less.join(texts.select(F.col("h").alias("g")), "g").select("h", "g"))
+
+
 def dropped_lines(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """(doc_id, dropped): the numbers, from 0, of each document's lines that go; documents that lose none are left out."""
     base = docs.select("doc_id", "text")
-    lines = _lines(base, how)
+    lines = _lines(base)
     firsts = stash(lines.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies")), "line-firsts")
     near = stash(_links(base, firsts, how), "line-near")
     known = firsts.join(near.withColumn("near", F.lit(True)), "h", "left").where("copies > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
@@ -153,11 +172,11 @@ def line_report(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
 
 def without_repeats(docs: DataFrame, how: Lines = Lines()) -> DataFrame:
     """``docs`` without the lines that go; a document that is left without a word goes too. Columns as in ``docs``, ``n_chars`` kept true."""
-    gone = dropped_lines(docs, how).select(F.col("doc_id").alias("__id"), F.col("dropped").alias("__dropped"))
-    full = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left")
-    drops = F.col("__dropped")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(drops, i)), "\n")
-    text = F.when(drops.isNull(), F.col("text")).otherwise(kept)
-    out = full.withColumn("__text", text).where(drops.isNull() | F.col("__text").rlike(WORD))
-    new = {"text": F.col("__text"), "n_chars": F.char_length("__text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    ours = fresh_names(docs, ["id", "dropped", "kept"])
+    gone = dropped_lines(docs, how).toDF(*ours[:2])
+    full = docs.join(gone, docs["doc_id"].eqNullSafe(gone[ours[0]]), "left")
+    drops, kept = F.col(ours[1]), F.col(ours[2])
+    left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(drops, i)), "\n")
+    out = full.withColumn(ours[2], F.when(drops.isNull(), docs["text"]).otherwise(left)).where(drops.isNull() | kept.rlike(WORD))
+    new = {"text": kept, "n_chars": F.char_length(kept).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

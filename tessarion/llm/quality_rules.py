@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessarion.llm.common import fresh_names
+
 SYMBOLS = b"#*$%&|<>"
 _NOT_SYMBOLS = bytes(c for c in range(256) if c not in SYMBOLS)
 
@@ -123,4 +125,5 @@ def op9(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that the base rule and the bands keep, with the columns of ``docs``."""
-    return quality_rules(docs, name="__rules").where(F.col("__rules.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = fresh_names(docs, ["rules"])
+    return quality_rules(docs, name=name).where(F.col(f"{name}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
