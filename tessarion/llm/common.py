@@ -32,12 +32,30 @@ def scratch_root(spark: SparkSession) -> str:
     return held.get()
 
 
+_held: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what lies there goes with the process, or before by ``release``."""
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _held:
+        atexit.register(release, spark)
+    _held.append(path)
     return path
 
 
+def held() -> tuple[str, ...]:
+    """The scratch paths so far."""
+    return tuple(_held)
+
+
+def release(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch tables so far, but for those to keep: for callers whose results are written."""
+    for path in [p for p in _held if p not in keep]:
+        _held.remove(path)
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -91,24 +109,30 @@ def word_codes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+_HEAD = "<3sBII"
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes: each one's byte planes, compressed."""
+    """Arrays as bytes: each one's byte planes, compressed, or as they are where they are few."""
     press, out = zstandard.ZstdCompressor(level=1), []
     for a in arrays:
         a = np.ascontiguousarray(a)
-        planes = press.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes()) if len(a) else b""
-        out.append(struct.pack("<3sqq", a.dtype.str[1:].encode().ljust(3), len(a), len(planes)) + planes)
+        small = a.nbytes <= 256
+        data = a.tobytes() if small else press.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+        out.append(struct.pack(_HEAD, a.dtype.str[1:].encode().ljust(3), small, len(a), len(data)) + data)
     return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     press, out, at = zstandard.ZstdDecompressor(), [], 0
     while at < len(data):
-        kind, n, size = struct.unpack_from("<3sqq", data, at)
-        at += struct.calcsize("<3sqq")
+        kind, small, n, size = struct.unpack_from(_HEAD, data, at)
+        at += struct.calcsize(_HEAD)
         kind = np.dtype("<" + kind.decode().strip())
-        raw = press.decompress(data[at : at + size], max_output_size=n * kind.itemsize) if n else b""
-        out.append(np.frombuffer(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T.tobytes(), kind) if n else np.zeros(0, kind))
+        raw = data[at : at + size]
+        if not small:
+            raw = np.frombuffer(press.decompress(raw, max_output_size=n * kind.itemsize), np.uint8).reshape(kind.itemsize, n).T.tobytes()
+        out.append(np.frombuffer(raw, kind))
         at += size
     return out
 

@@ -52,8 +52,8 @@ class Near:
     percent: int = 80
     growth: float = 1.5
     spare: float = 0.12
-    bucket_bytes: int = 24_000_000
-    block_keys: int = 1_000_000
+    bucket_bytes: int = 10_000_000
+    block_keys: int = 700_000
     local: int = 4
     hot: int = 64
 

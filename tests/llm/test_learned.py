@@ -47,7 +47,7 @@ def brute_lm(rows, order):
     return out
 
 
-@pytest.mark.parametrize("order,how", [(2, {}), (2, {"block_tokens": 3000, "bucket_entries": 500}), (3, {"block_tokens": 5000, "bucket_entries": 2000})])
+@pytest.mark.parametrize("order,how", [(2, {}), (2, {"block_tokens": 3000, "bucket_bytes": 4000}), (2, {"block_tokens": 2000, "bucket_bytes": 2000, "max_hot": 3}), (3, {"block_tokens": 5000, "bucket_bytes": 20000})])
 def test_scores_equal_the_definition(spark, rows_of, order, how):
     rows = rows_of("documents", 150) + [(1001, None), (1002, ""), (None, "the the THE"), (3, "the of and"), (3, "the of and")]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
@@ -57,13 +57,12 @@ def test_scores_equal_the_definition(spark, rows_of, order, how):
     assert have == want
 
 
-def test_lm_probabilities_sum_to_one(spark):
+def test_lm_of_a_small_corpus_against_the_definition(spark):
     rows = [(i, t) for i, t in enumerate(["a b a b c", "a b", "b c a", "c", "a a b b", "b a c a"] * 2)]
     probe = [(100 + k, w) for k, w in enumerate(["", "a", "b", "c", "zz"])]
     ids = [i for i in range(200, 4000) if zlib.crc32(str(i).encode()) % 5 == 1][:5]
     df = spark.createDataFrame([*rows, *((i, t) for i, (_, t) in zip(ids, probe))], "doc_id long, text string")
     got = {r["doc_id"]: r for r in ngram_lm.lm_scores(df).collect()}
-    # P(text) of one word w is P(w | begin) P(end | w); only the first factor sums to one, so compare with the definition instead.
     want = brute_lm([*rows, *((i, t) for i, (_, t) in zip(ids, probe))], 2)
     for i, w in zip(ids, want[len(rows) :]):
         assert abs(got[i]["score"] - w[4]) < 1e-5 and got[i]["held_out"]
@@ -147,6 +146,25 @@ def test_mix(spark, rows_of):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_another_seed_makes_another_mix(spark, rows_of):
+    texts = [t for _, t in rows_of("documents", 200)]
+    df = spark.createDataFrame([(k, t, ["a", "b", "c"][k % 3]) for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    one, two = (sorted(mixing.mix(df, mixing.Mix(seed=s)).collect()) for s in (1, 2))
+    assert [r["taken"] for r in one] != [r["taken"] for r in two]
+    for rows in (one, two):
+        for target in {r["target"] for r in rows}:
+            assert abs(sum(r["taken"] for r in rows if r["target"] == target) - target) <= 2 * 64 + 0.01 * target
+    draws = [mixing.shard_counts(np.array([500, 1000, 1500]), 8, s) for s in (1, 2)]
+    assert (draws[0] != draws[1]).any() and all((d.sum(axis=0) == [500, 1000, 1500]).all() and np.ptp(d.sum(axis=1)) <= 1 for d in draws)
+
+
+def test_rows_that_repeat_are_documents_of_their_own(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(None, words, "a")] * 30 + [(k, words + str(k), "b") for k in range(30)], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == 60 and all(0 <= r["taken"] <= 3 * r["size"] for r in got) and sum(r["doc_id"] is None for r in got) == 30
+
+
 def test_the_mix_itself(spark, rows_of):
     texts = [t for _, t in rows_of("documents", 60)]
     rows = [(k, t, ["a", "b", None][k % 3]) for k, t in enumerate(texts)] + [(0, "another text of the same id", "a"), *[(950, " ".join(f"w{j}" for j in range(99)), "a")] * 3, (None, "x\ty  z", "b"), (901, None, "a")]

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -83,16 +85,34 @@ def test_near_on_the_tables(spark, rows_of):
     assert parity_join.near_components(df.limit(0)).count() == 0
 
 
-def brute_items(docs, items, how):
+def plain(text):
+    return [w.strip(".,;:!?\"'()[]{}") or w for w in re.findall(r"[^ \t\n\r\v\f]+", (text or "").lower())]
+
+
+def shingled(words, k):
+    return Counter(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else Counter()
+
+
+def brute_items(docs, items, k=5, least=0.8):
+    """(doc, item) by definition: the greatest weighted Jaccard similarity over every stretch whose length the similarity allows."""
     out = set()
-    index = decontam.Index(items, how)
-    for d, t in docs:
-        words = decontam.plain_words(t)
-        here = {tuple(words[k : k + how.shingle]) for k in range(max(1, len(words) - how.shingle + 1))}
-        for at, (item, w) in enumerate(index.items):
-            if here & set(index.counts[at]) or len(w) < how.shingle:
-                if index.match(words, {(at, s) for s in range(len(words))}):
+    for item, text in items:
+        own = plain(text)
+        want = shingled(own, k)
+        n = sum(want.values())
+        for d, t in docs:
+            words = plain(t)
+            if not own or not set(want) & set(shingled(words, k if len(own) >= k else len(own))):
+                continue
+            lo, hi = (int(n * least) + k - 1, int(n / least) + k) if len(own) >= k else (len(own), len(own))
+            for s in range(len(words)):
+                if any(
+                    (both := sum((want & (got := shingled(words[s:e], k))).values())) >= least * (n + sum(got.values()) - both) - 1e-12
+                    for e in range(min(len(words), s + lo), min(len(words), s + hi) + 1)
+                    if e > s
+                ):
                     out.add((d, item))
+                    break
     return out
 
 
@@ -116,15 +136,39 @@ def test_contaminated_documents(spark, rows_of):
     df = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame([*items, (900, None), (901, ""), (None, "x y z")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench, how).collect()}
-    assert got == brute_items(rows, items, how)
+    assert got == brute_items(rows, items)
     assert sum((i, item) in got for i, (item, _) in planted.items()) >= 32
     again = decontam.contaminated(df, bench, decontam.Radar(slice_items=7)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in again} == got
     clean = decontam.without_benchmark(df, bench)
-    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in got if d is not None}
+    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in got}
+    twice = spark.createDataFrame([(1, items[0][1], 3), (1, "other words", 3), (1, "other words", 3), (None, "more words", 3), (None, items[1][1], 3)], df.schema)
+    assert sorted(r["text"] for r in decontam.without_benchmark(twice, bench).collect()) == ["more words", "other words", "other words"]
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_long_items_are_verified_within_seconds(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    item = words[1000:2000]
+    near = [w if k % 97 else "other" for k, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(words[:1000] + near + words[2000:])), (2, " ".join(words[:1300])), (3, "x " * 200_000), (4, " ".join(words * 2))], "doc_id long, text string")
+    began = time.monotonic()
+    got = decontam.contaminated(docs, spark.createDataFrame([(7, " ".join(item)), (8, "x " * 300)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 7), (3, 8), (4, 7)} and time.monotonic() - began < 60
+    assert {(r["doc_id"], r["similarity"], r["first_word"]) for r in got if r["doc_id"] > 2} == {(4, 1.0, 1000), (3, 1.0, 0)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, text, 1), (3, text, 1), (2, text, 2), (2, text + " x", 3), (None, text, 4), (7, None, 5), (7, None, 5), (8, "", 6), (None, "a b", 7), (None, "a b", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, code int")
+    kept = parity_join.one_of_each(df)
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == df.columns and Counter(r[2] for r in got if r[2] > 3) == Counter({5: 2, 6: 1, 7: 1})
+    assert len([r for r in got if r[2] <= 3]) == 1 and got[[r[2] <= 3 for r in got].index(True)][0] == 2
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -154,13 +198,16 @@ def brute_dropped(rows, least):
     first = {}
     for d, t in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0] or 0)):
         for p, line in enumerate(t.split("\n")):
-            if len(line) >= least:
+            if line.strip(" \t\n\v\f\r"):
                 first.setdefault(line, ((d is not None, d or 0), p))
     by_length = defaultdict(list)
     for line in first:
-        by_length[len(line)].append(line)
+        if len(line) >= least:
+            by_length[len(line)].append(line)
     near = set()
     for line, at in first.items():
+        if len(line) < least:
+            continue
         for n in (len(line) - 1, len(line), len(line) + 1):
             for other in by_length.get(n, ()):
                 if first[other] < at and sum(x != y for x, y in zip(line, other)) < 40 and edits(line, other) <= 1:
@@ -169,12 +216,12 @@ def brute_dropped(rows, least):
     out = defaultdict(set)
     for d, t in rows:
         for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= least and (line in near or first[line] != ((d is not None, d or 0), p)):
+            if line in first and (line in near or first[line] != ((d is not None, d or 0), p)):
                 out[d].add(p)
     return out
 
 
-@pytest.mark.parametrize("how", [line_dedup.Lines(min_chars=8), line_dedup.Lines(min_chars=8, hot=3, fan=2, broadcast_rows=0)])
+@pytest.mark.parametrize("how", [line_dedup.Lines(min_chars=8), line_dedup.Lines(min_chars=8, hot=3, fan=2, broadcast_bytes=0)])
 def test_line_dedup_against_brute_force(spark, how):
     rng = random.Random(8)
     rows = []
@@ -188,7 +235,7 @@ def test_line_dedup_against_brute_force(spark, how):
                 line[k : k + rng.randrange(2)] = [rng.choice("pq")] * rng.randrange(3)
             lines.append("".join(line))
         rows.append((d, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "short\nshort"), (103, rows[0][1]), (None, stock[0]), (104, "item number 0001 of many\n" + "\n".join(f"item number {k:04d} of many" for k in range(40)))]
+    rows += [(100, None), (101, ""), (102, "short\nshort\n\n \n\nx\nshorn"), (105, "x"), (103, rows[0][1]), (None, stock[0]), (104, "item number 0001 of many\n" + "\n".join(f"item number {k:04d} of many" for k in range(40)))]
     rows += [rows[5]]
     df = spark.createDataFrame([(i, t, "z", 0) for i, t in rows], "doc_id long, text string, h string, dropped int")
     got = line_dedup.line_report(df, how).collect()
@@ -210,7 +257,7 @@ def test_line_plan_is_native(spark, capsys):
 PAGES = [(0, "http://a/\r\nx", "p" * 150), (1, "http://b/", "p" * 150), (2, None, "tiny"), (3, "u", "tiny"), (4, "u", None), (5, "é", "ü" * 70), (9, "u", "ü" * 70), (9, "u", "ü" * 70), (None, "u", "p" * 150), (7, "u", "long " * 100_000)]
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
     got = Counter(tuple(r) for r in warc.round_trip(df).collect())
     want = Counter()
@@ -220,6 +267,9 @@ def test_warc_round_trip(spark):
         again = len(raw) >= 100 and i is not None and i != first
         want[i, len(raw), warc.digest_of(raw), "revisit" if again else "response", first if again else None] += 1
     assert got == want
+    clash = df.selectExpr("*", "1 as digest", "2 as first", "3 as payload", "4 as bytes", "5 as record_type")
+    warc.archive(clash, str(tmp_path), broadcast_bytes=0)
+    assert Counter(tuple(r) for r in warc.read_pages(spark, str(tmp_path)).collect()) == want
     assert warc.round_trip(df.limit(0)).count() == 0
 
 

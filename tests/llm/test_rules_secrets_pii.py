@@ -1,7 +1,12 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
+import time
+import zlib
 from collections import Counter
 from urllib.parse import quote
 
@@ -152,10 +157,54 @@ def test_spans_in_layers_are_exact():
     assert KEY.encode() in inner and len(inner) <= len(KEY) + 4
 
 
-def test_bombs_end_and_are_told():
-    bomb = base64.b64encode(gzip.compress(b"a" * 3_000_000)).decode()
-    _, spans, _ = secret_scan.find_secrets("x " + bomb, secret_scan.Limits(layer_bytes=1 << 20))
-    assert ("oversize" in {k for _, k, _ in spans}) and secret_scan.find_secrets("%25" * 50)[2] < 100
+def test_large_and_nested_streams_are_read_to_their_end():
+    small = secret_scan.Limits(window_bytes=1 << 16, overlap_bytes=1 << 12)
+    late = base64.b64encode(gzip.compress(b"a " * 9_000_000 + PLAIN.encode())).decode()
+    _, spans, _ = secret_scan.find_secrets("x " + late)
+    assert spans == {(2, "assign", 2 + len(late))}
+    for packed in (
+        gzip.compress(b"x" * 40) + gzip.compress(PLAIN.encode()),
+        bz2.compress(b"x" * 40) + bz2.compress(PLAIN.encode()),
+        lzma.compress(b"x" * 40) + lzma.compress(PLAIN.encode()),
+        zlib.compress(b"x" * 40) + zlib.compress(PLAIN.encode()),
+        zstandard.compress(b"x" * 40) + zstandard.compress(PLAIN.encode()),
+        gzip.compress(PLAIN.encode() + random.Random(2).randbytes(9000))[:-900],
+        bz2.compress(gzip.compress(b"a" * 65_530 + PLAIN.encode() + b"a" * 70_000)),
+    ):
+        hidden = base64.b64encode(packed).decode()
+        _, spans, _ = secret_scan.find_secrets("x " + hidden, small)
+        assert (2, "assign", 2 + len(hidden.rstrip("="))) in {(s, k, min(e, 2 + len(hidden.rstrip("=")))) for s, k, e in spans}
+    assert secret_scan.find_secrets("%25" * 50)[2] < 100
+
+
+def test_long_texts_take_time_in_proportion():
+    began = time.monotonic()
+    for unit in ("a", "a" * 79 + "\n", "%41", "\\u0041", "x%2", "&#6", "password ", "a1" * 30 + " "):
+        secret_scan.find_secrets(unit * (1_000_000 // len(unit)))
+    for unit in ("a", "1", "1.", "a@", "a.", "+1", "1 ", "a1,"):
+        pii.base_spans(unit * (1_000_000 // len(unit)) + " a@b.co")
+    assert time.monotonic() - began < 120
+
+
+def contract_secrets(text):
+    """The base spans as the contract words them."""
+    found = []
+    for kind, pattern, good in (
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ):
+        found += [(m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text, re.A) if good(m)]
+    return [x[2] for x in sorted(found)]
+
+
+def test_secrets_of_the_tables_against_the_contract(spark, rows_of):
+    rows = rows_of("documents", 400) + [(9000 + k, x) for k, x in enumerate(["", "SECRET='abcdef' api_key:=x token =  abcdefg", "AKIA" + "A" * 15, "0" * 23 + "g" + "f" * 24])]
+    got = {r["doc_id"]: r for r in secret_scan.secret_scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        base = contract_secrets(t or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(got[i]["spans"].split(",")) | {""}
+        assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x.startswith(k) for x in base) for k in ("assign", "access", "hex")]
 
 
 def test_secret_edges(spark):
@@ -171,15 +220,55 @@ def test_pii_base_shapes():
 
 def test_contexts_find_unseen_identifiers_and_base_stays(spark):
     seeds = [(k, f"w{k} please call me at +1 202 555 01{k:02d} today") for k in range(12)]
-    hidden = [(50, "z please call me at 202-555-0199 today"), (51, "z the price was 202-555-0177 then")]
+    hidden = [(50, "z please call me at 202-555-0199 today"), (51, "z the price was 202-555-0177 then"), (52, "y please call me at 030 1234 5678 today")]
     rows = {r["doc_id"]: r for r in pii.personal_data(frame(spark, seeds + hidden + EDGE[:4])).where("doc_id is not null").collect()}
     text = hidden[0][1]
     s = text.index("202")
     assert rows[50]["spans"] == f"phone:{s}:{s + 12}" and rows[50]["n_phone"] == 0 and rows[50]["n_discovered"] == 1
+    s = hidden[2][1].index("030")
+    assert rows[52]["spans"] == f"phone:{s}:{s + 13}"
     assert rows[51]["spans"] == "" and rows[3]["n_discovered"] == 0
     assert all(rows[k]["n_phone"] == 1 and rows[k]["spans"].startswith("phone:") for k in range(4, 12))
 
 
+def test_tokens_that_are_no_identifiers_lower_a_pattern(spark):
+    seeds = [(k, f"w{k} please call me at +1 202 555 01{k:02d} today") for k in range(12)]
+    others = [(100 + k, f"w please call me at {k}pm today") for k in range(10)]
+    hidden = [(50, "z please call me at 202-555-0199 today")]
+    got = pii.personal_data(frame(spark, seeds + others + hidden)).where("doc_id >= 50").collect()
+    assert all(r["spans"] == "" for r in got)
+
+
+def contract_pii(text):
+    """The base spans as the contract words them."""
+    found = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        found.append(f"email:{m.start()}:{m.end()}")
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            found.append(f"ip:{m.start()}:{m.end()}")
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        twice = [sum(divmod(2 * x, 10)) for x in d[-2::-2]]
+        if 16 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(twice)) % 10 == 0:
+            found.append(f"card:{m.start()}:{m.end()}")
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            found.append(f"phone:{m.start()}:{m.end()}")
+    return found
+
+
+def test_pii_of_the_tables_against_the_contract(spark, rows_of):
+    rng = random.Random(6)
+    odd = ["".join(rng.choice("a.@%-1 2+(") for _ in range(60)) for _ in range(300)] + ["x@y@a.b.c@d.e", "a@b.c%d@e.f", "1.2.3.4.5.6.7.8", "1.2.3.256.1.2.3", "é@a.b"]
+    rows = [(i, t) for i, t in rows_of("documents", 400)] + [(9000 + k, x) for k, x in enumerate(odd)]
+    got = {r["doc_id"]: r for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i, t in rows:
+        base = contract_pii(t or "")
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(k) for x in base) for k in pii.KINDS]
+
+
 def test_pii_edges(spark):
     assert pii.personal_data(frame(spark, EDGE)).count() == len(EDGE)
     assert pii.personal_data(frame(spark, [])).count() == 0
