@@ -65,12 +65,19 @@ class HeldTable:
         self.held[key] = rows[at], half
         return self.held[key]
 
-    def population(self, row: int, col: int, km: float) -> float:
-        """Of a disc, its rows added without rounding."""
+    def populations(self, row: int, cols: np.ndarray, km: float) -> np.ndarray:
+        """Of the discs of one radius round cells of one row: one kernel for all, rows added in extended precision."""
         rows, half = self.kernel(row, km)
         w, p = self.grid.width, self.prefix
-        full = half == w // 2
-        west, east = (col - half) % w, (col + half) % w
-        whole = p[rows, w]
-        span = p[rows, east + 1] - p[rows, west]
-        return math.fsum(np.where(full, whole, np.where(west <= east, span, whole + span)))
+        out = np.empty(len(cols))
+        each = max(1, 2_000_000 // max(1, len(rows)))
+        for k in range(0, len(cols), each):
+            at = cols[k : k + each, None]
+            west, east = (at - half) % w, (at + half) % w
+            span = p[rows, east + 1] - p[rows, west]
+            whole = p[rows, w]
+            out[k : k + each] = np.where(half == w // 2, whole, np.where(west <= east, span, whole + span)).sum(axis=1, dtype=np.longdouble)
+        return out
+
+    def population(self, row: int, col: int, km: float) -> float:
+        return float(self.populations(row, np.array([col]), km)[0])

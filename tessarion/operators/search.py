@@ -15,6 +15,7 @@ import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,14 +102,15 @@ class Level:
     def __init__(self, searcher: Searcher) -> None:
         self.searcher = searcher
 
-    def begin(self, blocks: list[Block], radius: RadiusKm) -> None:
-        self.values = dict(zip(blocks, self.searcher.evaluate([(b, radius) for b in blocks])))
+    def begin(self, blocks: np.ndarray, radius: RadiusKm) -> None:
+        values = self.searcher.evaluate([(Block(*b), radius) for b in blocks.tolist()])
+        self.ceiling, self.exact = np.array(values).reshape(-1, 2).T
 
-    def ceiling(self, block: Block, wide: RadiusKm) -> float:
-        return self.values[block][0]
+    def ceilings(self, at: np.ndarray, row: int, cols: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        return self.ceiling[at]
 
-    def exact(self, block: Block, radius: RadiusKm) -> float:
-        return self.values[block][1]
+    def exacts(self, at: np.ndarray, row: int, cols: np.ndarray, radius: RadiusKm) -> np.ndarray:
+        return self.exact[at]
 
 
 class Held:
@@ -117,55 +119,85 @@ class Held:
     def __init__(self, table: HeldTable) -> None:
         self.table = table
 
-    def begin(self, blocks: list[Block], radius: RadiusKm) -> None:
+    def begin(self, blocks: np.ndarray, radius: RadiusKm) -> None:
         pass
 
-    def ceiling(self, block: Block, wide: RadiusKm) -> float:
-        return self.table.population(*block.probe, wide.km)
+    def ceilings(self, at: np.ndarray, row: int, cols: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        out = np.empty(len(cols))
+        for km in np.unique(wide):
+            out[wide == km] = self.table.populations(row, cols[wide == km], float(km))
+        return out
 
-    def exact(self, block: Block, radius: RadiusKm) -> float:
-        return self.table.population(*block.probe, radius.km)
+    def exacts(self, at: np.ndarray, row: int, cols: np.ndarray, radius: RadiusKm) -> np.ndarray:
+        return self.table.populations(row, cols, radius.km)
+
+
+def _split(blocks: np.ndarray) -> np.ndarray:
+    """``Block.split`` of many (north, south, first, last)."""
+    north, south, first, last = blocks.T
+    row, col = north + (south - north) // 2, first + (last - first) // 2
+    parts = []
+    for n, s, tall in ((north, row, None), (row + 1, south, south > north)):
+        for f, e, broad in ((first, col, None), (col + 1, last, last > first)):
+            keep = (south > north) | (last > first)
+            for more in (tall, broad):
+                keep = keep if more is None else keep & more
+            parts.append(np.stack([n, s, f, e], axis=1)[keep])
+    return np.concatenate(parts)
 
 
 def descend(grid: Grid, radius: RadiusKm, spacing: int, discs: Level | Held, progress: Progress | None = None) -> MostPopulous:
-    """The search itself: levels of blocks, pruned and split, until none is left."""
-    level = tile(grid, spacing)
+    """The search itself: levels of blocks, pruned and split, until none is left.
+
+    Blocks are taken in the order of their middle cells, those of one row together. A block is pruned if its bound is below the best exact
+    disc among all blocks before it; as no exact disc exceeds its bound, that is the running maximum over the row, pruned blocks and all.
+    """
+    level = np.array([(b.north, b.south, b.first, b.last) for b in tile(grid, spacing)], np.int64)
     best: Candidate | None = None
     stats = SearchStats()
     seed = (grid.middle_row, radius.km)
     wide_held, exact_held, built = seed, seed, 2
-    while level:
-        level.sort(key=lambda b: b.probe)
+    while len(level):
+        rows, cols = level[:, 0] + (level[:, 1] - level[:, 0]) // 2, level[:, 2] + (level[:, 3] - level[:, 2]) // 2
+        order = np.lexsort((cols, rows))
+        level, rows, cols = level[order], rows[order], cols[order]
+        wide = np.maximum(radius.km, radius.km + disc.slacks_km(grid, level))
         stats.levels += 1
         with bracket(f"level {stats.levels}"):
             discs.begin(level, radius)
-        survivors = []
-        for done, b in enumerate(level, 1):
-            row, col = b.probe
-            wide = radius.widened_by(disc.slack_km(grid, b.north, b.south, b.first, b.last))
-            built += (row, wide.km) != wide_held
-            wide_held = (row, wide.km)
-            stats.blocks_examined += 1
-            if best is not None and discs.ceiling(b, wide) < best.population:
-                stats.blocks_pruned += 1
-            else:
+        stays = np.zeros(len(level), bool)
+        names, begins = np.unique(rows, return_index=True)
+        for row, lo, hi in zip(names.tolist(), begins.tolist(), [*begins[1:].tolist(), len(rows)]):
+            at, w = np.arange(lo, hi), wide[lo:hi]
+            ceiling = discs.ceilings(at, row, cols[lo:hi], w)
+            least = -np.inf if best is None else best.population
+            open_ = ceiling >= least
+            exact = np.full(hi - lo, -np.inf)
+            exact[open_] = np.minimum(discs.exacts(at[open_], row, cols[lo:hi][open_], radius), ceiling[open_])
+            before = np.maximum(np.concatenate([[least], np.maximum.accumulate(exact)[:-1]]), least)
+            kept = ceiling >= before
+            built += (row, float(w[0])) != wide_held
+            built += int((w[1:] != w[:-1]).sum())
+            wide_held = (row, float(w[-1]))
+            stats.blocks_examined += hi - lo
+            stats.blocks_pruned += int((~kept).sum())
+            stats.circles_evaluated += int(kept.sum())
+            if kept.any():
                 built += (row, radius.km) != exact_held
                 exact_held = (row, radius.km)
-                here = Candidate(row, col, discs.exact(b, radius))
+                top = int(np.argmax(np.where(kept, exact, -np.inf)))
+                here = Candidate(row, int(cols[lo + top]), float(exact[top]))
                 best = here if best is None else best.better(here)
-                stats.circles_evaluated += 1
-                survivors.append(b)
+            stays[lo:hi] = kept
             if progress:
-                progress.advance(done, len(level))
-        level = [c for b in survivors for c in b.split()]
+                progress.advance(hi, len(level))
+        level = _split(level[stays])
     stats.kernels_built = built
     assert best is not None  # a grid has a cell, and the first block is never pruned
     return MostPopulous(best, radius, stats)
 
 
 _FOUND = "km double, row int, col int, population double, levels int, blocks_examined int, blocks_pruned int, circles_evaluated int, kernels_built int"
-
-
 _ARROW = {"int": pa.int32(), "double": pa.float64()}
 _FOUND_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in _FOUND.split(", "))])
 
