@@ -13,7 +13,7 @@ from tessarion.operators.search import Searcher
 from tessarion.plans import documents
 from tessarion.plans.errors import BadInput, MissingData, exit_code
 from tessarion.plans.grid import Grid, Window
-from tessarion.plans.progress import Logged
+from tessarion.plans.progress import Meter
 from tessarion.sources import corpus, geotiff, registry
 
 
@@ -159,10 +159,10 @@ def run(o: argparse.Namespace, spark) -> dict | None:  # noqa: ANN001
     if o.command == "most-populous":
         from tessarion.functions.geodesy import RadiusKm
 
-        return documents.most_populous(grid, searcher.most_populous(RadiusKm(o.radius_km), o.spacing, Logged()), total, source)
+        return documents.most_populous(grid, searcher.most_populous(RadiusKm(o.radius_km), o.spacing, Meter(sys.stderr)), total, source)
     ledger = smallest.Ledger(spark(), o.ledger, identity)
     if o.command == "smallest-for-share":
-        found = smallest.smallest(searcher, smallest.Share.from_percent(o.share), o.spacing, ledger, Logged(), total)
+        found = smallest.smallest(searcher, smallest.Share.from_percent(o.share), o.spacing, ledger, Meter(sys.stderr), total)
         return documents.smallest(grid, found, o.ledger, len(ledger.radii), source)
     return documents.sweep(grid, smallest.sweep(searcher, percents, o.spacing, ledger), o.start, o.to, o.step, o.ledger, len(ledger.radii), source)
 

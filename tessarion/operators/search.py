@@ -25,7 +25,7 @@ from tessarion.operators import disc
 from tessarion.operators.held import HeldTable
 from tessarion.plans.errors import BadInput
 from tessarion.plans.grid import Grid
-from tessarion.plans.progress import Progress, bracket
+from tessarion.plans.progress import Progress, bracket, described
 
 log = logging.getLogger(__name__)
 
@@ -132,6 +132,13 @@ class Held:
         return self.table.populations(row, cols, radius.km)
 
 
+def _tiles(grid: Grid, spacing: int) -> np.ndarray:
+    """``tile`` as rows (north, south, first, last)."""
+    north, first = np.arange(0, grid.height, spacing), np.arange(0, grid.width, spacing)
+    n, f = (x.ravel() for x in np.meshgrid(north, first, indexing="ij"))
+    return np.stack([n, np.minimum(n + spacing, grid.height) - 1, f, np.minimum(f + spacing, grid.width) - 1], axis=1)
+
+
 def _split(blocks: np.ndarray) -> np.ndarray:
     """``Block.split`` of many (north, south, first, last)."""
     north, south, first, last = blocks.T
@@ -152,7 +159,7 @@ def descend(grid: Grid, radius: RadiusKm, spacing: int, discs: Level | Held, pro
     Blocks are taken in the order of their middle cells, those of one row together. A block is pruned if its bound is below the best exact
     disc among all blocks before it; as no exact disc exceeds its bound, that is the running maximum over the row, pruned blocks and all.
     """
-    level = np.array([(b.north, b.south, b.first, b.last) for b in tile(grid, spacing)], np.int64)
+    level = _tiles(grid, spacing)
     best: Candidate | None = None
     stats = SearchStats()
     seed = (grid.middle_row, radius.km)
@@ -230,7 +237,8 @@ class Searcher:
             pd.DataFrame(rows, columns=["id", "centre_row", "centre_col", "radius_km"]), "id int, centre_row int, centre_col int, radius_km double"
         )
         out = [0.0] * len(rows)
-        got = disc.populations(self.prefix, self.grid, centres).toPandas()
+        with described(self.prefix.sparkSession, f"{len(wanted)} blocks of a level"):
+            got = disc.populations(self.prefix, self.grid, centres).toPandas()
         for i, p in zip(got["id"].to_numpy(), got["population"].to_numpy()):
             out[i] = float(p)
         return list(zip(out[::2], out[1::2]))
@@ -257,7 +265,9 @@ class Searcher:
         # Wide discs take longest: a task a radius, the widest first.
         order = F.array(*[F.lit(km) for km in reversed(fresh)])
         todo = spark.range(0, len(fresh), 1, len(fresh)).select(F.element_at(order, (F.col("id") + 1).cast("int")).alias("km"))
-        for r in todo.mapInArrow(run, _FOUND).collect():  # one row a radius
+        with described(spark, f"search of {len(fresh)} radii from {fresh[0]:g} to {fresh[-1]:g} km"):
+            rows = todo.mapInArrow(run, _FOUND).collect()  # one row a radius
+        for r in rows:
             stats = SearchStats(r["levels"], r["blocks_examined"], r["blocks_pruned"], r["circles_evaluated"], r["kernels_built"])
             self.found[spacing, r["km"]] = MostPopulous(Candidate(r["row"], r["col"], r["population"]), RadiusKm(r["km"]), stats)
 

@@ -6,7 +6,9 @@ import logging
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
-from typing import Protocol
+from typing import Protocol, TextIO
+
+from pyspark.sql import SparkSession
 
 log = logging.getLogger("tessarion.progress")
 
@@ -33,6 +35,35 @@ class Logged:
             log.info("%d of %d", done, total)
 
 
+class Meter:
+    """A bar on a terminal, redrawn at most ten times a second; on anything else, the lines of ``Logged``."""
+
+    def __init__(self, stream: TextIO, width: int = 40) -> None:
+        self.stream, self.width, self.drawn = stream, width, 0.0
+        self.plain = None if stream.isatty() else Logged()
+
+    def advance(self, done: int, total: int) -> None:
+        if self.plain is not None:
+            self.plain.advance(done, total)
+        elif done >= total or time.monotonic() - self.drawn >= 0.1:
+            self.drawn = time.monotonic()
+            full = self.width * done // max(total, 1)
+            self.stream.write(f"\r[{'#' * full}{'.' * (self.width - full)}] {done} of {total}" + ("\n" if done >= total else ""))
+            self.stream.flush()
+
+
+@contextmanager
+def described(spark: SparkSession, what: str) -> Iterator[None]:
+    """Jobs begun inside carry this description in Spark's interface and event log."""
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.job.description")
+    context.setJobDescription(what)
+    try:
+        yield
+    finally:
+        context.setLocalProperty("spark.job.description", before)
+
+
 @contextmanager
 def bracket(what: str) -> Iterator[None]:
     began = time.monotonic()

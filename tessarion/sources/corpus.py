@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessarion.operators import figures
+from tessarion.operators.table import write_text
 from tessarion.plans.documents import CIRCLE_KINDS, circle_of
 
 
@@ -24,16 +24,14 @@ def circles(docs: DataFrame) -> DataFrame:
 
 
 def build_gallery(spark: SparkSession, folder: str, output: str, attribution: dict[str, str]) -> list[str]:
-    """Figures, documents and an index in ``output``; nothing is written if any document is refused."""
+    """Figures, documents and an index in ``output``, wherever Spark can write, each put in place by a rename and the index last; nothing is
+    written if any document is refused."""
     made = []
     for r in circles(documents(spark, folder)).collect():  # a gallery is a page of figures
         circle = circle_of(json.loads(r["text"]))
         made.append((r["name"], r["text"], circle, figures.render_svg(spark, circle, attribution[circle.dataset])))
-    os.makedirs(output, exist_ok=True)
     for name, text, _, svg in made:
         for kind, content in (("json", text), ("svg", svg)):
-            with open(os.path.join(output, f"{name}.{kind}"), "w", encoding="utf-8") as f:
-                f.write(content)
-    with open(os.path.join(output, "index.html"), "w", encoding="utf-8") as f:
-        f.write(figures.gallery_page([(n, c) for n, _, c, _ in made]))
+            write_text(spark, f"{output}/{name}.{kind}", content)
+    write_text(spark, f"{output}/index.html", figures.gallery_page([(n, c) for n, _, c, _ in made]))
     return [n for n, *_ in made]

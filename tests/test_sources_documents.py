@@ -322,3 +322,20 @@ def test_coastlines_of_every_kind(spark, tmp_path):
     (tmp_path / "c.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": k, "coordinates": c}} for k, c in kinds.items()]}))
     got = figures.coastlines(spark, str(tmp_path / "c.geojson")).collect()
     assert len(got) == 8 * 4 and len({r["feature"] for r in got}) == 8 and {(r["lon"], r["lat"]) for r in got} == {(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)}
+
+
+def test_progress_meter_and_job_descriptions(spark):
+    from tessarion.plans.progress import Meter, described
+
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    screen = Terminal()
+    meter = Meter(screen, 10)
+    for k in range(5):
+        meter.advance(k, 4)
+    assert screen.getvalue().endswith("\r[##########] 4 of 4\n") and screen.getvalue().startswith("\r[..........] 0 of 4")
+    with described(spark, "a search"):
+        assert spark.sparkContext.getLocalProperty("spark.job.description") == "a search"
+    assert spark.sparkContext.getLocalProperty("spark.job.description") != "a search"
