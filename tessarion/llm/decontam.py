@@ -163,7 +163,7 @@ class Index:
         for at, around in guesses.items():
             slack = int((1 - self.how.similarity) * max(1, len(self.items[at][1]) - self.how.shingle + 1) + 1e-9) + 1
             starts = {s for g in around for s in range(max(0, g - slack), min(len(words) - 1, g + slack) + 1)}
-            found = self._best(words, at, starts, slack)
+            found = self._best(words, at, starts, slack) if starts else None  # a piece of an item may stand where the whole of it can't
             if found is not None:
                 item = self.items[at][0]
                 named[item] = max(named.get(item, found), found, key=lambda x: (x[0], -x[1]))
