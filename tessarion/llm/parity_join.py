@@ -52,8 +52,8 @@ class Near:
     percent: int = 80
     growth: float = 1.5
     spare: float = 0.12
-    bucket_bytes: int = 10_000_000
-    block_keys: int = 700_000
+    bucket_bytes: int = 12_000_000
+    block_keys: int = 800_000
     local: int = 4
     hot: int = 64
 
@@ -134,13 +134,14 @@ def may_link(x: list[bytes], y: list[bytes], most: np.ndarray) -> np.ndarray:
     return out
 
 
-_DOC = [("doc_id", None), ("code", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary())]
+_DOC = [("doc_id", None), ("code", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("short", pa.int64()), ("sketch", pa.binary())]
 _HOT = pa.list_(pa.struct([("key", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("band", pa.int32()), ("spare", pa.int32())]))
 
 
 def _scan(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
-    """One pass over the texts. Rows of documents: doc_id, code (of the text), n_shingles, node, sketch. Rows of blocks of documents, equal sets of a block
-    once: bucket and data (keys with the nodes that have them, or their number), or hot (the holders behind such numbers)."""
+    """One pass over the texts. Rows of documents: doc_id, code (of the text), n_shingles, node, short (half of the node's code), sketch. Rows of blocks
+    of documents, equal sets of a block once: bucket and data (keys with the short codes of the nodes that have them, or their
+    number), or hot (the holders behind such numbers)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def flush(nodes: list[bytes], sizes: list[int], bands: list[int], spare: list[int], keys: list[np.ndarray]) -> Iterator[tuple[list, list, list]]:
@@ -148,8 +149,8 @@ def _scan(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         order = np.lexsort((every, every % np.uint64(buckets)))
         every, owner = every[order], owner[order]
-        name = np.frombuffer(b"".join(nodes), np.uint64).reshape(-1, 2)
-        size, band, free = np.array(sizes, np.int32), np.array(bands, np.uint8), np.array(spare, np.int32)
+        name = np.frombuffer(b"".join(nodes), np.uint64)[::2]
+        band, free = np.array(bands, np.uint8), np.array(spare, np.int32)
         first = np.ones(len(every), bool)
         first[1:] = every[1:] != every[:-1]
         runs = np.diff(np.append(np.flatnonzero(first), len(every)))
@@ -164,7 +165,7 @@ def _scan(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
         for k in np.flatnonzero(np.diff(edges)):
             cut = slice(edges[k], edges[k + 1])
             there, which = np.unique(owner[cut], return_inverse=True)
-            yield [int(k)], [pack(np.diff(every[cut], prepend=np.uint64(0)), which.astype(np.uint32), count[cut].astype(np.uint32), name[there, 0], name[there, 1], size[there], band[there], free[there])], [None]
+            yield [int(k)], [pack(np.diff(every[cut], prepend=np.uint64(0)), which.astype(np.uint32), count[cut].astype(np.uint32), name[there], band[there], free[there])], [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -180,6 +181,7 @@ def _scan(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
         for b in batches:
             id_type = b.schema.field("doc_id").type
             counts, names, bits = [], [], []
+            first8 = lambda x: None if x is None else int.from_bytes(x[:8], "little", signed=True)
             for t in b.column("text"):
                 codes = shingle_codes(lower_words(t.as_py()), how.width, cache)
                 node = node_of(codes) if len(codes) else None
@@ -200,48 +202,43 @@ def _scan(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
                     yield from blocks()
                     nodes, sizes, bands, spare, keys, n, seen = [], [], [], [], [], 0, set()
             rows = b.num_rows
-            cols = [b.column("doc_id"), b.column("code"), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.nulls(rows, _HOT)]
+            cols = [b.column("doc_id"), b.column("code"), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(list(map(first8, names)), pa.int64()), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.nulls(rows, _HOT)]
             yield pa.RecordBatch.from_arrays(cols, [*(c for c, _ in _DOC), "bucket", "data", "hot"])
         if n:
             yield from blocks()
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("code"))
     hot = "array<struct<key:long,node:binary,n:int,band:int,spare:int>>"
-    return rows.mapInArrow(run, f"doc_id {kind}, code long, n_shingles long, node binary, sketch binary, bucket int, data binary, hot {hot}")
+    return rows.mapInArrow(run, f"doc_id {kind}, code long, n_shingles long, node binary, short long, sketch binary, bucket int, data binary, hot {hot}")
 
 
-def _bytes16(pairs: np.ndarray) -> pa.Array:
-    """Rows of two 64-bit numbers as 16-byte strings."""
-    flat = np.ascontiguousarray(pairs)
-    return pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer((np.arange(len(flat) + 1, dtype=np.int32) * 16).tobytes()), pa.py_buffer(flat.tobytes())])
-
-
-def _groups(scan: DataFrame) -> DataFrame:
+def _groups(scan: DataFrame, nodes: DataFrame) -> DataFrame:
     """(key, node, n, band, spare, holders) of the keys that two or more nodes have; ``holders``: about how many, the same for all of a key."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [unpack(d.as_py()) for d in table.column("data")]
         key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         count = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        high, low, size, band, free = (np.concatenate([p[k][p[1]] for p in parts]) for k in (3, 4, 5, 6, 7))
-        order = np.lexsort((count, low, high, key))
-        key, count, high, low, size, band, free = (x[order] for x in (key, count, high, low, size, band, free))
+        name, band, free = (np.concatenate([p[k][p[1]] for p in parts]) for k in (3, 4, 5))
+        order = np.lexsort((count, name, key))
+        key, count, name, band, free = (x[order] for x in (key, count, name, band, free))
         fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (count[1:] > 0)
-        key, count, high, low, size, band, free = (x[fresh] for x in (key, count, high, low, size, band, free))
+        fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (count[1:] > 0)
+        key, count, name, band, free = (x[fresh] for x in (key, count, name, band, free))
         _, begin, inverse = np.unique(key, return_index=True, return_inverse=True)
         holders = np.add.reduceat(np.maximum(count, 1), begin)[inverse]
         keep = holders > 1
-        out = {"key": key.view(np.int64), "n": size.astype(np.int32), "band": band.astype(np.int32), "spare": free.astype(np.int32), "holders": holders.astype(np.int64), "counted": count > 0}
-        names = _bytes16(np.stack([high, low], axis=1)[keep])
-        return pa.table({"node": names, **{k: pa.array(v[keep]) for k, v in out.items()}})
+        out = {"key": key.view(np.int64), "short": name.view(np.int64), "band": band.astype(np.int32), "spare": free.astype(np.int32), "holders": holders.astype(np.int64), "counted": count > 0}
+        return pa.table({k: pa.array(v[keep]) for k, v in out.items()})
 
-    schema = "node binary, key long, n int, band int, spare int, holders long, counted boolean"
+    schema = "key long, short long, band int, spare int, holders long, counted boolean"
     found = stash(scan.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(run, schema), "near-keys")
     totals = found.where("counted").groupBy("key").agg(F.max("holders").alias("holders"))
     named = scan.where("hot is not null").select(F.explode("hot").alias("x")).select("x.*").join(totals, "key")
     columns = ["key", "node", "n", "band", "spare", "holders"]
-    return found.where("not counted").select(*columns).union(named.select(*columns)).dropDuplicates(["key", "node"])
+    # Nodes whose short codes are the same are candidates both; what links is told by the sets.
+    rows = found.where("not counted").join(nodes.select("short", "node", F.col("n").cast("int").alias("n")), "short")
+    return rows.select(*columns).union(named.select(*columns)).dropDuplicates(["key", "node"])
 
 
 def _rarest(groups: DataFrame) -> DataFrame:
@@ -350,14 +347,14 @@ def _components(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     base = docs.select("doc_id", "text")
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     scan = stash(_scan(base, how, max(1, -(-size // how.bucket_bytes))), "near-scan")
-    rows = scan.where("n_shingles is not null").select("doc_id", "code", "n_shingles", "node", "sketch")
-    nodes = stash(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "code")).alias("keeper"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "near-nodes")
-    groups = stash(_rarest(_groups(scan)), "near-groups")
+    rows = scan.where("n_shingles is not null").select("doc_id", "code", "n_shingles", "node", "short", "sketch")
+    nodes = stash(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "code")).alias("keeper"), F.any_value("n_shingles").alias("n"), F.any_value("short").alias("short"), F.any_value("sketch").alias("sketch")), "near-nodes")
+    groups = stash(_rarest(_groups(scan, nodes)), "near-groups")
     labels = _join_links(base, nodes, groups, how)
     full = nodes.join(labels, "node", "left")  # nodes without links have no label
     least = full.where("label is not null").groupBy("label").agg(F.min("first").alias("least"), F.min("keeper").alias("best"))
     named = full.join(least, "label", "left").select("node", F.coalesce("least", "first").alias("component_id"), F.coalesce("best", "keeper").alias("keeper"))
-    return rows.drop("sketch"), named
+    return rows.drop("sketch", "short"), named
 
 
 def near_components(docs: DataFrame, how: Near = Near()) -> DataFrame:

@@ -159,6 +159,13 @@ def test_long_items_are_verified_within_seconds(spark):
     assert {(r["doc_id"], r["similarity"], r["first_word"]) for r in got if r["doc_id"] > 2} == {(4, 1.0, 1000), (3, 1.0, 0)}
 
 
+def test_pieces_of_items_at_either_end(spark):
+    item = [f"word{k}" for k in range(200)]
+    docs = [(1, " ".join(item[-60:])), (2, " ".join(item[:60])), (3, " ".join(["x"] * 5 + item[-60:] + ["y"] * 5)), (4, " ".join(item)), (5, " ".join(item[:190])), (6, " ".join(item[15:]))]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {4, 5, 6} == {d for d, _ in brute_items(docs, [(9, " ".join(item))])}
+
+
 def test_one_row_of_each_group_stays(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(3, text, 1), (3, text, 1), (2, text, 2), (2, text + " x", 3), (None, text, 4), (7, None, 5), (7, None, 5), (8, "", 6), (None, "a b", 7), (None, "a b", 7)]
