@@ -146,6 +146,6 @@ def circle_of(document: dict) -> Circle:
             raise MissingData("the document names no table")
         held = document["result"]["circle"] if kind == "smallest" else document["result"]
         share = held["share_achieved"] if kind == "smallest" else held["share_of_total"]
-        return Circle(float(held["centre"]["lat"]), float(held["centre"]["lon"]), float(held["radius_km"]), float(held["population"]), float(share), origin["dataset"], f"{origin['digest']} at decimation {origin['decimation']}", float(earth["radius_km"]))
+        return Circle(float(held["centre"]["lat"]), float(held["centre"]["lon"]), float(held["radius_km"]), float(held["population"]), float(share), origin["dataset"], f"{origin['digest']} (1:{origin['decimation']})", float(earth["radius_km"]))
     except (KeyError, TypeError) as e:
         raise BadInput(f"the document lacks {e}") from e

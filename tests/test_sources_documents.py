@@ -268,7 +268,7 @@ def test_commands_end_to_end(spark, place, capsys, tmp_path):
 
 def test_circle_of_refusals():
     good = {"schema_version": 1, "document": "circle", "earth_model": {"model": "sphere", "radius_km": 1.0}, "provenance": {"dataset": "d", "digest": "0x1", "decimation": 2}, "result": {"centre": {"lat": 1, "lon": 2}, "radius_km": 3, "population": 4, "share_of_total": 0.5}, "unknown": 1}
-    assert documents.circle_of(good).table == "0x1 at decimation 2"
+    assert documents.circle_of(good).table == "0x1 (1:2)"
     for change, error in (({"schema_version": 2}, BadInput), ({"document": "sweep"}, BadInput), ({"earth_model": {"model": "ellipsoid"}}, BadInput), ({"provenance": None}, MissingData), ({"provenance": {"dataset": "d"}}, MissingData), ({"result": {}}, BadInput)):
         with pytest.raises(error):
             documents.circle_of(good | change)
