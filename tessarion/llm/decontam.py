@@ -12,8 +12,8 @@ within the radius, and candidates are then verified exactly.
 Why windows are shorter than the items: a SimHash of a whole item-sized stretch is near, but within no fixed radius for certain, so a
 search by it alone has a recall below one. With windows of a size that follows the item's, none is missed: a stretch that reaches the similarity shares an unbroken run of words with the item; ``run_bound``
 is the least such run, and a band's span + step - 1 does not exceed it. So at least one grid window lies within the run, whose
-fingerprint equals an item window's; the radius adds altered windows on top. An item of 40 words is searched by runs of 13 or more, one of
-400 by runs of 23.
+fingerprint equals an item window's; the radius adds altered windows on top. An item of 40 words is searched by windows of 13 words, one of
+100 or more by windows of 24.
 
 Scale: the texts are read once and nothing is dealt out but the hits; the items' index travels to the executors in slices of
 about ``slice_items`` items or ``slice_chars`` characters (its bound), each slice being matched against all documents.

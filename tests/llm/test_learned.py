@@ -85,6 +85,29 @@ def test_pairwise_ranking_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_the_fit_minimises_the_pairwise_loss():
+    rng = np.random.default_rng(2)
+    n = bradley_terry.N_FEATURES
+    x = rng.normal(size=(400, n))
+    y = (x[:, 0] - 0.5 * x[:, 3] + rng.normal(size=400) > 0).astype(int)
+    how = bradley_terry.Fit(max_pairs=3000)
+    mean, scale, w, cut = bradley_terry.fit(x, y, how)
+    z = np.clip((x - mean) / scale, -8, 8)
+    draw = np.random.default_rng(how.seed)
+    pairs = list(zip(draw.choice(np.flatnonzero(y == 1), 3000), draw.choice(np.flatnonzero(y == 0), 3000)))
+
+    def loss(v):
+        fit = sum(math.log1p(math.exp(-float((z[a] - z[b]) @ v))) for a, b in pairs) / len(pairs)
+        grams = bradley_terry.N_GRAMS
+        return fit + how.penalty / 2 * float((v[:-grams] ** 2).sum()) + how.gram_penalty / 2 * float((v[-grams:] ** 2).sum())
+
+    least = loss(w)
+    for _ in range(20):  # no step in any direction goes lower
+        step = rng.normal(size=n) * 0.02
+        assert loss(w + step) > least
+    assert w[0] > 0 > w[3] and abs((z @ w < cut).mean() - (y == 0).mean()) < 0.01
+
+
 def test_ranking_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (None, "a b", 0.1), (3, "x y z", 0.2), (3, "x y z", 0.2)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
