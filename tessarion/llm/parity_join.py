@@ -275,8 +275,8 @@ def _possible(pairs: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, how: Near, tell: bool) -> DataFrame:
-    """(a, b, n, m, e, linked) of the pairs (a, b): set sizes, size of the symmetric difference; with ``tell`` also ``elements``, its elements, of
-    the pairs that don't link or stand near to it."""
+    """(a, b, n, m, e, linked) of the pairs (a, b): set sizes, size of the symmetric difference; with ``tell`` also ``family``, as it came, and
+    ``elements``, those of the difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,14 +297,15 @@ def _differences(pairs: DataFrame, sets: DataFrame, how: Near, tell: bool) -> Da
             if tell:
                 edges = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-                cols.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int64())))
-                names.append("elements")
+                cols += [batch.column("family"), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat, pa.int64()))]
+                names += ["family", "elements"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     left = sets.select(F.col("node").alias("a"), F.col("codes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("codes").alias("y"))
-    schema = "a binary, b binary, n long, m long, e long, linked boolean" + (", elements array<long>" if tell else "")
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, schema)
+    schema = "a binary, b binary, n long, m long, e long, linked boolean" + (", family long, elements array<long>" if tell else "")
+    own = ["a", "b", "x", "y", *(["family"] if tell else [])]
+    return pairs.join(right, "b").join(left, "a").select(*own).mapInArrow(run, schema)
 
 
 def _fits(a: Column, b: Column, how: Near) -> Column:
@@ -312,8 +313,8 @@ def _fits(a: Column, b: Column, how: Near) -> Column:
 
 
 def _offers(family: DataFrame, labels: DataFrame, how: Near) -> DataFrame:
-    """(key, node, n, label, long, short) of the elements that members of a family must offer, ``family(a, b, n, m, e, elements)``: centre a,
-    member b, their sizes, the difference.
+    """(key, node, n, label, long, short) of the elements that members of a family must offer, ``family(family, a, b, n, m, e, elements)``:
+    its name, centre a, member b, their sizes, the difference.
 
     A member x outside the centre's component meets any y by its ``long`` offer and y's ``short`` one. With D(x, p) the greatest
     difference of a link, |E(x)| > D(x, p); |E(y)| is at least both 0 and |y| - |p|, and D grows with a size by less than that size does, so x
@@ -329,17 +330,17 @@ def _offers(family: DataFrame, labels: DataFrame, how: Near) -> DataFrame:
     larger = F.greatest(F.lit(0), F.ceil((F.col("m") - F.col("n")) * loose / whole))
     least_long = F.greatest(half(F.col("e") - F.floor((F.col("n") + F.col("m")) * loose / whole)), F.col("e") - top)
     least_short = F.greatest(half(F.col("e") + 1 - larger), F.col("e") - top)
-    rows = rows.select("a", "b", "m", "e", "label", (F.col("label") != F.col("home")).alias("out"), least_long.alias("least_long"), least_short.alias("least_short"), "elements")
+    rows = rows.select("family", "b", "m", "e", "label", (F.col("label") != F.col("home")).alias("out"), least_long.alias("least_long"), least_short.alias("least_short"), "elements")
     rows = stash(rows, "near-family")
-    live = rows.where("out").select("a").distinct()
-    spread = rows.join(live, "a", "left_semi").select("a", "b", "label", F.explode("elements").alias("z"))
+    live = rows.where("out").select("family").distinct()
+    spread = rows.join(live, "family", "left_semi").select("family", "b", "label", F.explode("elements").alias("z"))
     # Elements whose holders are all of one component make no pair: they come first in the order, then those of few holders.
-    mixed = spread.groupBy("a", "z").agg(F.count("*").alias("holders"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("a", "z", "holders")
-    met = spread.select("a", "b", "z").join(mixed, ["a", "z"]).join(rows.drop("elements"), ["a", "b"])
-    member = Window.partitionBy("a", "b")
+    mixed = spread.groupBy("family", "z").agg(F.count("*").alias("holders"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("family", "z", "holders")
+    met = spread.select("family", "b", "z").join(mixed, ["family", "z"]).join(rows.drop("elements"), ["family", "b"])
+    member = Window.partitionBy("family", "b")
     met = met.withColumn("place", F.col("e") - F.count("*").over(member) + F.row_number().over(member.orderBy("holders", "z")))
     met = met.withColumn("long", F.col("out") & (F.col("place") <= F.col("e") - F.col("least_long") + 1)).withColumn("short", F.col("place") <= F.col("e") - F.col("least_short") + 1)
-    return met.where("long or short").select(F.xxhash64("a", "z").alias("key"), F.col("b").alias("node"), F.col("m").cast("int").alias("n"), "label", "long", "short")
+    return met.where("long or short").select(F.xxhash64("family", "z").alias("key"), F.col("b").alias("node"), F.col("m").cast("int").alias("n"), "label", "long", "short")
 
 
 def _components(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
@@ -381,6 +382,7 @@ def _join_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, how: Near)
     tested = links
     labels = spark.createDataFrame([], "node binary, label binary")
     open_ = groups.select("key", "node", "n", F.col("node").alias("label"), F.lit(True).alias("long"), F.lit(True).alias("short"))
+    first = True
     while True:
         # Open groups: those in which a long offer meets a short one of another component.
         ends = [f(F.when(F.col(c), F.col("label"))).alias(f"{c}_{f.__name__}") for c in ("long", "short") for f in (F.min, F.max)]
@@ -402,14 +404,18 @@ def _join_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, how: Near)
         hot = open_.where(F.col("c") > how.hot).select("key", "node", "c")
         family = None
         if hot.head(1):
-            # The centre: of a group's members the one of the largest groups in all, which has least of its own. Groups that overlap take
-            # the greatest such centre that any of their members meets, so that a cluster has few; it needn't be of the group itself.
+            # The centre: of a group's members the one of the largest groups in all, which has least of its own. At first, groups that
+            # overlap take the greatest such centre that any of their members meets, and are one family, so that a cluster has few. Later
+            # each group is a family round a member, which offers nothing: so groups get smaller until none is large.
             mass = hot.groupBy("node").agg(F.sum("c").alias("mass"))
             top = stash(hot.join(mass, "node").groupBy("key").agg(F.max(F.struct("mass", "node")).alias("top")), "near-top")
-            met = hot.join(top, "key").groupBy("node").agg(F.max("top").alias("top"))
-            centre = hot.join(met, "node").groupBy("key").agg(F.max("top").alias("top"))
-            family = stash(hot.join(centre, "key").select(F.col("top.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "near-round")
-        both = pairs if family is None else pairs.union(family)
+            if first:
+                met = hot.join(top, "key").groupBy("node").agg(F.max("top").alias("top"))
+                top = hot.join(met, "node").groupBy("key").agg(F.max("top").alias("top"))
+            name = F.xxhash64("top.node") if first else F.col("key")
+            family = hot.join(top, "key").select(name.alias("family"), F.col("top.node").alias("a"), F.col("node").alias("b"))
+            family = stash(family.where("a <> b").distinct(), "near-round")
+        both = pairs if family is None else pairs.union(family.select("a", "b"))
         sets = with_sets(both.select(F.explode(F.array("a", "b")).alias("node")), sets)
         found = _differences(pairs, sets, how, False).where("linked").select("a", "b")
         if family is not None:
@@ -420,6 +426,7 @@ def _join_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, how: Near)
         if family is None:
             return labels
         open_ = _offers(family, labels, how)
+        first = False
 
 
 def one_of_each(docs: DataFrame, how: Near = Near()) -> DataFrame:
