@@ -34,10 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarion.llm.common import fresh_names, word_codes
+from tessarion.llm.common import fresh_names
 
 _OUTER = b".,;:!?\"'()[]{}"
 
@@ -77,22 +78,47 @@ def rung(bound: int, growth: float) -> int:
     return k
 
 
-def lanes(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Prefix sums, over words, of the 64 signed bit votes (modulo 2^16, which window differences undo)."""
-    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)
-    votes = (2 * bits - 1) * weights[:, None].astype(np.int8)
-    out = np.zeros((len(codes) + 1, 64), np.int16)
-    np.cumsum(votes, axis=0, dtype=np.int16, out=out[1:])
-    return out
-
-
-def fingerprints(sums: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
-    signs = (sums[starts + span] - sums[starts]) > 0
-    return np.packbits(signs, axis=1, bitorder="little").view(np.uint64).ravel()
-
-
-def weights_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((1 if len(w) < 4 else 2 if len(w) < 9 else 3 for w in words), np.int16, len(words))
+class Votes(dict):
+    """The rows of words, as they stand in texts: each one's 64 votes (its weight where a bit of its code is set), side by side in a few 64-bit
+    numbers, and its weight. Sums of such numbers may overflow from vote to vote, but the difference of two sums is the window's own
+    votes again, as long as each of these fits its place: 8 bits for windows of up to 85 words, else 16."""
+
+    def __init__(self, span: int) -> None:
+        super().__init__()
+        self.place = np.uint8 if 3 * span < 256 else np.uint16
+        self.codes: list[int] = []
+        self.weights: list[int] = []
+        self.votes = np.zeros((0, 64 * np.dtype(self.place).itemsize // 8), np.uint64)
+
+    def __missing__(self, raw: bytes) -> int:
+        word = raw.strip(_OUTER) or raw
+        row = self[raw] = len(self.codes)
+        self.codes.append(xxhash.xxh3_64_intdigest(word))
+        self.weights.append(1 if len(word) < 4 else 2 if len(word) < 9 else 3)
+        return row
+
+    def sums(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums, over words, of votes and of weights."""
+        if len(self) > 200_000:
+            self.clear()
+            self.codes, self.weights, self.votes = [], [], self.votes[:0]
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if fresh := self.codes[len(self.votes) :]:
+            bits = np.unpackbits(np.array(fresh, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes = bits.astype(self.place) * np.array(self.weights[len(self.votes) :], self.place)[:, None]
+            self.votes = np.concatenate([self.votes, votes.view(np.uint64)])
+        votes = np.zeros((len(words) + 1, self.votes.shape[1]), np.uint64)
+        np.cumsum(self.votes[rows], axis=0, out=votes[1:])
+        weights = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.array(self.weights, np.int64)[rows], out=weights[1:])
+        return votes, weights
+
+    def fingerprints(self, sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, span: int) -> np.ndarray:
+        """The SimHash of each window: bits that more than half of its weight votes for."""
+        votes, weights = sums
+        own = (votes[starts + span] - votes[starts]).view(self.place)
+        half = (weights[starts + span] - weights[starts]) // 2
+        return np.packbits(own > half[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def shingles(words: list[bytes], size: int) -> Counter:
@@ -101,9 +127,13 @@ def shingles(words: list[bytes], size: int) -> Counter:
     return Counter(tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1)))
 
 
+def raw_words(text: str | None) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").split() if text else []
+
+
 def plain_words(text: str | None) -> list[bytes]:
     """Words in lower case, without the punctuation round them (unless there is nothing else)."""
-    return [w.strip(_OUTER) or w for w in text.lower().encode("utf-8", "surrogatepass").split()] if text else []
+    return [w.strip(_OUTER) or w for w in raw_words(text)]
 
 
 class Index:
@@ -118,14 +148,14 @@ class Index:
         edges = [64 * j // k for j in range(k + 1)]
         self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1), b - a) for a, b in zip(edges, edges[1:])]
         bands: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        cache: dict[bytes, int] = {}
-        for at, (_, words) in enumerate(self.items):
-            run = rung(run_bound(len(words), how), how.growth)
+        runs = [rung(run_bound(len(words), how), how.growth) for _, words in self.items]
+        self.span = max([1, *runs])
+        known = Votes(self.span)
+        for at, ((_, words), run) in enumerate(zip(self.items, runs)):
             step = max(1, (run + 1) // 4)
             span = run - step + 1
-            sums = lanes(word_codes(words, cache), weights_of(words))
             starts = np.arange(len(words) - span + 1)
-            bands[span, step] += [(int(f), at, int(s)) for f, s in zip(fingerprints(sums, starts, span), starts)]
+            bands[span, step] += [(int(f), at, int(s)) for f, s in zip(known.fingerprints(known.sums(words), starts, span), starts)]
         self.bands = []
         for (span, step), rows in sorted(bands.items()):
             prints = np.array([r[0] for r in rows], np.uint64)
@@ -205,24 +235,25 @@ class Index:
                     break
         return best
 
-    def search(self, docs: list[list[bytes]], cache: dict[bytes, int]) -> list[list[tuple[int, float, int]]]:
+    def search(self, docs: list[list[bytes]], known: Votes) -> list[list[tuple[int, float, int]]]:
+        """For each document, given by its raw words, (item, similarity, first word) of the items found in it."""
         lengths = np.array([len(d) for d in docs])
         ends = np.cumsum(lengths)
         begins = ends - lengths
         every = [w for d in docs for w in d]
         if not every or not self.bands:
             return [[] for _ in docs]
-        sums = lanes(word_codes(every, cache), weights_of(every))
+        sums = known.sums(every)
         hits: list[set[tuple[int, int]]] = [set() for _ in docs]
         for band in self.bands:
             span, step, _, item_of, start_of, _ = band
             counts = np.maximum(0, (lengths - span) // step + 1)
             doc = np.repeat(np.arange(len(docs)), counts)
             local = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
-            w, k = self.near(band, fingerprints(sums, begins[doc] + local, span))
+            w, k = self.near(band, known.fingerprints(sums, begins[doc] + local, span))
             for d, item, start in set(zip(doc[w].tolist(), item_of[k].tolist(), (local[w] - start_of[k]).tolist())):
                 hits[d].add((item, start))
-        return [self.match(words, h) if h else [] for words, h in zip(docs, hits)]
+        return [self.match([w.strip(_OUTER) or w for w in words], h) if h else [] for words, h in zip(docs, hits)]
 
 
 def _found(docs: DataFrame, items: DataFrame, how: Radar) -> DataFrame:
@@ -240,17 +271,18 @@ def _found(docs: DataFrame, items: DataFrame, how: Radar) -> DataFrame:
         sent = spark.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index, cache = Index(sent.value, how), {}
+            index = Index(sent.value, how)
+            known = Votes(index.span)
             for batch in batches:
                 texts = batch.column("text")
                 at = 0
                 while at < batch.num_rows:  # as many documents as hold about a quarter million words
                     docs_, n, first = [], 0, at
                     while at < batch.num_rows and n < 250_000:
-                        docs_.append(plain_words(texts[at].as_py()))
+                        docs_.append(raw_words(texts[at].as_py()))
                         n += len(docs_[-1])
                         at += 1
-                    rows = [(first + i, *m) for i, found in enumerate(index.search(docs_, cache)) for m in found]
+                    rows = [(first + i, *m) for i, found in enumerate(index.search(docs_, known)) for m in found]
                     if rows:
                         take = pa.array([r[0] for r in rows], pa.int64())
                         own = [batch.column(c).take(take) for c in ("doc_id", "code")]
