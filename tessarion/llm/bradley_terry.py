@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarion.llm.common import is_held_out, mix64, word_codes
+from tessarion.llm.common import is_held_out, mix64, word_codes, WordCodes
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _UPPER = bytes(range(65, 91))
@@ -45,7 +45,7 @@ class Fit:
 N_GRAMS = 64
 
 
-def grams(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
+def grams(words: list[bytes], cache: WordCodes) -> np.ndarray:
     """Words and pairs of words, hashed to signed sums, as the square root of their share of the text."""
     codes = word_codes(words, cache)
     every = np.concatenate([mix64(codes), mix64(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:])])
@@ -53,7 +53,7 @@ def grams(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     return np.sign(sums) * np.sqrt(np.abs(sums) / len(every))
 
 
-def features(text: str | None, press: zstandard.ZstdCompressor, cache: dict[bytes, int]) -> list[float]:
+def features(text: str | None, press: zstandard.ZstdCompressor, cache: WordCodes) -> list[float]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n, size = len(words), len(raw)
@@ -86,7 +86,7 @@ def features(text: str | None, press: zstandard.ZstdCompressor, cache: dict[byte
     return [*flat, *logs, logs[0] ** 2 / 10, float(n < 5), float(n < 20), gap, max(0.0, -gap - 0.05), max(0.0, gap - 0.1), 1.0, *grams([w.lower() for w in words], cache)]
 
 
-N_FEATURES = len(features("a b", zstandard.ZstdCompressor(), {}))
+N_FEATURES = len(features("a b", zstandard.ZstdCompressor(), WordCodes()))
 
 
 def fit(x: np.ndarray, y: np.ndarray, how: Fit) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -124,7 +124,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, cache = zstandard.ZstdCompressor(level=3), {}
+        press, cache = zstandard.ZstdCompressor(level=3), WordCodes()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("code"), pa.array([features(t.as_py(), press, cache) for t in b.column("text")], pa.list_(pa.float64()))], ["doc_id", "quality", "code", "x"])
 
@@ -138,7 +138,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Data
     shift = np.log(how.threshold / (1 - how.threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, cache = zstandard.ZstdCompressor(level=3), {}
+        press, cache = zstandard.ZstdCompressor(level=3), WordCodes()
         for b in batches:
             if model is None or not b.num_rows:
                 score = np.full(b.num_rows, flat)

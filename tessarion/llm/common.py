@@ -95,18 +95,19 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_codes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    """64-bit codes of words; ``cache`` keeps the codes of words seen before (and is emptied when large)."""
-    get = cache.get
-    out = []
-    for w in words:
-        c = get(w)
-        if c is None:
-            c = cache[w] = xxhash.xxh3_64_intdigest(w)
-            if len(cache) > 200_000:
-                cache.clear()
-        out.append(c)
-    return np.array(out, np.uint64)
+class WordCodes(dict):
+    """64-bit codes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+def word_codes(words: list[bytes], cache: WordCodes) -> np.ndarray:
+    """Codes of words; ``cache`` keeps those of words seen before (and is emptied when large)."""
+    if len(cache) > 200_000:
+        cache.clear()
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
 _HEAD = "<3sBII"

@@ -4,7 +4,8 @@ Model: P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)); for a context h of k - 1 tokens
 Pk(w | h) = max(c(hw) - Dk, 0) / c(h) + Dk n(h) / c(h) * Pk-1(w | h without its first token), n(h) being the number of distinct
 tokens after h and Dk = n1 / (n1 + 2 n2) the discount that the counts of order k call for. Every state of the automaton is a
 context that occurs; its arcs carry log10 Pk of the tokens seen after it, its failure arc log10(Dk n(h) / c(h)) and leads to the state of
-the shortened context; the root has an arc for every token. A text is read once, left to right, from the state of the text's begin.
+the shortened context; the root has an arc for every token. A text is read once, left to right, from the state of the text's begin;
+long ones in stretches side by side, each from the state that the tokens before it lead to.
 
 Scale: the automaton grows with the corpus, so no task holds it. Documents are packed into blocks of about ``block_tokens``
 tokens. Each block asks for just its own n-grams: (context, token, training count) entries, distinct within the block and dealt
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessarion.llm.common import is_held_out, lower_words, mix64, pack, stash, unpack, word_codes
+from tessarion.llm.common import is_held_out, lower_words, mix64, pack, stash, unpack, word_codes, WordCodes
 
 #: Codes of the end token and of the begin, which is a context only.
 END, BEGIN = np.uint64(0x656E64), np.uint64(0x626567)
@@ -41,6 +42,7 @@ class Lm:
     block_tokens: int = 700_000
     bucket_bytes: int = 16_000_000
     max_hot: int = 65_536
+    span: int = 256
 
 
 def _tokenise(docs: DataFrame, how: Lm, share: int) -> DataFrame:
@@ -49,7 +51,7 @@ def _tokenise(docs: DataFrame, how: Lm, share: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = WordCodes()
         ids, held, codes, lengths, n = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -213,31 +215,52 @@ def _answer(asked: DataFrame, spread: dict[int, dict[int, int]]) -> DataFrame:
 
 
 class Automaton:
-    """States and arcs that a block's texts can reach. State 0 is the root."""
-
-    def __init__(self) -> None:
-        self.arcs: dict[int, int] = {}
-        self.weight: list[float] = []
-        self.target: list[int] = []
-        self.fail: list[int] = [0]
-        self.fail_weight: list[float] = [0.0]
-
-    def traverse(self, state: int, tokens: list[int]) -> float:
-        arcs, weight, target, fail, fail_weight = self.arcs.get, self.weight, self.target, self.fail, self.fail_weight
-        total = 0.0
-        for t in tokens:
-            while (arc := arcs(state << 32 | t)) is None:
-                total += fail_weight[state]
-                state = fail[state]
-            total += weight[arc]
-            state = target[arc]
-        return total
+    """States and arcs that a block's texts can reach. State 0 is the root; arcs are sorted by state and token."""
+
+    def __init__(self, states: np.ndarray, tokens: np.ndarray, weight: np.ndarray, target: np.ndarray, fail: np.ndarray, fail_weight: np.ndarray) -> None:
+        keys = states << 32 | tokens
+        order = np.argsort(keys)
+        self.keys, self.weight, self.target = keys[order], weight[order], target[order]
+        self.fail, self.fail_weight = fail, fail_weight
+
+    def traverse(self, states: np.ndarray, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of weights, state at the end) of stretches of tokens, each read from left to right from its state, side by side."""
+        order = np.argsort(-lengths, kind="stable")
+        begin, size = starts[order], lengths[order]
+        state, total = states[order].copy(), np.zeros(len(order))
+        for k in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -k))  # stretches with more than k tokens come first
+            at = np.arange(live)
+            token = tokens[begin[:live] + k].astype(np.int64)
+            while len(at):
+                key = state[at] << 32 | token[at]
+                arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[arc] == key
+                found = at[hit]
+                total[found] += self.weight[arc[hit]]
+                state[found] = self.target[arc[hit]]
+                at = at[~hit]  # these take their state's failure arc and look again
+                total[at] += self.fail_weight[state[at]]
+                state[at] = self.fail[state[at]]
+        sums, ends = np.empty(len(order)), np.empty(len(order), np.int64)
+        sums[order], ends[order] = total, state
+        return sums, ends
+
+
+def read(automaton: Automaton, block: Block, before: np.ndarray, span: int) -> np.ndarray:
+    """Each text's sum of weights. Texts are read in stretches of ``span`` tokens, side by side: the state before a token depends on the last
+    tokens alone, so ``before`` has the one to begin with, and the state carried to a stretch's end must be that of the next."""
+    starts = np.flatnonzero(block.inside % span == 0)
+    lengths = np.minimum(span, np.diff(np.append(starts, len(block.tokens))))
+    sums, ends = automaton.traverse(before[starts], block.tokens, starts, lengths)
+    inner = np.flatnonzero(block.inside[starts[1:]] > 0) if len(starts) > 1 else np.zeros(0, np.int64)
+    assert (ends[inner] == before[starts[inner + 1]]).all()
+    return np.add.reduceat(sums, np.flatnonzero(block.inside[starts] == 0))
 
 
 def build(block: Block, tables: dict[int, tuple[Grams, np.ndarray, np.ndarray, np.ndarray]], unigram: np.ndarray, discount: dict[int, float]) -> tuple[Automaton, np.ndarray]:
     """The automaton and, for each position, the state before it. ``tables[k]``: grams, and totals, kinds by context, counts by pair;
     ``unigram``: log10 P1 by vocabulary index."""
-    a = Automaton()
     n = len(block.tokens)
     vocab = len(block.vocab)
     below = np.zeros(n, np.int64)  # by position, the state of the longest context handled so far
@@ -276,16 +299,14 @@ def build(block: Block, tables: dict[int, tuple[Grams, np.ndarray, np.ndarray, n
     # An arc leads to the longest state that its context and token make: of an example's next state, at most one token longer.
     level = np.concatenate([np.full(len(f), j + 1) for j, f in enumerate(fails)])
     fail = np.concatenate(fails)
-    a.fail, a.fail_weight = fail.tolist(), np.concatenate(fail_weights).tolist()
+    arcs: tuple[list, ...] = ([], [], [], [])
     for j, (state, token, weight, where) in enumerate(layers):
         to = after[where].copy()
         while (deep := level[to] > j + 2).any():
             to[deep] = fail[to[deep]]
-        base = len(a.weight)
-        a.arcs.update(zip((state << 32 | token).tolist(), range(base, base + len(state))))
-        a.weight += weight.tolist()
-        a.target += to.tolist()
-    return a, below
+        for held, column in zip(arcs, (state, token.astype(np.int64), weight, to)):
+            held.append(column)
+    return Automaton(*map(np.concatenate, arcs), fail, np.concatenate(fail_weights)), below
 
 
 def lm_scores(docs: DataFrame, how: Lm = Lm()) -> DataFrame:
@@ -342,8 +363,7 @@ def lm_scores(docs: DataFrame, how: Lm = Lm()) -> DataFrame:
         unigram = np.log10((known + 0.5) / (tokens + 0.5 * (types + 1)))
         automaton, before = build(block, tables, unigram, discount)
         starts = block.ends - block.lengths
-        listed = block.tokens.tolist()
-        out = [automaton.traverse(int(before[s]), listed[s:e]) for s, e in zip(starts.tolist(), block.ends.tolist())]
+        out = read(automaton, block, before, how.span)
         by_doc = lambda x: np.add.reduceat(x, starts)
         return pa.table(
             {

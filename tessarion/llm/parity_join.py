@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessarion.llm.common import components, fresh_names, lower_words, mix64, pack, stash, unpack, word_codes
+from tessarion.llm.common import components, fresh_names, lower_words, mix64, pack, stash, unpack, word_codes, WordCodes
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,7 @@ class Near:
     hot: int = 64
 
 
-def shingle_codes(words: list[bytes], width: int, cache: dict[bytes, int]) -> np.ndarray:
+def shingle_codes(words: list[bytes], width: int, cache: WordCodes) -> np.ndarray:
     """Distinct codes of the shingles, ascending."""
     if not words:
         return np.zeros(0, np.uint64)
@@ -168,7 +168,7 @@ def _scan(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
             yield [int(k)], [pack(np.diff(every[cut], prepend=np.uint64(0)), which.astype(np.uint32), count[cut].astype(np.uint32), name[there], band[there], free[there])], [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = WordCodes()
         seen: set[bytes] = set()
         nodes, sizes, bands, spare, keys, n = [], [], [], [], [], 0
         id_type = pa.null()
@@ -251,7 +251,7 @@ def _rarest(groups: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, how: Near) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
+        cache = WordCodes()
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 sets = [shingle_codes(lower_words(t.as_py()), how.width, cache) for t in b.column("text").slice(k, 500)]
