@@ -25,8 +25,14 @@ at least, and each needs to offer only so many of its elements, fewest holders f
 between different components are ever listed, and no link between components goes unseen.
 
 Scale: texts are split and hashed once; only nodes of candidate pairs and large groups have their full sets made again. A block of
-documents sends a key that ``local`` or more of its nodes hold as a count only, so that no task gathers the holders of a hot key;
-these nodes then meet the key's total in a join, which adaptive execution can split.
+documents keeps its keys in ascending order, as gaps, each with the number of the entry (a node in a band) that has it. Sets that an earlier
+block has too are taken out, by a list of their numbers that is broadcast (four bytes for each such entry), and the rest is cut into
+ranges of keys. So an entry needs no name beside its keys, and what a key costs doesn't grow with the number of ranges. A
+key that ``local`` or more nodes of a block hold is sent as a count only, so that no task gathers the holders of a hot key; these
+nodes then meet the key's total in a join, which adaptive execution can split.
+
+Keys have ``key_bits`` bits. Two keys that are equal by chance make candidates, which are verified; where two of one document are,
+it drops one key less for each, so that no link is lost by that.
 
 Defined results: null, empty and blank texts have no shingles and are alone; a text with fewer words than ``width`` is one shingle;
 repeated rows are documents of equal sets, with the smallest id of all; null ids take part and are never the smallest unless alone.
@@ -40,6 +46,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +61,7 @@ class Near:
     spare: float = 0.12
     bucket_bytes: int = 12_000_000
     block_keys: int = 800_000
+    key_bits: int = 48
     local: int = 4
     hot: int = 64
 
@@ -110,7 +118,8 @@ def sketch_keys(codes: np.ndarray, how: Near) -> list[tuple[int, int, np.ndarray
         hit[slot] = True
         agree = int(hit.sum()) - differ(n, min(largest, top), how.percent)  # hit words that any linked partner shares, at least
         at = np.flatnonzero(hit) if agree > 0 else np.arange(words)
-        out.append((j, max(0, agree - 1), mix64(parity[at] + mix64(at.astype(np.uint64) + salt))))
+        keys = np.unique(mix64(parity[at] + mix64(at.astype(np.uint64) + salt)) >> np.uint64(64 - how.key_bits))
+        out.append((j, max(0, agree - 1 - (len(at) - len(keys))), keys))
     return out
 
 
@@ -134,116 +143,165 @@ def may_link(x: list[bytes], y: list[bytes], most: np.ndarray) -> np.ndarray:
     return out
 
 
-_DOC = [("doc_id", None), ("code", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("short", pa.int64()), ("sketch", pa.binary())]
-_HOT = pa.list_(pa.struct([("key", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("band", pa.int32()), ("spare", pa.int32())]))
+_ENTRIES = pa.list_(pa.struct([("at", pa.int32()), ("band", pa.int32()), ("spare", pa.int32())]))
+_HOT = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int32())]))
+_SCAN = [("doc_id", None), ("code", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("block", pa.int64()), ("entries", _ENTRIES), ("data", pa.binary()), ("hot", _HOT)]
+
+
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """The byte planes of whole numbers, without the upper ones that are all zero."""
+    size = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return list(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T[:size])
+
+
+def _numbers(planes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(planes[0]), 8), np.uint8)
+    for k, p in enumerate(planes):
+        out[:, k] = p
+    return out.view(np.uint64)[:, 0]
+
+
+def pack_keys(keys: np.ndarray, owner: np.ndarray, count: np.ndarray) -> bytes:
+    """Ascending keys with the entries that have them, and how many have it (0: that one alone). Each plane is compressed by itself."""
+    gaps, owners = _planes(np.diff(keys, prepend=np.uint64(0))), _planes(owner)
+    at = np.flatnonzero(count)
+    return pack(np.array([len(gaps), len(owners)], np.uint8), *gaps, *owners, at.astype(np.uint32), count[at].astype(np.uint32))
 
 
-def _scan(docs: DataFrame, how: Near, buckets: int) -> DataFrame:
-    """One pass over the texts. Rows of documents: doc_id, code (of the text), n_shingles, node, short (half of the node's code), sketch. Rows of blocks
-    of documents, equal sets of a block once: bucket and data (keys with the short codes of the nodes that have them, or their
-    number), or hot (the holders behind such numbers)."""
+def unpack_keys(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    (n, m), *parts = unpack(data)
+    keys, owner = np.cumsum(_numbers(parts[:n]), dtype=np.uint64), _numbers(parts[n : n + m]).astype(np.int32)
+    count = np.zeros(len(keys), np.int32)
+    count[parts[-2]] = parts[-1]
+    return keys, owner, count
+
+
+def _scan(docs: DataFrame, how: Near) -> DataFrame:
+    """One pass over the texts. Rows of documents: doc_id, code (of the text), n_shingles, node, sketch, block, and entries (for the first
+    row of a set in its block: the numbers in the block of its keys' owners, with their bands and the keys that may be dropped). Rows of blocks
+    of documents: block and data (keys with their owners or, for the hot ones, their number), or hot (the owners behind such numbers)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def flush(nodes: list[bytes], sizes: list[int], bands: list[int], spare: list[int], keys: list[np.ndarray]) -> Iterator[tuple[list, list, list]]:
+    def flush(keys: list[np.ndarray]) -> Iterator[tuple[pa.Array, pa.Array]]:
         every = np.concatenate(keys)
-        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        order = np.lexsort((every, every % np.uint64(buckets)))
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+        order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
-        name = np.frombuffer(b"".join(nodes), np.uint64)[::2]
-        band, free = np.array(bands, np.uint8), np.array(spare, np.int32)
         first = np.ones(len(every), bool)
         first[1:] = every[1:] != every[:-1]
         runs = np.diff(np.append(np.flatnonzero(first), len(every)))
         many = np.repeat(runs >= how.local, runs)
         at = np.flatnonzero(many)
         for part in np.array_split(at, max(1, -(-len(at) // 50_000))) if len(at) else ():
-            yield [None], [None], [[{"key": k, "node": nodes[o], "n": sizes[o], "band": bands[o], "spare": spare[o]} for k, o in zip(every[part].view(np.int64).tolist(), owner[part].tolist())]]
+            pairs = pa.StructArray.from_arrays([pa.array(every[part].view(np.int64)), pa.array(owner[part], pa.int32())], ["key", "at"])
+            yield pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pairs)
         hold = ~many | first  # of the runs that only their number is sent of, the first
         count = np.where(many, np.repeat(runs, runs), 0)[hold]
-        every, owner = every[hold], owner[hold]
-        edges = np.searchsorted(every % np.uint64(buckets), np.arange(buckets + 1).astype(np.uint64))
-        for k in np.flatnonzero(np.diff(edges)):
-            cut = slice(edges[k], edges[k + 1])
-            there, which = np.unique(owner[cut], return_inverse=True)
-            yield [int(k)], [pack(np.diff(every[cut], prepend=np.uint64(0)), which.astype(np.uint32), count[cut].astype(np.uint32), name[there], band[there], free[there])], [None]
+        yield pa.array([pack_keys(every[hold], owner[hold], count)], pa.binary()), pa.nulls(1, _HOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordCodes()
         seen: set[bytes] = set()
-        nodes, sizes, bands, spare, keys, n = [], [], [], [], [], 0
+        block = TaskContext.get().partitionId() << 32
+        keys, n = [], 0
+        names = [c for c, _ in _SCAN]
         id_type = pa.null()
 
-        def blocks() -> Iterator[pa.RecordBatch]:
-            for bucket, data, hot in flush(nodes, sizes, bands, spare, keys):
-                none = [pa.nulls(1, t or id_type) for _, t in _DOC]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(bucket, pa.int32()), pa.array(data, pa.binary()), pa.array(hot, _HOT)], [*(c for c, _ in _DOC), "bucket", "data", "hot"])
+        def rows_of_block() -> Iterator[pa.RecordBatch]:
+            for data, hot in flush(keys):
+                none = [pa.nulls(1, t or id_type) for _, t in _SCAN[:5]]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([block], pa.int64()), pa.nulls(1, _ENTRIES), data, hot], names)
 
         for b in batches:
             id_type = b.schema.field("doc_id").type
-            counts, names, bits = [], [], []
-            first8 = lambda x: None if x is None else int.from_bytes(x[:8], "little", signed=True)
+            counts, nodes, bits, blocks, entries = [], [], [], [], []
             for t in b.column("text"):
                 codes = shingle_codes(lower_words(t.as_py()), how.width, cache)
                 node = node_of(codes) if len(codes) else None
                 counts.append(len(codes))
-                names.append(node)
+                nodes.append(node)
                 bits.append(bit_sketch(codes) if len(codes) else None)
+                blocks.append(block)
+                entries.append(None)
                 if node is None or node in seen:
                     continue
                 seen.add(node)
+                own = []
                 for band, free, k in sketch_keys(codes, how):
-                    nodes.append(node)
-                    sizes.append(len(codes))
-                    bands.append(band)
-                    spare.append(free)
+                    own.append({"at": len(keys), "band": band, "spare": free})
                     keys.append(k)
                     n += len(k)
+                entries[-1] = own or None
                 if n > how.block_keys:
-                    yield from blocks()
-                    nodes, sizes, bands, spare, keys, n, seen = [], [], [], [], [], 0, set()
+                    yield from rows_of_block()
+                    block, keys, n, seen = block + 1, [], 0, set()
             rows = b.num_rows
-            cols = [b.column("doc_id"), b.column("code"), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(list(map(first8, names)), pa.int64()), pa.array(bits, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.nulls(rows, _HOT)]
-            yield pa.RecordBatch.from_arrays(cols, [*(c for c, _ in _DOC), "bucket", "data", "hot"])
+            cols = [b.column("doc_id"), b.column("code"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bits, pa.binary()), pa.array(blocks, pa.int64()), pa.array(entries, _ENTRIES), pa.nulls(rows, pa.binary()), pa.nulls(rows, _HOT)]
+            yield pa.RecordBatch.from_arrays(cols, names)
         if n:
-            yield from blocks()
+            yield from rows_of_block()
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("code"))
-    hot = "array<struct<key:long,node:binary,n:int,band:int,spare:int>>"
-    return rows.mapInArrow(run, f"doc_id {kind}, code long, n_shingles long, node binary, short long, sketch binary, bucket int, data binary, hot {hot}")
+    return rows.mapInArrow(run, f"doc_id {kind}, code long, n_shingles long, node binary, sketch binary, block long, entries array<struct<at:int,band:int,spare:int>>, data binary, hot array<struct<key:long,at:int>>")
 
 
-def _groups(scan: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, n, band, spare, holders) of the keys that two or more nodes have; ``holders``: about how many, the same for all of a key."""
+def _pieces(scan: DataFrame, nodes: DataFrame, how: Near, buckets: int) -> DataFrame:
+    """(bucket, block, data): the blocks' keys, cut into ranges, without those of sets that an earlier block has."""
+    edges = np.array([-(-(k << how.key_bits) // buckets) for k in range(1, buckets)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, data, again in zip(b.column("block").to_pylist(), b.column("data"), b.column("again").to_pylist()):
+                keys, owner, count = unpack_keys(data.as_py())
+                if again:
+                    dead = np.zeros(max(int(owner.max()), *again) + 1, bool)
+                    dead[again] = True
+                    live = ~dead[owner] | (count > 0)
+                    keys, owner, count = keys[live], owner[live], count[live]
+                cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+                there = np.flatnonzero(np.diff(cuts))
+                out = [pack_keys(*(x[cuts[k] : cuts[k + 1]] for x in (keys, owner, count))) for k in there]
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array(out, pa.binary())], ["bucket", "block", "data"])
+
+    repeated = nodes.where("home.block < last_block").select("node", F.col("home.block").alias("home"))
+    again = scan.where("entries is not null").join(repeated, "node").where("block <> home").select("block", F.explode("entries.at").alias("at"))
+    again = again.groupBy("block").agg(F.collect_list("at").alias("again"))
+    blocks = scan.where("data is not null").select("block", "data").join(F.broadcast(again), "block", "left")
+    return blocks.select("block", "data", "again").mapInArrow(run, "bucket int, block long, data binary")
+
+
+def _groups(scan: DataFrame, nodes: DataFrame, how: Near, buckets: int) -> DataFrame:
+    """(key, node, n, block, at, spare, holders) of the keys that two or more entries have, an entry being a node in a band, told by ``block``
+    and ``at``; ``holders``: about how many, the same for all of a key."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [unpack(d.as_py()) for d in table.column("data")]
-        key = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        count = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        name, band, free = (np.concatenate([p[k][p[1]] for p in parts]) for k in (3, 4, 5))
-        order = np.lexsort((count, name, key))
-        key, count, name, band, free = (x[order] for x in (key, count, name, band, free))
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (count[1:] > 0)
-        key, count, name, band, free = (x[fresh] for x in (key, count, name, band, free))
-        _, begin, inverse = np.unique(key, return_index=True, return_inverse=True)
-        holders = np.add.reduceat(np.maximum(count, 1), begin)[inverse]
-        keep = holders > 1
-        out = {"key": key.view(np.int64), "short": name.view(np.int64), "band": band.astype(np.int32), "spare": free.astype(np.int32), "holders": holders.astype(np.int64), "counted": count > 0}
-        return pa.table({k: pa.array(v[keep]) for k, v in out.items()})
-
-    schema = "key long, short long, band int, spare int, holders long, counted boolean"
-    found = stash(scan.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(run, schema), "near-keys")
+        parts = [unpack_keys(d.as_py()) for d in table.column("data")]
+        piece = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[0]) for p in parts])
+        key, owner, count = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sums = np.add.reduceat(np.maximum(count, 1)[order], begin, dtype=np.int64)
+        shared, lengths = sums > 1, np.diff(np.append(begin, len(key)))
+        keep = np.repeat(shared, lengths)
+        key, order, holders = key[keep], order[keep], np.repeat(sums[shared], lengths[shared])
+        out = {"key": key.view(np.int64), "block": table.column("block").to_numpy()[piece[order]], "at": owner[order], "holders": holders, "counted": count[order] > 0}
+        return pa.table({k: pa.array(v) for k, v in out.items()})
+
+    schema = "key long, block long, at int, holders long, counted boolean"
+    found = stash(_pieces(scan, nodes, how, buckets).groupBy("bucket").applyInArrow(run, schema), "near-keys")
     totals = found.where("counted").groupBy("key").agg(F.max("holders").alias("holders"))
-    named = scan.where("hot is not null").select(F.explode("hot").alias("x")).select("x.*").join(totals, "key")
-    columns = ["key", "node", "n", "band", "spare", "holders"]
-    # Nodes whose short codes are the same are candidates both; what links is told by the sets.
-    rows = found.where("not counted").join(nodes.select("short", "node", F.col("n").cast("int").alias("n")), "short")
-    return rows.select(*columns).union(named.select(*columns)).dropDuplicates(["key", "node"])
+    named = scan.where("hot is not null").select("block", F.explode("hot").alias("x")).select("block", "x.*").join(totals, "key")
+    columns = ["key", "block", "at", "holders"]
+    # Entries of sets that an earlier block has are not in this table.
+    entries = nodes.where("home is not null").select("node", F.col("n").cast("int").alias("n"), "home.block", F.explode("home.entries").alias("x")).select("node", "n", "block", "x.at", "x.spare")
+    return found.where("not counted").select(*columns).union(named.select(*columns)).join(entries, ["block", "at"])
 
 
 def _rarest(groups: DataFrame) -> DataFrame:
-    """(key, node, n) without the ``spare`` most shared keys of each node and band, and without keys that one node is left with."""
-    most = Window.partitionBy("node", "band").orderBy(F.desc("holders"), "key")
+    """(key, node, n) without the ``spare`` most shared keys of each entry, and without keys that one node is left with."""
+    most = Window.partitionBy("block", "at").orderBy(F.desc("holders"), "key")
     left = stash(groups.withColumn("rank", F.row_number().over(most)).where("rank > spare").select("key", "node", "n"), "near-rare")
     shared = left.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     return left.join(shared, "key", "left_semi")
@@ -347,15 +405,15 @@ def _components(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, code, n_shingles, node for each document; named: node, group, component_id for each node)."""
     base = docs.select("doc_id", "text")
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    scan = stash(_scan(base, how, max(1, -(-size // how.bucket_bytes))), "near-scan")
-    rows = scan.where("n_shingles is not null").select("doc_id", "code", "n_shingles", "node", "short", "sketch")
-    nodes = stash(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "code")).alias("keeper"), F.any_value("n_shingles").alias("n"), F.any_value("short").alias("short"), F.any_value("sketch").alias("sketch")), "near-nodes")
-    groups = stash(_rarest(_groups(scan, nodes)), "near-groups")
+    scan = stash(_scan(base, how), "near-scan")
+    rows = scan.where("n_shingles is not null").select("doc_id", "code", "n_shingles", "node", "sketch", "block", "entries")
+    nodes = stash(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "code")).alias("keeper"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"), F.min(F.when(F.col("entries").isNotNull(), F.struct("block", "entries"))).alias("home"), F.max(F.when(F.col("entries").isNotNull(), F.col("block"))).alias("last_block")), "near-nodes")
+    groups = stash(_rarest(_groups(scan, nodes, how, max(1, -(-size // how.bucket_bytes)))), "near-groups")
     labels = _join_links(base, nodes, groups, how)
     full = nodes.join(labels, "node", "left")  # nodes without links have no label
     least = full.where("label is not null").groupBy("label").agg(F.min("first").alias("least"), F.min("keeper").alias("best"))
     named = full.join(least, "label", "left").select("node", F.coalesce("least", "first").alias("component_id"), F.coalesce("best", "keeper").alias("keeper"))
-    return rows.drop("sketch", "short"), named
+    return rows.select("doc_id", "code", "n_shingles", "node"), named
 
 
 def near_components(docs: DataFrame, how: Near = Near()) -> DataFrame:

@@ -76,6 +76,24 @@ def test_near_components_against_brute_force(spark, how):
     assert Counter(tuple(r) for r in got) == blank
 
 
+def test_no_link_is_lost_where_keys_are_equal_by_chance(spark):
+    rows = [r for r in varied(5) if r[0] % 2]
+    rows += [(9000 + d, t.upper()) for d, t in rows[:60]]  # the same sets again, in other blocks
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = parity_join.near_components(df, parity_join.Near(bucket_bytes=20_000, block_keys=3000, local=3, hot=16, key_bits=13)).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows)
+
+
+def test_what_a_key_costs_does_not_grow_with_the_ranges(spark):
+    rng = random.Random(1)
+    rows = [(d, " ".join(str(rng.randrange(10**6)) for _ in range(40))) for d in range(4000)]
+    scan = parity_join._scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), parity_join.Near()).persist()
+    nodes = scan.where("node is not null").select("node", F.struct("block", "entries").alias("home"), F.col("block").alias("last_block"))
+    few, many = (parity_join._pieces(scan, nodes, parity_join.Near(), k).agg(F.sum(F.length("data"))).first()[0] for k in (1, 80))
+    scan.unpersist()
+    assert many < 1.25 * few  # 1.95 when each piece had the names of its nodes
+
+
 def test_near_on_the_tables(spark, rows_of):
     rows = rows_of("documents", 10_000)
     df = spark.createDataFrame(rows, "doc_id long, text string")
